@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import dot, hash_slot, lexical_overlap, ngrams, words
 from seqloom.operators.ordering import exact_percentiles, global_rank
-from seqloom.operators.scoring import BROADCAST_BYTES, normalized, top_k_of_catalog
+from seqloom.operators.scoring import BROADCAST_BYTES, best_of_stream, normalized
 from seqloom.session import materialize
 
 # Neighbours per query, gram length, number of random pairs and their seed, length of
@@ -56,9 +56,9 @@ def knn_cosine(query: DataFrame, corpus: DataFrame, k: int = NEIGHBOURS, broadca
     """Exact nearest corpus texts of every query by cosine, with rank from 0.
 
     ``query`` is ``(query_id, vec)`` and ``corpus`` ``(corpus_id, vec)``. The corpus is the larger
-    side, so the queries are the catalogue that is held, and the best k are merged over the corpus.
+    side: it is scored where it lies.
     """
-    best = top_k_of_catalog(
+    best = best_of_stream(
         query.withColumnRenamed("query_id", "user_id"),
         corpus.withColumnRenamed("corpus_id", "item_id"),
         k,

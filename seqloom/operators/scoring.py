@@ -194,6 +194,39 @@ def _with_item_blocks(users, item_vecs, masks, cell, schema, k, n_items) -> Data
     return left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInPandas(score, schema)
 
 
+def _merged(best: pd.DataFrame, k: int) -> pd.DataFrame:
+    ordered = best.sort_values(["user_id", "score", "item_id"], ascending=[True, False, True])
+    return ordered[ordered.groupby("user_id").cumcount() < k]
+
+
+def best_of_stream(queries: DataFrame, corpus: DataFrame, k: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """:func:`top_k_of_catalog` for few users and a large catalogue.
+
+    The users are sent to every task, when their measured size allows it, and the catalogue is
+    read once where it lies. A task keeps k items per user and returns them at its end.
+    """
+    users, items = normalized(queries), normalized(corpus)
+    size = users.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    if size["n"] == 0 or size["n"] * max(size["dim"], k * 3) * 8 > broadcast_bytes:
+        return top_k_of_catalog(queries, corpus, k, broadcast_bytes=broadcast_bytes)
+    local = users.select("user_id", "vec").toPandas()
+    shared = users.sparkSession.sparkContext.broadcast((local["user_id"].to_numpy(), _matrix(local["vec"])))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user_ids, wanted = shared.value
+        rows_of = pd.DataFrame({"user_id": user_ids, "vec": list(wanted)})
+        nothing = np.zeros(0, dtype="int64")
+        best: pd.DataFrame | None = None
+        for rows in batches:
+            rows = rows.sort_values("item_id")
+            found = list(_top_k_cell(rows_of, nothing, nothing, rows["item_id"].to_numpy(), _matrix(rows["vec"]), k))
+            best = _merged(pd.concat(found if best is None else [best, *found], ignore_index=True), k)
+        if best is not None:
+            yield best
+
+    return top_k(items.select("item_id", "vec").mapInPandas(search, TOP_K_SCHEMA), k)
+
+
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """The k best items per user with rank 1..k; equal scores go to the lower item id."""
     best = Window.partitionBy("user_id").orderBy(F.desc("score"), F.asc("item_id"))
