@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,14 @@ MILLISECONDS_ABOVE = 1e12
 GAP_LOG_STEP = 0.301
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` uses it.
+
+    Without it, an expression inside a lambda runs again for every element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def pad_left_with(seq: Column, length: int, fill: Column) -> Column:
     """Last ``length`` elements of ``seq``, filled up on the left."""
     kept = F.when(F.size(seq) > length, F.slice(seq, -length, length)).otherwise(seq)
@@ -80,5 +90,4 @@ def l2_normalize(vec: Column, eps: float = 0.0) -> Column:
     """``vec`` divided by its length; ``eps`` is the smallest length used as divisor."""
     length = F.greatest(norm(vec), F.lit(eps)) if eps else norm(vec)
     # try_divide leaves the zero vector without a direction: its entries become null.
-    pair = F.transform(F.array(length), lambda n: F.transform(vec, lambda x: F.try_divide(x.cast("double"), n)))
-    return F.element_at(pair, 1)
+    return let(length, lambda n: F.transform(vec, lambda x: F.try_divide(x.cast("double"), n)))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seqloom.functions.arrays import let
+
 WORD = r"([\p{L}\p{N}_]+)"
 
 
@@ -18,13 +20,14 @@ def ngrams(word_list: Column, n: int) -> Column:
     """The set of word n-grams of an array column of words.
 
     A text shorter than ``n`` words gives one gram of all its words, an empty one gives none.
-    ``word_list`` should be a plain column: inside the lambda an expression would be evaluated
-    again for every gram.
     """
-    size = F.size(word_list)
-    starts = F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1)))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(word_list, i, n), " "))
-    return F.when(size > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def grams(found: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(found) - (n - 1), F.lit(1)))
+        every = F.transform(starts, lambda i: F.array_join(F.slice(found, i, n), " "))
+        return F.when(F.size(found) > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    return let(word_list, grams)
 
 
 def lexical_overlap(a: Column, b: Column) -> tuple[Column, Column]:

@@ -36,7 +36,10 @@ def shuffled_shards(df: DataFrame, key: Sequence[str], shards: int, seed: int, e
 
 
 def batched(df: DataFrame, order_by: Sequence[str], batch_size: int) -> DataFrame:
-    """Number the rows and cut them into batches: ``row_no``, ``batch_id`` and ``example``."""
+    """Number the rows and cut them into batches: ``row_no``, ``batch_id`` and ``example``.
+
+    The order is sampled before it is made, which reads ``df`` twice: add costly columns afterwards.
+    """
     ranked = global_rank(df, order_by, "row_no")
     return ranked.withColumns(
         {

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seqloom.operators.ordering import global_rank
 
 PAD_TOKEN = "[PAD]"
+PAD_SPREAD = 4096
 
 
 def _first_seen(df: DataFrame, column: str, row_ord: Sequence[str]) -> DataFrame:
@@ -55,9 +56,12 @@ def encode_ids(inter: DataFrame, user_map: DataFrame, item_map: DataFrame) -> Da
 
 def decode_ids(rows: DataFrame, item_map: DataFrame, key: Sequence[str], column: str) -> DataFrame:
     """Ids of a bounded array column back to tokens, in order; the pad 0 stays ``0``."""
-    exploded = rows.select(*key, F.posexplode(column).alias("_at", "id"))
-    tokens = exploded.join(item_map, "id", "left").select(
-        *key, "_at", F.when(F.col("id") == 0, "0").otherwise(F.col("token")).alias("_token")
+    exploded = rows.select(*key, F.posexplode(column).alias("_at", "_id"))
+    # Pads are the most frequent id and need no lookup: keys without a match spread them out.
+    nowhere = -1 - F.pmod(F.xxhash64(*key), F.lit(PAD_SPREAD))
+    keyed = exploded.withColumn("id", F.when(F.col("_id") == 0, nowhere).otherwise(F.col("_id")))
+    tokens = keyed.join(item_map, "id", "left").select(
+        *key, "_at", F.when(F.col("_id") == 0, "0").otherwise(F.col("token")).alias("_token")
     )
     ordered = F.array_sort(F.collect_list(F.struct("_at", "_token")))
     return tokens.groupBy(*key).agg(ordered.alias("_tokens")).select(*key, F.col("_tokens._token").alias(column))

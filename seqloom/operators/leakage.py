@@ -73,8 +73,7 @@ def knn_cosine(query: DataFrame, corpus: DataFrame, k: int = NEIGHBOURS, broadca
 
 
 def _gram_sets(texts: DataFrame, n: int, grams: str) -> DataFrame:
-    """Add the gram set of ``text``; the words are a column of their own, read once per gram."""
-    return texts.withColumn("_words", words(F.col("text"))).withColumn(grams, ngrams(F.col("_words"), n)).drop("_words")
+    return texts.withColumn(grams, ngrams(words(F.col("text")), n))
 
 
 def pair_overlap(pairs: DataFrame, query: DataFrame, corpus: DataFrame, n: int = GRAM) -> DataFrame:
@@ -104,15 +103,19 @@ def leakage_pairs(neighbours: DataFrame, query: DataFrame, corpus: DataFrame, n:
 
 def random_pair_cosines(query: DataFrame, corpus: DataFrame, pairs: int = RANDOM_PAIRS, seed: int = SEED) -> DataFrame:
     """Cosines of ``pairs`` hash-drawn (query, corpus) pairs: what unrelated texts look like."""
-    q = global_rank(normalized(query).select("query_id", "vec"), ["query_id"], "_qi")
-    c = global_rank(normalized(corpus).select("corpus_id", "vec"), ["corpus_id"], "_ci")
+    query, corpus = normalized(query), normalized(corpus)
+    # Only ids are ranked; vectors are fetched for the drawn pairs.
+    q = global_rank(query.select("query_id"), ["query_id"], "_qi")
+    c = global_rank(corpus.select("corpus_id"), ["corpus_id"], "_ci")
     n_query, n_corpus = q.count(), c.count()
     drawn = query.sparkSession.range(pairs).select(
         F.col("id").alias("pair"),
         hash_slot(n_query, seed, "query", F.col("id")).alias("_qi"),
         hash_slot(n_corpus, seed, "corpus", F.col("id")).alias("_ci"),
     )
-    joined = drawn.join(q.withColumnRenamed("vec", "_q"), "_qi").join(c.withColumnRenamed("vec", "_c"), "_ci")
+    ids = drawn.join(q, "_qi").join(c, "_ci").select("pair", "query_id", "corpus_id")
+    q_vecs = query.select("query_id", F.col("vec").alias("_q"))
+    joined = ids.join(q_vecs, "query_id").join(corpus.select("corpus_id", F.col("vec").alias("_c")), "corpus_id")
     return joined.select("pair", "query_id", "corpus_id", F.round(dot(F.col("_q"), F.col("_c")), 9).alias("cosine"))
 
 
@@ -159,32 +162,33 @@ def near_verbatim_pairs(query: DataFrame, corpus: DataFrame, n: int = GRAM, abov
     Exact, without a limit on frequent grams. A pair above the level shares more than
     ``above * size`` grams of its smaller set, so at least one of them is among the
     ``size - floor(above * size)`` rarest grams of that set. Only those rare grams of the smaller
-    side are joined; the pairs found are then checked on the whole texts. Copies of a corpus text
-    are compared once.
+    side are joined; the pairs found are then checked on the whole texts. Grams travel as 64-bit
+    hashes: equal hashes of different grams can only add a pair to check.
     """
-    copies = corpus.select("corpus_id", F.sha2("text", 256).alias("_hash"), "text")
-    unique = copies.groupBy("_hash").agg(F.min("corpus_id").alias("corpus_id"))
-    texts = copies.join(unique.select("corpus_id"), "corpus_id", "left_semi").select("corpus_id", "text")
-    q = _gram_rows(query.select("query_id", "text"), "query_id", n)
-    c = _gram_rows(texts, "corpus_id", n)
-    frequency = c.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    # Grams found on both sides, each with its corpus frequency, rarest first within its text.
-    shared = materialize(frequency.join(q.select("gram").distinct(), "gram", "left_semi"), "gram-frequency")
-    q = materialize(_rarest(q.join(shared, "gram"), "query_id", above), "query-grams")
-    c = materialize(_rarest(c.join(shared, "gram"), "corpus_id", above), "corpus-grams")
-    small_query = q.filter("rare").join(c, "gram").filter(q["size"] <= c["size"])
-    small_corpus = c.filter("rare").join(q, "gram").filter(c["size"] < q["size"])
+    q = materialize(_gram_rows(query.select("query_id", "text"), "query_id", n), "query-grams")
+    c = _gram_rows(corpus.select("corpus_id", "text"), "corpus_id", n)
+    # From here on only corpus grams that some query has.
+    c = materialize(c.join(q.select("gram").distinct(), "gram", "left_semi"), "corpus-grams")
+    frequency = materialize(c.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram-frequency")
+    q = _rarest(q.join(frequency, "gram"), "query_id", above)
+    c = _rarest(c.join(frequency, "gram"), "corpus_id", above)
+    # Neither text can share more grams than it has in common with the whole other side.
+    enough = F.least(q["found"], c["found"]) > F.least(q["size"], c["size"]) * above
+    small_query = q.filter("rare").join(c, "gram").filter((q["size"] <= c["size"]) & enough)
+    small_corpus = c.filter("rare").join(q, "gram").filter((c["size"] < q["size"]) & enough)
     key = ["query_id", "corpus_id"]
-    candidates = small_query.select(*key).unionByName(small_corpus.select(*key)).distinct()
-    found = pair_overlap(candidates, query, texts, n).filter(F.col("containment") > above)
-    found = found.select(F.col("corpus_id").alias("_one"), "query_id", "jaccard", "containment")
-    ids = copies.select("corpus_id", "_hash").join(unique.withColumnRenamed("corpus_id", "_one"), "_hash")
-    return ids.join(found, "_one").select("query_id", "corpus_id", "jaccard", "containment")
+    candidates = materialize(small_query.select(*key).unionByName(small_corpus.select(*key)).distinct(), "candidates")
+    found = pair_overlap(candidates, query, corpus, n).filter(F.col("containment") > above)
+    return found.select(*key, "jaccard", "containment")
 
 
 def _gram_rows(texts: DataFrame, key: str, n: int) -> DataFrame:
     sets = _gram_sets(texts, n, "_grams")
-    return sets.select(key, F.size("_grams").alias("size"), F.explode("_grams").alias("gram"))
+    hashes = F.transform("_grams", lambda g: F.xxhash64(g))
+    # The size comes first, so that the set itself is not copied into every exploded row. The outer
+    # form, because the inner one filters on the set and so builds it twice.
+    sized = sets.select(key, F.size("_grams").alias("size"), hashes.alias("_hashes"))
+    return sized.select(key, "size", F.explode_outer("_hashes").alias("gram")).filter("gram is not null")
 
 
 def _rarest(grams: DataFrame, key: str, above: float) -> DataFrame:
@@ -194,7 +198,7 @@ def _rarest(grams: DataFrame, key: str, above: float) -> DataFrame:
     """
     order = Window.partitionBy(key).orderBy("df", "gram")
     ranked = grams.withColumn("_place", F.row_number().over(order))
-    ranked = ranked.withColumn("_found", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    lacking = F.col("size") - F.col("_found")
+    ranked = ranked.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    lacking = F.col("size") - F.col("found")
     prefix = F.col("size") - F.floor(F.col("size") * above)
-    return ranked.withColumn("rare", F.col("_place") + lacking <= prefix).drop("_place", "_found", "df")
+    return ranked.withColumn("rare", F.col("_place") + lacking <= prefix).drop("_place", "df")

@@ -55,7 +55,8 @@ def nce_logits(
             }
         )
 
-    by_batch = positions.groupBy("batch_id").cogroup(negatives.groupBy("batch_id"))
+    shared = negatives.select(F.col("batch_id").alias("shared_by"), "vec")
+    by_batch = positions.groupBy("batch_id").cogroup(shared.groupBy("shared_by"))
     return by_batch.applyInPandas(logits, LOGIT_SCHEMA)
 
 

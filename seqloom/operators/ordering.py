@@ -112,11 +112,19 @@ def _window_positions(df, group_by, order_by, position, size) -> DataFrame:
     )
 
 
-def take_first(df: DataFrame, order_by: Sequence[str | Column], n: int) -> DataFrame:
-    """The first ``n`` rows in the order of ``order_by`` (unique keys)."""
-    if n <= MAX_LIMIT_ROWS:
+def take_first(df: DataFrame, order_by: Sequence[str], n: int, max_limit_rows: int = MAX_LIMIT_ROWS) -> DataFrame:
+    """The first ``n`` rows in the order of the columns ``order_by`` (unique, without nulls).
+
+    A short report is a sort with a limit. For a long one only the keys are ranked, and the rows up
+    to the n-th key are kept where they are.
+    """
+    if n <= max_limit_rows:
         return df.orderBy(*order_by).limit(n)
-    return global_rank(df, order_by, "_rank").filter(F.col("_rank") < n).drop("_rank")
+    keys = global_rank(df.select(*order_by), order_by, "_rank")
+    last = keys.filter(F.col("_rank") == n - 1).select(*order_by).first()
+    if last is None:
+        return df
+    return df.filter(F.struct(*order_by) <= F.struct(*[F.lit(last[c]).alias(c) for c in order_by]))
 
 
 def _neighbours(at: float) -> set[int]:

@@ -76,7 +76,7 @@ def _resolved(href: Column, base: Column) -> Column:
 def extract_outlinks(pages: DataFrame) -> DataFrame:
     """``(page_id, target_url)``: all distinct link targets of each page as whole URLs."""
     hrefs = F.array_distinct(F.regexp_extract_all("html", F.lit(HREF), F.lit(1)))
-    rows = pages.select("page_id", without_fragment(F.trim("url")).alias("base"), F.explode(hrefs).alias("href"))
+    rows = pages.select("page_id", without_fragment(F.trim("url")).alias("base"), F.explode_outer(hrefs).alias("href"))
     href = without_fragment(F.trim(F.replace("href", F.lit("&amp;"), F.lit("&"))))
     links = rows.select("page_id", normalized_url(_resolved(href, F.col("base"))).alias("target_url"))
     return links.filter(F.col("target_url").rlike("^https?://")).distinct()

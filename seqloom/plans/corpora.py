@@ -82,10 +82,9 @@ _AUDIT = """audit AS (
   FROM knn JOIN qg q ON q.id = query_id JOIN cg c ON c.id = corpus_id)"""
 
 
-@query(with_sql(_VECS, _KNN, select="SELECT query_id, corpus_id, rank, round(cosine, 6) AS cosine FROM knn"))
+@query(with_sql(_VECS, _KNN, select="SELECT query_id, corpus_id, rank, cosine FROM knn"))
 def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    found = leakage.knn_cosine(query_vectors(spark, sf), corpus_vectors(spark, sf))
-    return found.withColumn("cosine", rounded("cosine"))
+    return leakage.knn_cosine(query_vectors(spark, sf), corpus_vectors(spark, sf))
 
 
 @query(
@@ -106,13 +105,13 @@ def lexical_overlap(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     with_sql(
         _GRAMS,
-        """overlaps AS (
+        """shared_grams AS (
           SELECT q.id AS query_id, c.id AS corpus_id, count(*) AS shared, any_value(len(q.g)) AS qn, any_value(len(c.g)) AS cn
           FROM (SELECT id, g, unnest(g) AS gram FROM qg) q JOIN (SELECT id, g, unnest(g) AS gram FROM cg) c USING (gram)
           GROUP BY q.id, c.id)""",
         select="""SELECT query_id, corpus_id, round(shared / (qn + cn - shared), 6) AS jaccard,
                          round(shared / least(qn, cn), 6) AS containment
-                  FROM overlaps WHERE shared / least(qn, cn) > 0.5""",
+                  FROM shared_grams WHERE shared / least(qn, cn) > 0.5""",
     )
 )
 def near_verbatim_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,7 +128,7 @@ drawn AS (
          ('0x' || substr(md5('0|corpus|' || i), 1, 13))::BIGINT % (SELECT count(*) FROM nc) AS ci
   FROM range(20000) t(i)),
 baseline AS (
-  SELECT pair, nq.id AS query_id, nc.id AS corpus_id, list_cosine_similarity(nq.vec, nc.vec) AS cosine
+  SELECT pair, nq.id AS query_id, nc.id AS corpus_id, round(list_cosine_similarity(nq.vec, nc.vec), 9) AS cosine
   FROM drawn JOIN nq USING (qi) JOIN nc USING (ci))"""
 
 
@@ -137,39 +136,40 @@ def random_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.random_pair_cosines(query_vectors(spark, sf), corpus_vectors(spark, sf))
 
 
-@query(with_sql(_VECS, _BASELINE, select="SELECT pair, query_id, corpus_id, round(cosine, 6) AS cosine FROM baseline"))
+@query(with_sql(_VECS, _BASELINE, select="SELECT pair, query_id, corpus_id, cosine FROM baseline"))
 def random_pair_cosines(spark: SparkSession, sf: str) -> DataFrame:
-    return random_pairs(spark, sf).withColumn("cosine", rounded("cosine"))
+    return random_pairs(spark, sf)
 
 
 @query(
     with_sql(
         _VECS,
         _BASELINE,
-        select="""SELECT 'mean' AS stat, round(avg(cosine), 6) AS value FROM baseline
-                  UNION ALL SELECT 'max', round(max(cosine), 6) FROM baseline
-                  UNION ALL SELECT 'p50', round(quantile_cont(cosine, 0.50), 6) FROM baseline
-                  UNION ALL SELECT 'p99', round(quantile_cont(cosine, 0.99), 6) FROM baseline""",
+        select="""SELECT 'mean' AS stat, round(avg(cosine), 12) AS value FROM baseline
+                  UNION ALL SELECT 'max', max(cosine) FROM baseline
+                  UNION ALL SELECT 'p50', round(quantile_cont(cosine, 0.50), 12) FROM baseline
+                  UNION ALL SELECT 'p99', round(quantile_cont(cosine, 0.99), 12) FROM baseline""",
     )
 )
 def random_pair_baseline(spark: SparkSession, sf: str) -> DataFrame:
     drawn = prepared(spark, sf, "random-pairs", lambda: random_pairs(spark, sf))
-    return leakage.random_pair_baseline(drawn).withColumn("value", rounded("value"))
+    return leakage.random_pair_baseline(drawn).withColumn("value", rounded("value", 12))
 
 
-@query(
-    with_sql(
-        _VECS,
-        _KNN,
-        _GRAMS,
-        _AUDIT,
-        select="""SELECT query_id, corpus_id, rank, round(cosine, 6) AS cosine, round(jaccard, 6) AS jaccard_5gram,
-                         round(containment, 6) AS containment_5gram, query_text, corpus_text FROM audit""",
-    )
+AUDIT_SQL = with_sql(
+    _VECS,
+    _KNN,
+    _GRAMS,
+    _AUDIT,
+    select="""SELECT query_id, corpus_id, rank, cosine, round(jaccard, 6) AS jaccard_5gram,
+                     round(containment, 6) AS containment_5gram, query_text, corpus_text FROM audit""",
 )
+
+
+@query(AUDIT_SQL)
 def leakage_pairs(spark: SparkSession, sf: str) -> DataFrame:
     pairs = leakage.leakage_pairs(neighbours(spark, sf), benchmark(spark, sf), documents(spark, sf))
-    return pairs.withColumns({c: rounded(c) for c in ("cosine", "jaccard_5gram", "containment_5gram")})
+    return pairs.withColumns({c: rounded(c) for c in ("jaccard_5gram", "containment_5gram")})
 
 
 @query(
@@ -179,7 +179,7 @@ def leakage_pairs(spark: SparkSession, sf: str) -> DataFrame:
         _GRAMS,
         _AUDIT,
         "nearest AS (SELECT cosine FROM audit WHERE rank = 0)",
-        select="""SELECT stat, round(value, 6) AS value FROM (
+        select="""SELECT stat, round(value, 12) AS value FROM (
           SELECT 'p50' AS stat, quantile_cont(cosine, 0.50) AS value FROM nearest
           UNION ALL SELECT 'p90', quantile_cont(cosine, 0.90) FROM nearest
           UNION ALL SELECT 'p99', quantile_cont(cosine, 0.99) FROM nearest
@@ -192,7 +192,7 @@ def leakage_pairs(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def leakage_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return leakage.leakage_summary(audit_pairs(spark, sf)).withColumn("value", rounded("value"))
+    return leakage.leakage_summary(audit_pairs(spark, sf)).withColumn("value", rounded("value", 12))
 
 
 @query(
@@ -309,7 +309,7 @@ _PAGE_TEXT = r"""page_texts AS (
         _PAGE_TEXT,
         _vectors_sql("pv", "page_texts", "page_id"),
         "numbered AS (SELECT *, row_number() OVER (ORDER BY page_id, target_id) AS user_id FROM page_pairs)",
-        select="""SELECT user_id, page_id, target_id, round(list_cosine_similarity(a.vec, b.vec), 6) AS score
+        select="""SELECT user_id, page_id, target_id, round(list_cosine_similarity(a.vec, b.vec), 9) AS score
                   FROM numbered JOIN pv a ON a.id = page_id JOIN pv b ON b.id = target_id
                   WHERE list_cosine_similarity(a.vec, b.vec) >= 0.55""",
     )
@@ -317,5 +317,4 @@ _PAGE_TEXT = r"""page_texts AS (
 def curate(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", webcorpus.page_text(F.col("html")).alias("text"))
     vectors = scoring.embed_table(pages, "page_id", "text", leakage.hashed_words(DIM))
-    kept = webcorpus.curate(linked_pages(spark, sf), vectors.withColumnRenamed("page_id", "item_id"), 0.55)
-    return kept.withColumn("score", rounded("score"))
+    return webcorpus.curate(linked_pages(spark, sf), vectors.withColumnRenamed("page_id", "item_id"), 0.55)

@@ -270,8 +270,8 @@ def semi_filter_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT CAST(d.doc_id AS BIGINT) AS user_id, d.source, round(l.quality * 0.4 + l.toxic * 0.3, 6) AS score
-       FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE round(l.quality * 0.4 + l.toxic * 0.3, 6) >= 0.35"""
+    """SELECT CAST(d.doc_id AS BIGINT) AS user_id, d.source, round(l.quality * 0.4::DOUBLE + l.toxic * 0.3::DOUBLE, 6) AS score
+       FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE round(l.quality * 0.4::DOUBLE + l.toxic * 0.3::DOUBLE, 6) >= 0.35"""
 )
 def filter_by_relevance(spark: SparkSession, sf: str) -> DataFrame:
     pairs = table(spark, sf, "documents").select(F.col("doc_id").alias("user_id"), "source")

@@ -236,10 +236,10 @@ def bucketize_time_gaps(spark: SparkSession, sf: str) -> DataFrame:
           SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n
           FROM ointer WINDOW w AS (PARTITION BY user_id ORDER BY timestamp, o_orderkey, l_linenumber, item_id)),
         cross_cut AS (
-          SELECT user_id, item_id, pos - (CASE WHEN n > 11 THEN n % 11 ELSE 0 END) AS at, n FROM opos)""",
-        select="""SELECT 'train' AS part, user_id, CAST(CASE WHEN n > 11 THEN at // 11 ELSE 0 END AS INT) AS seq_no,
-                         string_agg(item_id, ',' ORDER BY at) AS item_seq, NULL AS target
-                  FROM cross_cut WHERE at >= 0 GROUP BY ALL
+          SELECT user_id, item_id, pos - (CASE WHEN n > 11 THEN n % 11 ELSE 0 END) AS place, n FROM opos)""",
+        select="""SELECT 'train' AS part, user_id, CAST(CASE WHEN n > 11 THEN place // 11 ELSE 0 END AS INT) AS seq_no,
+                         string_agg(item_id, ',' ORDER BY place) AS item_seq, NULL AS target
+                  FROM cross_cut WHERE place >= 0 GROUP BY ALL
                   UNION ALL
                   SELECT 'test', CAST(user_id AS VARCHAR), NULL,
                          string_agg(CASE WHEN pos < n - 1 AND pos >= n - 11 THEN item_id END, ',' ORDER BY pos),
@@ -506,7 +506,8 @@ def ragged_history_index(spark: SparkSession, sf: str) -> DataFrame:
         FROM r GROUP BY batch_id"""
 )
 def packed_batches(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", text.tokenize_truncate(F.col("text")).alias("tokens"))
-    ids = docs.select("doc_id", text.token_ids(F.col("tokens"), 32000).alias("input_ids"))
-    rows = batches.batched(batches.packed_rows(ids, text.MAX_TEXT_LENGTH, 1), ["doc_id"], 8)
-    return _as_text(batches.packed_batches(rows), "input_ids", "cu_input_lens", "position_ids")
+    docs = batches.batched(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], 8)
+    tokens = text.token_ids(text.tokenize_truncate(F.col("text")), 32000)
+    rows = docs.select("batch_id", "example", tokens.alias("input_ids"))
+    packed = batches.packed_batches(batches.packed_rows(rows, text.MAX_TEXT_LENGTH, 1))
+    return _as_text(packed, "input_ids", "cu_input_lens", "position_ids")

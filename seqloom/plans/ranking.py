@@ -109,33 +109,31 @@ def mean_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    with_sql(*LOG, VECTORS, TEST, SCORES, select="SELECT user_id, item_id, round(score, 6) AS score FROM scores")
+    with_sql(*LOG, VECTORS, TEST, SCORES, select="SELECT user_id, item_id, score FROM scores")
 )
 def score_full_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    scores = scoring.score_full_catalog(user_vectors(spark, sf), item_vectors(spark, sf))
-    return scores.withColumn("score", rounded("score"))
+    return scoring.score_full_catalog(user_vectors(spark, sf), item_vectors(spark, sf))
 
 
 @query(
     with_sql(
-        *LOG, VECTORS, TEST, SCORES, RANKED, select="SELECT user_id, item_id, round(score, 6) AS score FROM masked"
+        *LOG, VECTORS, TEST, SCORES, RANKED, select="SELECT user_id, item_id, score FROM masked"
     )
 )
 def mask_candidates(spark: SparkSession, sf: str) -> DataFrame:
     scores = scoring.score_full_catalog(user_vectors(spark, sf), item_vectors(spark, sf))
-    masked = scoring.mask_candidates(scores, test_history(spark, sf))
-    return masked.withColumn("score", rounded("score"))
+    return scoring.mask_candidates(scores, test_history(spark, sf))
 
 
 @query(
     with_sql(
         *RECOMMEND,
-        select=f"""SELECT user_id, CAST(rank AS INT) AS rank, item_id, round(score, 6) AS score
+        select=f"""SELECT user_id, CAST(rank AS INT) AS rank, item_id, score
                    FROM ranked WHERE rank <= {DEPTH}""",
     )
 )
 def top_k_of_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    return recommended(spark, sf).withColumn("score", rounded("score"))
+    return recommended(spark, sf)
 
 
 @query(
@@ -155,7 +153,7 @@ def top_k(spark: SparkSession, sf: str) -> DataFrame:
     with_sql(
         *RECOMMEND,
         select=f"""SELECT repeat('0,', greatest({LENGTH} - any_value(p.n)::INT + 1, 0)) || string_agg(i.token, ',' ORDER BY p.pos)
-                            AS interaction, any_value(ti.token) AS target, any_value(round(m.score, 6)) AS score
+                            AS interaction, any_value(ti.token) AS target, any_value(m.score) AS score
                    FROM pos p JOIN items i ON i.id = p.item_id
                      JOIN test_rows t ON t.user_id = p.user_id JOIN items ti ON ti.id = t.target
                      LEFT JOIN masked m ON m.user_id = p.user_id AND m.item_id = t.target
@@ -170,7 +168,7 @@ def relevance_records(spark: SparkSession, sf: str) -> DataFrame:
     named = examples.withColumnRenamed("item_seq", "interaction")
     decoded = idmap.decode_ids(named, item_map(spark, sf), ["user_id"], "interaction")
     records = scoring.relevance_records(examples, scored, decoded, item_map(spark, sf))
-    return records.select(joined(F.col("interaction")).alias("interaction"), "target", rounded("score").alias("score"))
+    return records.select(joined(F.col("interaction")).alias("interaction"), "target", "score")
 
 
 HITS = f"""hits AS (

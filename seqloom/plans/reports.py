@@ -9,7 +9,7 @@ from seqloom import functions as fn
 from seqloom import sources
 from seqloom.operators.checkpoints import best_checkpoint as best_of_runs
 from seqloom.operators.ordering import group_positions
-from seqloom.plans.corpora import audit_pairs
+from seqloom.plans.corpora import AUDIT_SQL, audit_pairs
 from seqloom.plans.ranking import TOPK, metrics, scored_events
 from seqloom.plans.registry import query
 from seqloom.plans.views import LOG, encoded, rounded, table, with_sql
@@ -36,12 +36,13 @@ def relevance_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     return back.withColumn("interaction", F.array_join(F.col("interaction").cast("array<string>"), ","))
 
 
-@query()
+@query(AUDIT_SQL)
 def leakage_pairs_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "pairs-csv")
     sources.write_pairs(audit_pairs(spark, sf), path)
     schema = audit_pairs(spark, sf).schema
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+    back = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+    return back.withColumns({c: rounded(c) for c in ("jaccard_5gram", "containment_5gram")})
 
 
 @query(
@@ -67,17 +68,17 @@ _STOPS = """runs AS (SELECT pos.user_id AS run_id, pos.pos AS epoch, events.valu
                      FROM pos JOIN events ON events.event_id = pos.row_ord),
 best AS (SELECT *, max(score) OVER (PARTITION BY run_id ORDER BY epoch) AS best FROM runs),
 last_best AS (
-  SELECT *, max(CASE WHEN score >= best THEN epoch END) OVER (PARTITION BY run_id ORDER BY epoch) AS at FROM best),
+  SELECT *, max(CASE WHEN score >= best THEN epoch END) OVER (PARTITION BY run_id ORDER BY epoch) AS best_at FROM best),
 stops AS (
-  SELECT run_id, min(CASE WHEN epoch - at > 5 THEN epoch END) AS stop, max(epoch) AS last FROM last_best GROUP BY run_id)"""
+  SELECT run_id, min(CASE WHEN epoch - best_at > 5 THEN epoch END) AS stop, max(epoch) AS last FROM last_best GROUP BY run_id)"""
 
 
 @query(
     with_sql(
         *LOG,
         _STOPS,
-        select="""SELECT run_id, max(at) AS best_epoch, round(arg_max(best, epoch), 6) AS best_score, count(*) AS epochs_run,
-                         arg_max(epoch - at, epoch) AS worse_steps, any_value(stop) IS NOT NULL AS stopped_early
+        select="""SELECT run_id, max(best_at) AS best_epoch, round(arg_max(best, epoch), 6) AS best_score, count(*) AS epochs_run,
+                         arg_max(epoch - best_at, epoch) AS worse_steps, any_value(stop) IS NOT NULL AS stopped_early
                   FROM last_best JOIN stops USING (run_id) WHERE epoch <= coalesce(stop, last) GROUP BY run_id""",
     )
 )

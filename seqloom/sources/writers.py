@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Quotes are doubled and blanks at the ends of a field are kept.
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_relevance_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
     """One JSON object per scored pair. A masked score is not a JSON number: it becomes null + flag."""
     masked = F.col("score").isNull() | (F.col("score") == float("-inf"))
@@ -17,17 +21,17 @@ def write_relevance_jsonl(df: DataFrame, path: str, mode: str = "error") -> None
 
 
 def write_interactions(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.select("item_id", "user_id", "timestamp").write.mode(mode).csv(path, header=True, escape='"')
+    df.select("item_id", "user_id", "timestamp").write.mode(mode).csv(path, **_CSV)
 
 
 def write_item_info(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).csv(path, header=True, escape='"')
+    df.write.mode(mode).csv(path, **_CSV)
 
 
 def write_pairs(pairs: DataFrame, path: str, mode: str = "error") -> None:
     """Leakage pairs, most similar first across the ordered part files."""
     order = [F.desc("cosine"), F.asc("query_id"), F.asc("rank")]
-    pairs.orderBy(*order).write.mode(mode).csv(path, header=True, escape='"')
+    pairs.orderBy(*order).write.mode(mode).csv(path, **_CSV)
 
 
 def append_run_metrics(metrics: DataFrame, run: Mapping[str, str | None], path: str) -> None:
