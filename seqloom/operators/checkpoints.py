@@ -21,25 +21,19 @@ def best_checkpoint(history: DataFrame, patience: int = PATIENCE, bigger: bool =
     placed = group_positions(history, ["run_id"], ["epoch"], "_at", "_n")
     signed = F.col("score") if bigger else -F.col("score")
     scored = running_max(placed, ["run_id"], "_at", {"_best": signed})
-    improved = scored.withColumn("_improved", signed >= F.col("_best"))
-    steps = running_max(improved, ["run_id"], "_at", {"_last": F.when(F.col("_improved"), F.col("_at"))})
-    steps = steps.withColumn("_worse", F.col("_at") - F.col("_last"))
-    stops = steps.groupBy("run_id").agg(
-        F.min(F.when(F.col("_worse") > patience, F.col("_at"))).alias("_stop"), F.max("_at").alias("_end")
-    )
-    ended = steps.join(stops, "run_id").filter(F.col("_at") <= F.coalesce("_stop", "_end"))
-    best = F.max_by(F.struct("epoch", "score"), F.when(F.col("_improved"), F.col("_at"))).alias("_b")
-    result = ended.groupBy("run_id").agg(
-        best,
-        F.count(F.lit(1)).alias("epochs_run"),
-        F.max_by("_worse", "_at").alias("worse_steps"),
-        F.bool_or(F.col("_stop").isNotNull()).alias("stopped_early"),
-    )
-    return result.select(
+    improved = F.when(signed >= F.col("_best"), F.struct("_at", "epoch", "score"))
+    steps = running_max(scored, ["run_id"], "_at", {"_last": improved})
+    state = F.struct("_at", "_last", (F.col("_at") - F.col("_last._at")).alias("_worse"))
+    steps = steps.select("run_id", state.alias("_s"))
+    # The state at the stop, or else at the end, already names the best epoch before it.
+    over = F.when(F.col("_s._worse") > patience, F.col("_s._at"))
+    runs = steps.groupBy("run_id").agg(F.min_by("_s", over).alias("_stop"), F.max_by("_s", F.col("_s._at")).alias("_end"))
+    runs = runs.withColumn("_s", F.coalesce("_stop", "_end"))
+    return runs.select(
         "run_id",
-        F.col("_b.epoch").alias("best_epoch"),
-        F.col("_b.score").alias("best_score"),
-        "epochs_run",
-        "worse_steps",
-        "stopped_early",
+        F.col("_s._last.epoch").alias("best_epoch"),
+        F.col("_s._last.score").alias("best_score"),
+        (F.col("_s._at") + 1).alias("epochs_run"),
+        F.col("_s._worse").alias("worse_steps"),
+        F.col("_stop").isNotNull().alias("stopped_early"),
     )

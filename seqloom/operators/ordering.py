@@ -127,19 +127,24 @@ def take_first(df: DataFrame, order_by: Sequence[str], n: int, max_limit_rows: i
     return df.filter(F.struct(*order_by) <= F.struct(*[F.lit(last[c]).alias(c) for c in order_by]))
 
 
-def _neighbours(at: float) -> set[int]:
-    return {math.floor(at), math.ceil(at)}
-
-
 def exact_percentiles(df: DataFrame, value: str, levels: Sequence[float]) -> DataFrame:
-    """``(level, value)`` with linear interpolation, from ranks instead of one large buffer."""
-    ranked = global_rank(df.select(F.col(value).cast("double").alias("_v")).filter("_v is not null"), ["_v"], "_r")
-    ranked = materialize(ranked, "percentiles")
-    last = ranked.agg(F.max("_r")).first()[0] or 0
-    places = [(float(q), r, q * last - math.floor(q * last)) for q in levels for r in _neighbours(q * last)]
-    wanted = F.broadcast(df.sparkSession.createDataFrame(places, "level double, _r long, _part double"))
-    hits = ranked.join(wanted, "_r").groupBy("level").agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max("_part").alias("_part")
+    """``(level, value)`` with linear interpolation, without one buffer of all values.
+
+    Equal values are counted first, so a value that fills a third of the rows is one row of the
+    ordered table.
+    """
+    counted = df.select(F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    counted = counted.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_totals(counted, ["_v"], {"_end": "_n"})
+    last = (ranked.agg(F.max("_end")).first()[0] or 1) - 1
+    cells = [
+        F.struct(F.lit(float(q)).alias("level"), F.lit(r).alias("_r"), F.lit(q * last - math.floor(q * last)).alias("_part"))
+        for q in levels
+        for r in {math.floor(q * last), math.ceil(q * last)}
+    ]
+    covers = F.filter(F.array(*cells), lambda c: (c["_r"] < F.col("_end")) & (c["_r"] >= F.col("_end") - F.col("_n")))
+    hits = ranked.select("_v", F.explode(covers).alias("c")).groupBy("c.level").agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max("c._part").alias("_part")
     )
     return hits.select("level", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias("value"))
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import dot, l2_normalize
 from seqloom.operators.ordering import MAX_GROUP_ROWS, group_positions
+from seqloom.session import materialize
 
 # Largest item matrix sent to every executor, in bytes of its float64 values.
 BROADCAST_BYTES = 64 << 20
@@ -305,7 +306,8 @@ def average_rank(scores: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> Dat
     negated = scores.withColumn("_down", -F.col("score"))
     placed = group_positions(negated, ["user_id"], ["_down", "item_id"], "_pos", "_n", max_group_rows)
     shared = placed.groupBy("user_id", "score").agg(((F.min("_pos") + F.max("_pos")) / 2 + 1).alias("avg_rank"))
-    return scores.join(shared, ["user_id", "score"])
+    # Written, so that the join shuffles both sides and a score shared by very many rows is split.
+    return scores.join(materialize(shared, "shared-ranks"), ["user_id", "score"])
 
 
 def rank_sums(ranked: DataFrame, positives: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.session import materialize
+
 
 def user_counter(inter: DataFrame) -> DataFrame:
     return inter.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
@@ -50,10 +52,12 @@ def normalized_adjacency(encoded: DataFrame, user_num: int) -> DataFrame:
     """Edges ``(src, dst, weight)`` in both directions, weight ``1/sqrt(deg(src) * deg(dst))``.
 
     Item ids are shifted by ``user_num``; parallel edges are kept and count in the degrees. The
-    weight is symmetric, so the degrees are joined once per interaction and not once per edge.
+    weight is symmetric, so the degrees are joined once per interaction and not once per edge. The
+    degrees are written first: a join reads them through a shuffle of its own, which lets the
+    engine split the interactions of a hot user or item.
     """
-    users = user_counter(encoded).withColumnRenamed("n", "user_degree")
-    items = item_counter(encoded).withColumnRenamed("n", "item_degree")
+    users = materialize(user_counter(encoded).withColumnRenamed("n", "user_degree"), "user-degrees")
+    items = materialize(item_counter(encoded).withColumnRenamed("n", "item_degree"), "item-degrees")
     weighted = encoded.join(users, "user_id").join(items, "item_id")
     node = F.col("item_id") + F.lit(user_num)
     weight = 1 / F.sqrt(F.col("user_degree") * F.col("item_degree"))

@@ -14,6 +14,7 @@ from seqloom.operators.sampling import filter_by_relevance
 from seqloom.operators.scoring import mean_user_vectors, target_scores
 from seqloom.operators.sequences import eval_examples, eval_history, user_histories
 from seqloom.operators.validate import add_constant_columns
+from seqloom.session import materialize
 
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
 
@@ -89,13 +90,15 @@ def page_urls(pages: DataFrame) -> DataFrame:
 
 def link_pairs(pages: DataFrame, links: DataFrame) -> DataFrame:
     """``(page_id, target_id)``: pages with the known pages they link to, without self links."""
-    joined = links.join(page_urls(pages), "target_url").filter(F.col("page_id") != F.col("target_id"))
+    # Written, so that the join shuffles both sides and the links to a very popular URL are split.
+    known = materialize(page_urls(pages), "page-urls")
+    joined = links.join(known, "target_url").filter(F.col("page_id") != F.col("target_id"))
     return joined.select("page_id", "target_id").distinct()
 
 
 def dangling_links(pages: DataFrame, links: DataFrame) -> DataFrame:
     """Links to URLs that are not among the pages."""
-    return links.join(page_urls(pages), "target_url", "left_anti").select("page_id", "target_url")
+    return links.join(materialize(page_urls(pages), "page-urls"), "target_url", "left_anti").select("page_id", "target_url")
 
 
 def pairs_to_interactions(pairs: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import leakage, scoring, webcorpus
 from seqloom.plans.registry import query
-from seqloom.plans.views import joined, prepared, rounded, table, with_sql
+from seqloom.plans.views import prepared, rounded, table, with_sql
+from seqloom.session import spread
 
 DIM = 64
 
@@ -17,7 +18,7 @@ def benchmark(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("corpus_id"), "text")
+    return spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("corpus_id"), "text")
 
 
 def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -214,7 +215,7 @@ def classify_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def relevance_model(spark: SparkSession, sf: str):
-    labelled = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    labelled = spread(table(spark, sf, "documents")).join(table(spark, sf, "labels"), "doc_id")
     return webcorpus.train_relevance_filter(
         labelled.filter("quality = 1"), labelled.filter("quality = 0"), iterations=10
     )
@@ -222,14 +223,14 @@ def relevance_model(spark: SparkSession, sf: str):
 
 @query()
 def relevance_scores(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents")).select("doc_id", "text")
     scored = webcorpus.score_documents(docs, relevance_model(spark, sf))
     return scored.select("doc_id", rounded("score").alias("score"))
 
 
 @query()
 def rank_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents")).select("doc_id", "text")
     ranked = webcorpus.rank_documents(docs, relevance_model(spark, sf), 100)
     return ranked.select("doc_id", rounded("score").alias("score"))
 
@@ -254,7 +255,7 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
     following = pages.select((F.col("page_id") - 1).alias("page_id"), webcorpus.normalized_url(F.col("url")).alias("target_url"))
     derived = following.join(pages.select("page_id"), "page_id", "left_semi")
-    return webcorpus.extract_outlinks(pages).unionByName(derived).distinct()
+    return webcorpus.extract_outlinks(spread(pages)).unionByName(derived).distinct()
 
 
 def linked_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,7 +264,7 @@ def linked_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_sql(_LINKS, select="SELECT page_id, target_url FROM outlinks"))
 def extract_outlinks(spark: SparkSession, sf: str) -> DataFrame:
-    return webcorpus.extract_outlinks(table(spark, sf, "pages"))
+    return webcorpus.extract_outlinks(spread(table(spark, sf, "pages")))
 
 
 @query(with_sql(_LINKS, select="SELECT page_id, target_id FROM page_pairs"))
@@ -315,6 +316,6 @@ _PAGE_TEXT = r"""page_texts AS (
     )
 )
 def curate(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "pages").select("page_id", webcorpus.page_text(F.col("html")).alias("text"))
+    pages = spread(table(spark, sf, "pages")).select("page_id", webcorpus.page_text(F.col("html")).alias("text"))
     vectors = scoring.embed_table(pages, "page_id", "text", leakage.hashed_words(DIM))
     return webcorpus.curate(linked_pages(spark, sf), vectors.withColumnRenamed("page_id", "item_id"), 0.55)

@@ -28,6 +28,7 @@ from seqloom.plans.views import (
     table,
     with_sql,
 )
+from seqloom.session import spread
 
 WIDTH = LENGTH + 1
 _PAD = f"repeat('0,', greatest({LENGTH} - len(s), 0)::INT)"
@@ -414,7 +415,7 @@ def mask_false_negatives(spark: SparkSession, sf: str) -> DataFrame:
 )
 def tokenize_truncate(spark: SparkSession, sf: str) -> DataFrame:
     tokens = text.tokenize_truncate(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", joined(tokens, " ").alias("tokens"))
+    return spread(table(spark, sf, "documents")).select("doc_id", joined(tokens, " ").alias("tokens"))
 
 
 @query(
@@ -439,7 +440,7 @@ def join_text(spark: SparkSession, sf: str) -> DataFrame:
         SELECT doc_id, len(grams) AS grams, md5(array_to_string(list_sort(grams), '|')) AS digest FROM g"""
 )
 def word_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", fn.words(F.col("text")).alias("words"))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", fn.words(F.col("text")).alias("words"))
     grams = docs.select("doc_id", fn.ngrams(F.col("words"), 5).alias("grams"))
     digest = F.md5(F.array_join(F.sort_array("grams"), "|"))
     return grams.select("doc_id", F.size("grams").cast("long").alias("grams"), digest.alias("digest"))

@@ -30,6 +30,7 @@ from seqloom.plans.views import (
     table,
     with_sql,
 )
+from seqloom.session import spread
 
 TOPK = (5, 10)
 DEPTH = max(TOPK)
@@ -79,7 +80,7 @@ def rounded_values(df: DataFrame) -> DataFrame:
           ON x.doc_id = d.doc_id""".replace("m[i][1]", "m[i]")
 )
 def embed_table(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = scoring.embed_table(table(spark, sf, "documents"), "doc_id", "text", hashed_words(64))
+    vectors = scoring.embed_table(spread(table(spark, sf, "documents")), "doc_id", "text", hashed_words(64))
     return vectors.select("doc_id", joined(F.col("vec").cast("array<int>")).alias("vec"))
 
 

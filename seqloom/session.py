@@ -34,6 +34,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/seqloom/{label}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a table scan with fewer splits than cores to all cores.
+
+    For costly work per row on a small input. A large input has more splits and stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a Parquet table and read it back.
 
