@@ -113,7 +113,9 @@ def test_average_rank_shares_ties(spark, bound):
     assert [got[i] for i in range(7)] == [1, 2.5, 2.5, 5, 5, 5, 7]
 
 
-def test_mean_pool_and_user_vectors(spark):
+@pytest.mark.parametrize("columns", [0, 512])
+def test_mean_pool_and_user_vectors(spark, monkeypatch, columns):
+    monkeypatch.setattr(scoring, "MAX_SUM_COLUMNS", columns)
     vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "item_id long, vec array<double>")
     seen = spark.createDataFrame([(5, 1), (5, 1), (5, 2), (6, 2)], "user_id long, item_id long")
     got = dict(rows(scoring.mean_user_vectors(seen, vecs)))
