@@ -107,7 +107,7 @@ def whole_sequences(spark: SparkSession, sf: str) -> DataFrame:
     with_sql(
         *LOG,
         CHUNKS,
-        select="""SELECT user_id, seq_no, e AS end, array_to_string(item_seq[1:e], ',') AS item_seq
+        select="""SELECT user_id, seq_no, CAST(e AS INT) AS end, array_to_string(item_seq[1:e], ',') AS item_seq
                   FROM chunks, LATERAL (SELECT unnest(range(2, len(item_seq) + 1)) AS e) WHERE len(item_seq) >= 2""",
     )
 )
@@ -239,10 +239,10 @@ def bucketize_time_gaps(spark: SparkSession, sf: str) -> DataFrame:
         cross_cut AS (
           SELECT user_id, item_id, pos - (CASE WHEN n > 11 THEN n % 11 ELSE 0 END) AS place, n FROM opos)""",
         select="""SELECT 'train' AS part, user_id, CAST(CASE WHEN n > 11 THEN place // 11 ELSE 0 END AS INT) AS seq_no,
-                         string_agg(item_id, ',' ORDER BY place) AS item_seq, NULL AS target
+                         string_agg(item_id, ',' ORDER BY place) AS item_seq, '' AS target
                   FROM cross_cut WHERE place >= 0 GROUP BY ALL
                   UNION ALL
-                  SELECT 'test', CAST(user_id AS VARCHAR), NULL,
+                  SELECT 'test', CAST(user_id AS VARCHAR), -1,
                          string_agg(CASE WHEN pos < n - 1 AND pos >= n - 11 THEN item_id END, ',' ORDER BY pos),
                          CAST(max(CASE WHEN pos = n - 1 THEN item_id END) AS VARCHAR) FROM pos GROUP BY user_id""",
     )
@@ -250,14 +250,13 @@ def bucketize_time_gaps(spark: SparkSession, sf: str) -> DataFrame:
 def cross_dataset_examples(spark: SparkSession, sf: str) -> DataFrame:
     log = order_inter(spark, sf).withColumn("row_ord", F.struct(*ORDER_KEYS)).drop("o_orderkey", "l_linenumber")
     train, _, test = sequences.cross_dataset_examples(log, encoded(spark, sf), LENGTH)
-    null = F.lit(None).cast("string")
     return train.select(
-        F.lit("train").alias("part"), "user_id", "seq_no", joined(F.col("item_seq")).alias("item_seq"), null.alias("target")
+        F.lit("train").alias("part"), "user_id", "seq_no", joined(F.col("item_seq")).alias("item_seq"), F.lit("").alias("target")
     ).unionByName(
         test.select(
             F.lit("test").alias("part"),
             F.col("user_id").cast("string").alias("user_id"),
-            F.lit(None).cast("int").alias("seq_no"),
+            F.lit(-1).alias("seq_no"),
             joined(F.col("history")).alias("item_seq"),
             F.col("target").cast("string").alias("target"),
         )

@@ -65,7 +65,9 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rounded_values(df: DataFrame) -> DataFrame:
-    return df.select("metric", F.col("k").cast("long").alias("k"), rounded("value").alias("value"))
+    """Metric values under their key text ``name@k``."""
+    key = F.when(F.col("k").isNull(), F.col("metric")).otherwise(F.concat_ws("@", "metric", "k"))
+    return df.select(key.alias("metric"), rounded("value").alias("value"))
 
 
 # Vectors.
@@ -181,11 +183,11 @@ HITS = f"""hits AS (
     with_sql(
         *RECOMMEND,
         HITS,
-        select="SELECT user_id, CAST(rank AS INT) AS rank, rel, CAST(pos_len AS BIGINT) AS pos_len FROM hits",
+        select="SELECT user_id, CAST(coalesce(rank, 0) AS INT) AS rank, rel, CAST(pos_len AS BIGINT) AS pos_len FROM hits",
     )
 )
 def hit_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return hits(spark, sf)
+    return hits(spark, sf).withColumn("rank", F.coalesce("rank", F.lit(0)))
 
 
 # Average ranks need ties: the score is how often a user met an item.
@@ -280,7 +282,7 @@ def _register_user_metric(name: str, expression: str) -> None:
         _TWO_HELD,
         f"""per_user AS (SELECT user_id, k, {expression} AS v
                          FROM hits2, (SELECT unnest([{', '.join(map(str, TOPK))}]) AS k) GROUP BY user_id, k)""",
-        select=f"""SELECT '{name}' AS metric, CAST(k AS BIGINT) AS k, round(avg(v), 6) AS value FROM per_user GROUP BY k""",
+        select=f"""SELECT '{name}@' || k AS metric, round(avg(v), 6) AS value FROM per_user GROUP BY k""",
     )
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
@@ -301,8 +303,8 @@ RECOMMENDER_SQL = with_sql(
       SELECT user_id, k, coalesce(sum(rel) FILTER (WHERE rank <= k), 0) AS recall,
              coalesce(sum(rel / log2(rank + 1)) FILTER (WHERE rank <= k), 0) AS ndcg
       FROM hits, (SELECT unnest([{', '.join(map(str, TOPK))}]) AS k) GROUP BY user_id, k)""",
-    select="""SELECT 'recall' AS metric, CAST(k AS BIGINT) AS k, round(avg(recall), 6) AS value FROM per_user GROUP BY k
-              UNION ALL SELECT 'ndcg', k, round(avg(ndcg), 6) FROM per_user GROUP BY k""",
+    select="""SELECT 'recall@' || k AS metric, round(avg(recall), 6) AS value FROM per_user GROUP BY k
+              UNION ALL SELECT 'ndcg@' || k, round(avg(ndcg), 6) FROM per_user GROUP BY k""",
 )
 
 
@@ -316,7 +318,7 @@ def evaluate_recommender(spark: SparkSession, sf: str) -> DataFrame:
     with_sql(
         *RECOMMEND,
         _MEAN_RANK,
-        select="""SELECT 'gauc' AS metric, CAST(NULL AS BIGINT) AS k,
+        select="""SELECT 'gauc' AS metric,
                     round(sum(((n_candidates + 1) * pos_len - pos_len * (pos_len + 1) / 2 - pos_rank_sum)
                           / ((n_candidates - pos_len) * pos_len) * pos_len) / sum(pos_len), 6) AS value
                   FROM mean_rank WHERE pos_len > 0 AND n_candidates > pos_len""",
@@ -359,7 +361,7 @@ def roc_curve(spark: SparkSession, sf: str) -> DataFrame:
     with_sql(
         _SCORED,
         _CURVE,
-        select="""SELECT 'auc' AS metric, CAST(NULL AS BIGINT) AS k,
+        select="""SELECT 'auc' AS metric,
                          round(sum(neg * (tps - pos / 2)) / (max(fps) * max(tps)), 6) AS value FROM curve""",
     )
 )
@@ -370,9 +372,9 @@ def metric_auc(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     with_sql(
         _SCORED,
-        select="""SELECT 'mae' AS metric, CAST(NULL AS BIGINT) AS k, round(avg(abs(score - label)), 6) AS value FROM scored
-                  UNION ALL SELECT 'rmse', NULL, round(sqrt(avg((score - label) ** 2)), 6) FROM scored
-                  UNION ALL SELECT 'logloss', NULL, round(avg(
+        select="""SELECT 'mae' AS metric, round(avg(abs(score - label)), 6) AS value FROM scored
+                  UNION ALL SELECT 'rmse', round(sqrt(avg((score - label) ** 2)), 6) FROM scored
+                  UNION ALL SELECT 'logloss', round(avg(
                     -label * ln(greatest(least(score, 1 - 1e-15), 1e-15))
                     - (1 - label) * ln(1 - greatest(least(score, 1 - 1e-15), 1e-15))), 6) FROM scored""",
     )
@@ -407,7 +409,7 @@ def _diversity(spark: SparkSession, sf: str, name: str) -> DataFrame:
     with_sql(
         *RECOMMEND,
         _REC_COUNTS,
-        select="""SELECT 'itemcoverage' AS metric, CAST(k AS BIGINT) AS k,
+        select="""SELECT 'itemcoverage@' || k AS metric,
                          round(count(*) / (SELECT count(*) + 1 FROM items), 6) AS value FROM rec GROUP BY k""",
     )
 )
@@ -421,7 +423,7 @@ def metric_itemcoverage(spark: SparkSession, sf: str) -> DataFrame:
         _COUNTS,
         f"""per_user AS (SELECT user_id, k, avg(coalesce(c.n, 0)) AS v
                          FROM ranked r LEFT JOIN train_counts c USING (item_id), {_KS} WHERE rank <= k GROUP BY user_id, k)""",
-        select="""SELECT 'averagepopularity' AS metric, CAST(k AS BIGINT) AS k, round(avg(v), 6) AS value
+        select="""SELECT 'averagepopularity@' || k AS metric, round(avg(v), 6) AS value
                   FROM per_user GROUP BY k""",
     )
 )
@@ -434,7 +436,7 @@ def metric_averagepopularity(spark: SparkSession, sf: str) -> DataFrame:
         *RECOMMEND,
         _REC_COUNTS,
         "p AS (SELECT k, cnt / sum(cnt) OVER (PARTITION BY k) AS p FROM rec)",
-        select="""SELECT 'shannonentropy' AS metric, CAST(k AS BIGINT) AS k, round(-sum(p * ln(p)) / count(*), 6) AS value
+        select="""SELECT 'shannonentropy@' || k AS metric, round(-sum(p * ln(p)) / count(*), 6) AS value
                   FROM p GROUP BY k""",
     )
 )
@@ -449,7 +451,7 @@ def metric_shannonentropy(spark: SparkSession, sf: str) -> DataFrame:
         """placed AS (SELECT k, cnt, (SELECT count(*) + 1 FROM items) AS n, count(*) OVER (PARTITION BY k) AS m,
                              row_number() OVER (PARTITION BY k ORDER BY cnt) AS r, sum(cnt) OVER (PARTITION BY k) AS total
                       FROM rec)""",
-        select="""SELECT 'giniindex' AS metric, CAST(k AS BIGINT) AS k,
+        select="""SELECT 'giniindex@' || k AS metric,
                          round(sum((2 * (n - m + r) - n - 1) * cnt) / max(total) / max(n), 6) AS value
                   FROM placed GROUP BY k""",
     )
@@ -467,7 +469,7 @@ def metric_giniindex(spark: SparkSession, sf: str) -> DataFrame:
                     WHERE r <= cut)""",
         f"""per_user AS (SELECT user_id, k, avg(CASE WHEN t.item_id IS NULL THEN 0 ELSE 1 END) AS v
                          FROM ranked r LEFT JOIN tail t USING (item_id), {_KS} WHERE rank <= k GROUP BY user_id, k)""",
-        select="""SELECT 'tailpercentage' AS metric, CAST(k AS BIGINT) AS k, round(avg(v), 6) AS value
+        select="""SELECT 'tailpercentage@' || k AS metric, round(avg(v), 6) AS value
                   FROM per_user GROUP BY k""",
     )
 )

@@ -128,7 +128,7 @@ cut AS (
   SELECT *, CASE WHEN n > {_WIDTH} THEN n % {_WIDTH} ELSE 0 END AS skipped FROM train),
 chunk_rows AS (
   SELECT user_id, item_id, timestamp,
-         CASE WHEN n > {_WIDTH} THEN (pos - skipped) // {_WIDTH} ELSE 0 END AS seq_no,
+         CAST(CASE WHEN n > {_WIDTH} THEN (pos - skipped) // {_WIDTH} ELSE 0 END AS INT) AS seq_no,
          CASE WHEN n > {_WIDTH} THEN (pos - skipped) % {_WIDTH} ELSE pos END AS seq_pos
   FROM cut WHERE pos >= skipped),
 chunks AS (
