@@ -5,6 +5,7 @@ from seqloom.functions.arrays import (
     masked_index,
     pad_left,
     pad_left_with,
+    pad_right_with,
     time_features,
     time_gap_buckets,
     utc_epoch_seconds,
@@ -26,6 +27,7 @@ __all__ = [
     "ngrams",
     "pad_left",
     "pad_left_with",
+    "pad_right_with",
     "time_features",
     "time_gap_buckets",
     "trunc",

@@ -31,6 +31,12 @@ def pad_left(seq: Column, length: int) -> Column:
     return pad_left_with(seq, length, F.lit(0).cast("long"))
 
 
+def pad_right_with(seq: Column, length: int, fill: Column) -> Column:
+    """First ``length`` elements of ``seq``, filled up on the right: one row of a score matrix."""
+    missing = F.greatest(F.lit(length) - F.size(seq), F.lit(0))
+    return F.concat(F.slice(seq, 1, length), F.array_repeat(fill, missing))
+
+
 def masked_index(seq: Column, length: int) -> Column:
     """One flag per training position: 1 where a next item exists, 0 on the left pad."""
     ones = F.least(F.greatest(F.size(seq) - 1, F.lit(0)), F.lit(length))

@@ -5,19 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators.metrics import registered
 from seqloom.operators.ordering import group_positions, running_max
 
-# Parameter default of the training configurations.
+# Parameter defaults of the training configurations: patience, and the metric that is watched.
 PATIENCE = 10
 
 
-def best_checkpoint(history: DataFrame, patience: int = PATIENCE, bigger: bool = True) -> DataFrame:
+def better_is_bigger(metric: str) -> bool:
+    """Direction of a registered metric; its cutoff (``ndcg@200``) does not matter."""
+    name = metric.lower().split("@")[0]
+    if name not in registered():
+        raise ValueError(f"unknown metric {metric!r}")
+    return not registered()[name].smaller
+
+
+def best_checkpoint(history: DataFrame, patience: int = PATIENCE, metric: str = "ndcg@200") -> DataFrame:
     """Replay early stopping over a metrics history ``(run_id, epoch, score)``, one row per run.
 
+    ``metric`` names what the score is, which decides the direction.
+
     A score at least as good as the best so far becomes the best one (the later epoch wins a tie).
     A run stops at the first epoch with more than ``patience`` worse scores in a row behind it;
     later epochs do not count.
     """
+    bigger = better_is_bigger(metric)
     placed = group_positions(history, ["run_id"], ["epoch"], "_at", "_n")
     signed = F.col("score") if bigger else -F.col("score")
     scored = running_max(placed, ["run_id"], "_at", {"_best": signed})

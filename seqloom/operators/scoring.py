@@ -26,10 +26,12 @@ USERS_PER_BATCH = 8192
 ITEMS_PER_BLOCK = 32768
 # Score rows held at once inside a task.
 SCORE_CELLS = 4_000_000
+COLUMN_GROUP = 64
 # Dimensions that are averaged as columns of their own.
 MAX_SUM_COLUMNS = 512
 # Scores are rounded before they are compared, so ties do not depend on summation order.
 SCORE_DIGITS = 9
+SCORE_STEP = 10.0**-SCORE_DIGITS
 
 
 def embed_table(
@@ -92,21 +94,30 @@ def _scores(users: np.ndarray, items: np.ndarray) -> Iterator[tuple[slice, np.nd
     step = max(1, SCORE_CELLS // max(1, len(items)))
     for start in range(0, len(users), step):
         part = slice(start, start + step)
-        yield part, np.round(users[part] @ items.T, SCORE_DIGITS)
-
-
-def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the k best finite scores per row; equal scores go to the lower column."""
-    if scores.shape[1] > k:
-        kth = np.partition(scores, -k, axis=1)[:, -k:].min(axis=1, keepdims=True)
-    else:
-        kth = np.full((len(scores), 1), -np.inf)
-    rows, cols = np.nonzero((scores >= kth) & np.isfinite(scores))
-    order = np.lexsort((cols, -scores[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
+        yield part, users[part] @ items.T
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and rounded value of the k best finite scores per row.
+
+    Equal rounded scores go to the lower column. The k-th largest of the maxima of column groups is
+    a lower bound of the k-th score, so only the few scores above it are rounded and sorted.
+    """
+    least = np.full((len(scores), 1), -np.inf)
+    if scores.shape[1] >= k * COLUMN_GROUP:
+        tops = np.maximum.reduceat(scores, np.arange(0, scores.shape[1], COLUMN_GROUP), axis=1)
+        least = np.partition(tops, -k, axis=1)[:, -k, None] - 2 * SCORE_STEP
+    elif scores.shape[1] > k:
+        least = np.partition(scores, -k, axis=1)[:, -k, None] - 2 * SCORE_STEP
+    rows, cols = np.divmod(np.flatnonzero(scores >= least), scores.shape[1])
+    values = scores[rows, cols]
+    finite = np.isfinite(values)
+    rows, cols, values = rows[finite], cols[finite], np.round(values[finite], SCORE_DIGITS)
+    order = np.lexsort((cols, -values, rows))
+    rows, cols, values = rows[order], cols[order], values[order]
     first = np.searchsorted(rows, rows, side="left")
     kept = np.arange(len(rows)) - first < k
-    return rows[kept], cols[kept]
+    return rows[kept], cols[kept], values[kept]
 
 
 def _masked(scores: np.ndarray, row: np.ndarray, item: np.ndarray, item_ids: np.ndarray) -> np.ndarray:
@@ -117,6 +128,13 @@ def _masked(scores: np.ndarray, row: np.ndarray, item: np.ndarray, item_ids: np.
     return scores
 
 
+def _flat_masks(row: np.ndarray, lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """One (row, item id) pair per list element."""
+    if not len(row):
+        return np.zeros(0, dtype="int64"), np.zeros(0, dtype="int64")
+    return np.repeat(row, lists.map(len)), np.concatenate(lists.to_list()).astype("int64")
+
+
 def _cells(users: pd.DataFrame, mask_row: np.ndarray, mask_item: np.ndarray, item_ids: np.ndarray, items: np.ndarray):
     """Masked score slices of one user batch against one item block."""
     for part, scores in _scores(_matrix(users["vec"]), items):
@@ -127,17 +145,19 @@ def _cells(users: pd.DataFrame, mask_row: np.ndarray, mask_item: np.ndarray, ite
 def _top_k_cell(users, mask_row, mask_item, item_ids, items, k) -> Iterator[pd.DataFrame]:
     ids = users["user_id"].to_numpy()
     for part, scores in _cells(users, mask_row, mask_item, item_ids, items):
-        rows, cols = _best(scores, k)
-        yield pd.DataFrame({"user_id": ids[part][rows], "item_id": item_ids[cols], "score": scores[rows, cols]})
+        rows, cols, values = _best(scores, k)
+        yield pd.DataFrame({"user_id": ids[part][rows], "item_id": item_ids[cols], "score": values})
 
 
 def _rank_cell(users, mask_row, mask_item, item_ids, items, k) -> Iterator[pd.DataFrame]:
     """Per user: how many unmasked items score above, level with the target, and at all."""
     ids, target = users["user_id"].to_numpy(), users["target_score"].to_numpy()
     for part, scores in _cells(users, mask_row, mask_item, item_ids, items):
+        # Equal after rounding means less than half a step apart.
         wanted = target[part][:, None]
-        above, level = (scores > wanted).sum(axis=1), (scores == wanted).sum(axis=1)
-        finite = np.isfinite(scores).sum(axis=1)
+        above = np.count_nonzero(scores > wanted + SCORE_STEP / 2, axis=1)
+        level = np.count_nonzero(scores >= wanted - SCORE_STEP / 2, axis=1) - above
+        finite = np.count_nonzero(scores > -np.inf, axis=1)
         yield pd.DataFrame({"user_id": ids[part], "above": above, "level": level, "finite": finite})
 
 
@@ -157,11 +177,18 @@ def _over_catalog(
     return _with_item_blocks(users, item_vecs, masks, cell, schema, k, size["n"])
 
 
+def _local(vectors: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ids and matrix of a vector table whose size has been checked."""
+    table = vectors.select(key, "vec").toArrow().sort_by(key)
+    values = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return table[key].to_numpy(), values.reshape(len(table), -1) if len(table) else values.reshape(0, 0)
+
+
 def _with_broadcast_items(users, item_vecs, masks, cell, schema, k) -> DataFrame:
-    catalog = item_vecs.select("item_id", "vec").orderBy("item_id").toPandas()
-    if catalog.empty:
+    item_ids, items = _local(item_vecs, "item_id")
+    if not len(item_ids):
         return users.sparkSession.createDataFrame([], schema)
-    shared = users.sparkSession.sparkContext.broadcast((catalog["item_id"].to_numpy(), _matrix(catalog["vec"])))
+    shared = users.sparkSession.sparkContext.broadcast((item_ids, items))
     # Only catalogue items are masked, so a user's list is no longer than the measured catalogue.
     listed = masks.join(F.broadcast(item_vecs.select("item_id")), "item_id", "left_semi")
     per_user = listed.groupBy("user_id").agg(F.collect_set("item_id").alias("_masked"))
@@ -169,9 +196,8 @@ def _with_broadcast_items(users, item_vecs, masks, cell, schema, k) -> DataFrame
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         item_ids, items = shared.value
         for rows in batches:
-            hidden = [m if m is not None else [] for m in rows["_masked"]]
-            mask_row = np.repeat(np.arange(len(rows)), [len(m) for m in hidden])
-            mask_item = np.concatenate([np.asarray(m, dtype="int64") for m in hidden])
+            listed = rows["_masked"].notna().to_numpy()
+            mask_row, mask_item = _flat_masks(np.flatnonzero(listed), rows["_masked"][listed])
             yield from cell(rows, mask_row, mask_item, item_ids, items, k)
 
     return users.join(per_user, "user_id", "left").mapInPandas(score, schema)
@@ -181,7 +207,8 @@ def _with_item_blocks(users, item_vecs, masks, cell, schema, k, n_items) -> Data
     """Grid of user batches and item blocks, joined by their two numbers.
 
     Batches and blocks come from hashes of unique ids, so they are even whatever the data look
-    like. A user row is sent once per block, an item row once per batch, a mask row exactly once.
+    like. A user row is sent once per block, an item row once per batch, a mask exactly once: the
+    masks of a user within one block are a list no longer than the block.
     """
     blocks = -(-n_items // ITEMS_PER_BLOCK)
     batches = max(1, -(-users.count() // USERS_PER_BATCH))
@@ -190,7 +217,8 @@ def _with_item_blocks(users, item_vecs, masks, cell, schema, k, n_items) -> Data
     every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block")
     every_batch = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))).alias("_batch")
     user_side = users.select("*", batch).select("*", every_block)
-    mask_side = masks.select("user_id", F.col("item_id").alias("_hidden"), batch, block)
+    mask_side = masks.select("user_id", "item_id", batch, block).groupBy("user_id", "_batch", "_block")
+    mask_side = mask_side.agg(F.collect_set("item_id").alias("_hidden"))
     left = user_side.unionByName(mask_side, allowMissingColumns=True)
     right = item_vecs.select("item_id", "vec", block).select("*", every_batch)
 
@@ -203,8 +231,7 @@ def _with_item_blocks(users, item_vecs, masks, cell, schema, k, n_items) -> Data
         catalog = catalog.sort_values("item_id")
         row_of = pd.Series(np.arange(len(batch_users)), index=batch_users["user_id"].to_numpy())
         hidden = hidden[hidden["user_id"].isin(row_of.index)]
-        mask_row = row_of.reindex(hidden["user_id"]).to_numpy(dtype="int64")
-        mask_item = hidden["_hidden"].to_numpy(dtype="int64")
+        mask_row, mask_item = _flat_masks(row_of.loc[hidden["user_id"]].to_numpy(), hidden["_hidden"])
         parts = cell(batch_users, mask_row, mask_item, catalog["item_id"].to_numpy(), _matrix(catalog["vec"]), k)
         return pd.concat(list(parts), ignore_index=True)
 
@@ -227,8 +254,7 @@ def best_of_stream(queries: DataFrame, corpus: DataFrame, k: int, broadcast_byte
     size = users.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
     if size["n"] == 0 or size["n"] * max(size["dim"], k * 3) * 8 > broadcast_bytes:
         return top_k_of_catalog(queries, corpus, k, broadcast_bytes=broadcast_bytes)
-    local = users.select("user_id", "vec").toPandas()
-    shared = users.sparkSession.sparkContext.broadcast((local["user_id"].to_numpy(), _matrix(local["vec"])))
+    shared = users.sparkSession.sparkContext.broadcast(_local(users, "user_id"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user_ids, wanted = shared.value
@@ -299,7 +325,7 @@ def target_scores(examples: DataFrame, user_vecs: DataFrame, item_vecs: DataFram
     return scored.withColumn("score", F.when(F.col("_seen").isNull(), F.col("score"))).drop("_seen")
 
 
-def relevance_records(examples: DataFrame, scored: DataFrame, decoded: DataFrame, item_map: DataFrame) -> DataFrame:
+def relevance_records(scored: DataFrame, decoded: DataFrame, item_map: DataFrame) -> DataFrame:
     """``(interaction, target, score)`` with tokens: the padded history, its next item, its score."""
     targets = item_map.select(F.col("id").alias("target"), F.col("token").alias("_token"))
     rows = scored.select("user_id", "target", "score").join(targets, "target")

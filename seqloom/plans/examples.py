@@ -168,6 +168,19 @@ def pad_left(spark: SparkSession, sf: str) -> DataFrame:
     return chunks(spark, sf).select("user_id", "seq_no", joined(fn.pad_left(F.col("item_seq"), 15)).alias("padded"))
 
 
+@query(
+    with_sql(
+        *LOG,
+        CHUNKS,
+        select="""SELECT user_id, seq_no, array_to_string(list_concat(item_seq, list_transform(range(15 - len(item_seq)),
+                         lambda i: -1)), ',') AS padded FROM chunks""",
+    )
+)
+def pad_right(spark: SparkSession, sf: str) -> DataFrame:
+    padded = fn.pad_right_with(F.col("item_seq"), 15, F.lit(-1).cast("long"))
+    return chunks(spark, sf).select("user_id", "seq_no", joined(padded).alias("padded"))
+
+
 _TIME = """list_transform({seq}, lambda t: year(make_timestamp(t * 1000000)) || ':' || month(make_timestamp(t * 1000000))
   || ':' || day(make_timestamp(t * 1000000)) || ':' || hour(make_timestamp(t * 1000000)) || ':' ||
   minute(make_timestamp(t * 1000000)) || ':' || second(make_timestamp(t * 1000000)))"""
@@ -272,14 +285,14 @@ def _draw_sql(parts: str, excluded: str) -> str:
     return f"list_reduce(list_prepend({start}, {excluded}), lambda x, s: CASE WHEN s <= x THEN x + 1 ELSE x END)"
 
 
-_DRAWN_FROM = "src AS (SELECT *, list_sort(list_distinct(item_seq)) AS ex, (SELECT count(*) + 1 FROM items) AS m FROM chunks)"
+DRAWN_FROM = "src AS (SELECT *, list_sort(list_distinct(item_seq)) AS ex, (SELECT count(*) + 1 FROM items) AS m FROM chunks)"
 
 
 @query(
     with_sql(
         *LOG,
         CHUNKS,
-        _DRAWN_FROM,
+        DRAWN_FROM,
         select=f"""SELECT user_id, seq_no, array_to_string(list_transform(range(len(item_seq) - 1), lambda p:
                      {_draw_sql(f"'{SEED}|' || user_id || '|' || seq_no || '|' || p", "ex")}), ',') AS neg_item
                    FROM src""",
@@ -294,7 +307,7 @@ def sample_negatives(spark: SparkSession, sf: str) -> DataFrame:
     with_sql(
         *LOG,
         CHUNKS,
-        _DRAWN_FROM,
+        DRAWN_FROM,
         "src2 AS (SELECT *, CAST([] AS BIGINT[]) AS none FROM src)",
         select=f"""SELECT user_id, seq_no,
                      array_to_string(list_transform(range(4), lambda p:
@@ -320,7 +333,7 @@ def sample_fixed_negatives(spark: SparkSession, sf: str) -> DataFrame:
     with_sql(
         *LOG,
         CHUNKS,
-        _DRAWN_FROM,
+        DRAWN_FROM,
         select=f"""SELECT user_id, seq_no, array_to_string(list_concat(list_transform(range(15 - len(item_seq)), lambda p:
                      {_draw_sql(f"'{SEED}|pad|' || user_id || '|' || seq_no || '|' || p", "ex")}), item_seq), ',') AS item_seq
                    FROM src""",
@@ -335,7 +348,7 @@ def random_left_pad(spark: SparkSession, sf: str) -> DataFrame:
     with_sql(
         *LOG,
         CHUNKS,
-        _DRAWN_FROM,
+        DRAWN_FROM,
         select=f"""SELECT user_id, seq_no, array_to_string(list_transform(range({LENGTH}), lambda p:
                      array_to_string(list_transform(range(3), lambda j: ('0x' || substr(md5('{SEED}|position|' || user_id
                        || '|' || seq_no || '|' || p || '|' || j), 1, 13))::BIGINT % (m - 1) + 1), ':')), ',') AS neg_items
@@ -347,7 +360,7 @@ def position_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return drawn.select("user_id", "seq_no", joined_rows(F.col("neg_items")).alias("neg_items"))
 
 
-_BATCHED = f"""batched AS (
+BATCHED = f"""batched AS (
   SELECT *, (row_number() OVER (ORDER BY user_id, seq_no) - 1) // 16 AS batch_id,
          (row_number() OVER (ORDER BY user_id, seq_no) - 1) % 16 AS example,
          list_transform(range(4), lambda p:
@@ -367,8 +380,8 @@ def batched_examples(spark: SparkSession, sf: str) -> DataFrame:
     with_sql(
         *LOG,
         CHUNKS,
-        _DRAWN_FROM,
-        _BATCHED,
+        DRAWN_FROM,
+        BATCHED,
         """shared AS (SELECT batch_id, array_to_string(flatten(list(neg_item ORDER BY example)), ',') AS shared_negatives
                       FROM batched GROUP BY batch_id)""",
         select="SELECT batch_id, CAST(example AS INT) AS example, user_id, seq_no, shared_negatives FROM batched JOIN shared USING (batch_id)",
@@ -385,7 +398,7 @@ def shared_batch_negatives(spark: SparkSession, sf: str) -> DataFrame:
         *LOG,
         CHUNKS,
         VECTORS,
-        _DRAWN_FROM,
+        DRAWN_FROM,
         f"""pairs AS (
           SELECT user_id, seq_no, p AS step, item_seq[p + 2] AS target_item,
                  {_draw_sql(f"'{SEED}|' || user_id || '|' || seq_no || '|' || p", "ex")} AS neg_item

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqloom import functions as fn
 from seqloom.operators import idmap, metrics, scoring, sequences, stats
 from seqloom.operators.leakage import hashed_words
-from seqloom.plans.examples import _BATCHED, _DRAWN_FROM, batched_examples
+from seqloom.plans.examples import BATCHED, DRAWN_FROM, batched_examples
 from seqloom.plans.registry import query
 from seqloom.plans.views import (
     CHUNKS,
@@ -152,25 +152,30 @@ def top_k(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.top_k(counts, 20)
 
 
-@query(
-    with_sql(
-        *RECOMMEND,
-        select=f"""SELECT repeat('0,', greatest({LENGTH} - any_value(p.n)::INT + 1, 0)) || string_agg(i.token, ',' ORDER BY p.pos)
-                            AS interaction, any_value(ti.token) AS target, any_value(m.score) AS score
-                   FROM pos p JOIN items i ON i.id = p.item_id
-                     JOIN test_rows t ON t.user_id = p.user_id JOIN items ti ON ti.id = t.target
-                     LEFT JOIN masked m ON m.user_id = p.user_id AND m.item_id = t.target
-                   WHERE p.pos < p.n - 1 AND p.pos >= p.n - 1 - {LENGTH} GROUP BY p.user_id""",
-    )
+RECORDS_SQL = with_sql(
+    *RECOMMEND,
+    select=f"""SELECT repeat('0,', greatest({LENGTH} - any_value(p.n)::INT + 1, 0)) || string_agg(i.token, ',' ORDER BY p.pos)
+                        AS interaction, any_value(ti.token) AS target, any_value(m.score) AS score
+               FROM pos p JOIN items i ON i.id = p.item_id
+                 JOIN test_rows t ON t.user_id = p.user_id JOIN items ti ON ti.id = t.target
+                 LEFT JOIN masked m ON m.user_id = p.user_id AND m.item_id = t.target
+               WHERE p.pos < p.n - 1 AND p.pos >= p.n - 1 - {LENGTH} GROUP BY p.user_id""",
 )
-def relevance_records(spark: SparkSession, sf: str) -> DataFrame:
+
+
+def scored_records(spark: SparkSession, sf: str) -> DataFrame:
     examples = sequences.eval_examples(histories(spark, sf), "test", LENGTH)
     scored = scoring.target_scores(
         examples.select("user_id", "target"), user_vectors(spark, sf), item_vectors(spark, sf), test_history(spark, sf)
     )
     named = examples.withColumnRenamed("item_seq", "interaction")
     decoded = idmap.decode_ids(named, item_map(spark, sf), ["user_id"], "interaction")
-    records = scoring.relevance_records(examples, scored, decoded, item_map(spark, sf))
+    return scoring.relevance_records(scored, decoded, item_map(spark, sf))
+
+
+@query(RECORDS_SQL)
+def relevance_records(spark: SparkSession, sf: str) -> DataFrame:
+    records = scored_records(spark, sf)
     return records.select(joined(F.col("interaction")).alias("interaction"), "target", "score")
 
 
@@ -492,7 +497,7 @@ logits AS (
   SELECT batch_id, example, step, any_value(list_cosine_similarity(qv, tv)) / 0.07 AS pos_logit,
          coalesce(list(logit) FILTER (WHERE same <= 0.99), []) AS neg_logits, 1 + count(*) AS width
   FROM pairs GROUP BY batch_id, example, step)"""
-_CONTRASTIVE = (*LOG, CHUNKS, VECTORS, _DRAWN_FROM, _BATCHED, _LOGITS)
+_CONTRASTIVE = (*LOG, CHUNKS, VECTORS, DRAWN_FROM, BATCHED, _LOGITS)
 
 
 def contrastive_logits(spark: SparkSession, sf: str) -> DataFrame:

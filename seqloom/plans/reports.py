@@ -10,30 +10,18 @@ from seqloom import sources
 from seqloom.operators.checkpoints import best_checkpoint as best_of_runs
 from seqloom.operators.ordering import group_positions
 from seqloom.plans.corpora import AUDIT_SQL, audit_pairs
-from seqloom.plans.ranking import TOPK, metrics, scored_events
+from seqloom.plans.ranking import RECORDS_SQL, TOPK, metrics, scored_events, scored_records
 from seqloom.plans.registry import query
-from seqloom.plans.views import LOG, encoded, rounded, table, with_sql
+from seqloom.plans.views import LOG, encoded, joined, rounded, table, with_sql
 from seqloom.session import scratch_path
 
 
-@query(
-    """SELECT o_custkey AS target, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS interaction,
-              CASE WHEN count(*) > 5 THEN round(avg(o_totalprice), 6) END AS score, count(*) <= 5 AS masked
-       FROM orders GROUP BY o_custkey"""
-)
+@query(f"SELECT *, score IS NULL AS masked FROM ({RECORDS_SQL})")
 def relevance_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "relevance-jsonl")
-    records = (
-        table(spark, sf, "orders")
-        .groupBy(F.col("o_custkey").alias("target"))
-        .agg(
-            F.array_sort(F.collect_list("o_orderkey")).alias("interaction"),
-            F.when(F.count(F.lit(1)) > 5, rounded(F.avg("o_totalprice"))).otherwise(float("-inf")).alias("score"),
-        )
-    )
-    sources.write_relevance_jsonl(records, path)
-    back = spark.read.schema("interaction array<long>, target long, score double, masked boolean").json(path)
-    return back.withColumn("interaction", F.array_join(F.col("interaction").cast("array<string>"), ","))
+    sources.write_relevance_jsonl(scored_records(spark, sf), path)
+    back = spark.read.schema("interaction array<string>, target string, score double, masked boolean").json(path)
+    return back.withColumn("interaction", joined(F.col("interaction")))
 
 
 @query(AUDIT_SQL)

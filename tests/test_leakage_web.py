@@ -155,10 +155,12 @@ def replay(values, patience, bigger):
 @pytest.mark.parametrize("bigger", [True, False])
 def test_best_checkpoint(spark, bigger):
     rng = random.Random(10)
+    with pytest.raises(ValueError):
+        best_checkpoint(spark.range(1), 1, "nothing@5")
     runs = {"stops": [0.4, 0.3, 0.2], "goes on": [0.2, 0.4, 0.3], "tie": [0.5, 0.5], "one": [0.1]}
     runs |= {f"r{i}": [rng.randrange(6) / 10 for _ in range(rng.randrange(1, 15))] for i in range(20)}
     for patience in (0, 1, 3):
         data = [(run, e, v) for run, vs in runs.items() for e, v in enumerate(vs)]
         df = spark.createDataFrame(data, "run_id string, epoch long, score double").repartition(4)
-        got = {r["run_id"]: tuple(r)[1:] for r in best_checkpoint(df, patience, bigger).collect()}
+        got = {r["run_id"]: tuple(r)[1:] for r in best_checkpoint(df, patience, "NDCG@200" if bigger else "rmse").collect()}
         assert got == {run: replay(vs, patience, bigger) for run, vs in runs.items()}

@@ -49,6 +49,19 @@ def flat(pairs):
     return sorted((r[:-1], pytest.approx(r[-1], abs=1e-8)) for r in pairs)
 
 
+@pytest.mark.parametrize("group", [1, 4, 64])
+def test_best_of_each_row(monkeypatch, group):
+    monkeypatch.setattr(scoring, "COLUMN_GROUP", group)
+    rng = np.random.default_rng(12)
+    scores = np.round(rng.normal(size=(50, 37)), 1)  # many ties
+    scores[rng.random(scores.shape) < 0.4] = -np.inf
+    scores[0] = -np.inf
+    for k in (1, 3, 9, 37, 50):
+        rows_, cols, values = scoring._best(scores, k)
+        want = [(u, i, s) for u, _, i, s in best(scores, k)]
+        assert list(zip(rows_.tolist(), cols.tolist(), values.tolist())) == want
+
+
 @pytest.mark.parametrize("k", [1, 4, 100])
 def test_top_k_of_catalog(spark, data, budget, k):
     (users, items, seen), scores = data
