@@ -16,6 +16,7 @@ from seqloom.operators.sequences import eval_examples, eval_history, user_histor
 from seqloom.operators.validate import add_constant_columns
 from seqloom.session import materialize
 
+SITE = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)"
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
 
 
@@ -48,17 +49,35 @@ def without_fragment(url: Column) -> Column:
     return F.regexp_replace(url, "#.*$", "")
 
 
+def _without_dot_segments(path: Column) -> Column:
+    """``.`` and ``..`` segments of an absolute path worked off, never above the root."""
+    segments = F.split(path, "/")
+    is_dot = F.element_at(segments, -1).isin(".", "..")
+
+    def step(done: Column, segment: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.when(segment == ".", done).when(segment == "..", up).otherwise(F.array_append(done, segment))
+
+    start = F.slice(segments, 1, 1)
+    rest = F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0)))
+    joined = F.array_join(F.aggregate(rest, start, step), "/")
+    folded = F.when(is_dot, F.concat(joined, F.lit("/"))).otherwise(joined)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), folded).otherwise(path)
+
+
 def normalized_url(url: Column) -> Column:
-    """Without fragment, with scheme and host in lower case."""
+    """Without fragment and dot segments, with scheme and host in lower case."""
     bare = without_fragment(F.trim(url))
-    site = F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1)
-    return F.concat(F.lower(site), F.substr(bare, F.length(site) + 1))
+    site = F.regexp_extract(bare, SITE, 1)
+    rest = F.substr(bare, F.length(site) + 1)
+    path = _without_dot_segments(F.regexp_replace(rest, r"\?.*$", ""))
+    return F.concat(F.lower(site), path, F.regexp_extract(rest, r"(\?.*)$", 1))
 
 
 def _resolved(href: Column, base: Column) -> Column:
     """``href`` as a whole URL; the base is a whole URL without fragment."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1)
+    site = F.regexp_extract(base, SITE, 1)
     path = F.regexp_replace(base, r"\?.*$", "")
     # Everything up to the last slash of the path; a bare site has the root as its folder.
     folder = F.when(F.length(path) == F.length(site), F.concat(site, F.lit("/"))).otherwise(

@@ -91,7 +91,7 @@ def test_random_pairs_repeat(spark):
 
 
 def test_outlinks_are_resolved(spark):
-    html = """<a href="/root?x=1&amp;y=2#f">1</a> <A class=c HREF='rel/page'>2</A> <a href="http://Other.org/P">3</a>
+    html = """<a href="/root?x=1&amp;y=2#f">1</a> <A class=c HREF='./x/../rel/page'>2</A> <a href="http://Other.org/P">3</a>
       <a href="//cdn.net/z">4</a> <a href="?q=1">5</a> <a href="#top">6</a> <a href="mailto:x@y.z">7</a> <a href="/root?x=1&amp;y=2">8</a>"""
     pages = spark.createDataFrame([(1, "https://Site.com/dir/page?old=1#frag", html), (2, "http://bare.com", '<a href="a">')],
                                   "page_id long, url string, html string")
@@ -101,6 +101,16 @@ def test_outlinks_are_resolved(spark):
         (2, "http://bare.com/a")], key=repr)
 
 
+@pytest.mark.parametrize("url,want", [
+    ("HTTP://A.com", "http://a.com"), ("http://a.com/b/../c/./d?x=../y#z", "http://a.com/c/d?x=../y"),
+    ("http://a.com/../../b", "http://a.com/b"), ("http://a.com/b/c/..", "http://a.com/b/"), ("http://a.com/.", "http://a.com/"),
+    ("http://a.com/b.c/d..e", "http://a.com/b.c/d..e"), ("not a url", "not a url"),
+])
+def test_normalized_urls(spark, url, want):
+    df = spark.createDataFrame([(url,)], "u string")
+    assert df.select(webcorpus.normalized_url(F.col("u"))).first()[0] == want
+
+
 def linked(spark):
     html = lambda *targets: "".join(f'<a href="{t}">' for t in targets)
     return spark.createDataFrame([
