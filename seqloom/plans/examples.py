@@ -404,7 +404,7 @@ def shared_batch_negatives(spark: SparkSession, sf: str) -> DataFrame:
                  {_draw_sql(f"'{SEED}|' || user_id || '|' || seq_no || '|' || p", "ex")} AS neg_item
           FROM src, LATERAL (SELECT unnest(range(len(item_seq) - 1)) AS p))""",
         select="""SELECT target_item, neg_item, user_id, seq_no, CAST(step AS INT) AS step,
-                         round(list_cosine_similarity(a.vec, b.vec), 6) AS cosine
+                         round(list_cosine_similarity(a.vec, b.vec), 6) + 0.0::DOUBLE AS cosine
                   FROM pairs JOIN vecs a ON a.item_id = target_item JOIN vecs b ON b.item_id = neg_item
                   WHERE list_cosine_similarity(a.vec, b.vec) <= 0.2""",
     )

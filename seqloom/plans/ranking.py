@@ -103,7 +103,7 @@ def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
         *LOG,
         VECTORS,
         TEST,
-        select="SELECT user_id, CAST(i - 1 AS INT) AS i, round(x, 6) AS x FROM uvec_parts",
+        select="SELECT user_id, CAST(i - 1 AS INT) AS i, round(x, 6) + 0.0::DOUBLE AS x FROM uvec_parts",
     )
 )
 def mean_pool(spark: SparkSession, sf: str) -> DataFrame:
@@ -520,8 +520,8 @@ def contrastive_logits(spark: SparkSession, sf: str) -> DataFrame:
     with_sql(
         *_CONTRASTIVE,
         select="""SELECT batch_id, CAST(example AS INT) AS example, CAST(step AS INT) AS step,
-                         round(pos_logit, 6) AS pos_logit, CAST(len(neg_logits) AS INT) AS survivors,
-                         round(list_sum(neg_logits), 6) AS neg_total FROM logits""",
+                         round(pos_logit, 6) + 0.0::DOUBLE AS pos_logit, CAST(len(neg_logits) AS INT) AS survivors,
+                         round(list_sum(neg_logits), 6) + 0.0::DOUBLE AS neg_total FROM logits""",
     )
 )
 def nce_logits(spark: SparkSession, sf: str) -> DataFrame:
