@@ -2,36 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_scratch: dict[str, str] = {}
-
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, else the session's warehouse folder.
 
-    A local session that names none gets its own temporary folder. A cluster session must name
-    one, because a folder on one machine is not visible to the other executors.
+    Both are on a file system that every executor reaches; no machine-local temporary folder is used.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    named = spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_scratch:
-        _local_scratch[app] = tempfile.mkdtemp(prefix="seqloom-")
-    return _local_scratch[app]
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def job_scratch(spark: SparkSession) -> str:
+    """The one folder that holds all intermediate tables of this application."""
+    return f"{scratch_root(spark)}/seqloom/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/seqloom/{label}-{uuid.uuid4().hex}"
+    return f"{job_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession, path: str | None = None) -> None:
+    """Remove one intermediate table, or all of this application's. Results must be written by then."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path or job_scratch(spark))
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__  # noqa: F401  (ships the package's functions to Python tasks)
+from seqloom.session import drop_scratch
 
 
 @pytest.fixture(scope="session")
@@ -21,4 +22,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_scratch(session)
     session.stop()

@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from seqloom.plans import queries
+from seqloom.plans import sql as oracle_sql
 from check import compare, database
 
 SF = "/root/testdata/sf0.001"
