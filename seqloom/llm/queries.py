@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat, lines, mixing, packing, quality, secrets, substrings, warc
+from seqloom.llm import chat, jaccard, lines, mixing, packing, quality, secrets, substrings, warc
 from seqloom.plans.registry import Query
 from seqloom.session import scratch_path
 
@@ -91,6 +91,12 @@ def op3_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query()
+def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    joined = jaccard.jaccard_components(table(spark, sf, "documents"), shingle=3, percent=90)
+    return joined.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 @query()
 def op5_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf, "documents"), weights=(5, 2, 1))
