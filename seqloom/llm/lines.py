@@ -79,7 +79,7 @@ def _cut(min_lines: int):
             rows.append((kept, len(full), len(gone)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
 
-    return cut
+    return cut.asNondeterministic()  # so that a filter on the result doesn't run it again
 
 
 def line_dedup(

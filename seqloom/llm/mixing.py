@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from seqloom.operators.ordering import running_totals
 from seqloom.session import materialize
 
 MAX_COPIES = 3
+LAST_ROWS = 1_000  # of a source, after the first that is too large for what is missing
 
 
 def source_targets(
@@ -67,7 +69,8 @@ def mix_sources(
     max_copies: int = MAX_COPIES,
     total: int | None = None,
 ) -> DataFrame:
-    """Every document's id, source, ``size`` (words), ``source_size``, ``target`` and ``copies``.
+    """Every document's id, source, ``size`` (words), ``source_size``, ``target``, ``copies``
+    and the random number ``u``.
 
     A document of a source with target t and size s is wanted t / s times. The whole part is
     allocated for certain; what is left of the target is a sample without replacement in Pareto
@@ -83,9 +86,7 @@ def mix_sources(
     columns are not read.
     """
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-    # 52 random bits, the half added so that u is neither 0 nor 1.
-    draw = hash_bits(seed, F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))
-    u = (draw + 0.5) / float(16**HEX_DIGITS)
+    u = _draw(F.col("doc_id"), F.col("text"), seed)
     sized = read.select("doc_id", "source", word_count(F.col("text")).alias("size"), u.alias("u"))
     sized = materialize(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -97,32 +98,60 @@ def mix_sources(
     shares = shares.withColumn("whole", F.when(F.col("source_size") > 0, F.col("whole")).otherwise(0))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("fraction") / (1 - F.col("fraction")))
     drawn = shares.withColumn("rank", F.when(F.col("fraction") > 0, odds).otherwise(F.lit(float("inf"))))
-    summed = running_totals(drawn, ["source", "rank", "doc_id", "u", "row"], {"end": "size"})
+    drawn = drawn.withColumn("one", F.lit(1).cast("long"))
+    summed = running_totals(drawn, ["source", "rank", "doc_id", "u", "row"], {"end": "size", "nth": "one"})
     summed = materialize(summed, "ranked-sizes")
-    starts = summed.groupBy("source").agg(F.min(F.col("end") - F.col("size")).alias("base"))
+    starts = summed.groupBy("source").agg(F.min(F.col("end") - F.col("size")).alias("base"), F.min("nth").alias("first"))
     starts = materialize(starts, "starts").withColumnRenamed("source", "of")
-    rest = F.col("target") - F.col("whole") * F.col("source_size")
     placed = summed.join(starts, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    fits = (F.col("fraction") > 0) & (F.col("end") - F.col("base") <= rest)
-    placed = placed.withColumns({"fits": fits, "missing": rest})
-    gaps = placed.groupBy("source").agg(
-        (F.max("missing") - F.coalesce(F.max(F.when(F.col("fits"), F.col("end") - F.col("base"))), F.lit(0))).alias("gap")
+    rest = F.col("target") - F.col("whole") * F.col("source_size")
+    sampled = F.col("fraction") > 0
+    placed = placed.withColumns(
+        {"taken": F.col("end") - F.col("base"), "nth": F.col("nth") - F.col("first"), "missing": rest}
+    ).withColumn("fits", sampled & (F.col("taken") <= F.col("missing")))
+    edges = placed.filter(sampled).groupBy("source").agg(
+        (F.max("missing") - F.coalesce(F.max(F.when(F.col("fits"), F.col("taken"))), F.lit(0))).alias("gap"),
+        F.sum(F.col("fits").cast("long")).alias("n_fits"),
     )
-    gaps = materialize(gaps, "gaps").withColumnRenamed("source", "of")
-    placed = placed.join(gaps, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    off = F.abs(F.col("gap") - F.col("size"))
-    open_row = (F.col("fraction") > 0) & ~F.col("fits") & (off < F.col("gap"))
-    filler = placed.filter(open_row).groupBy("source").agg(F.min(F.struct(off, "rank", "row"))["row"].alias("filler"))
-    filler = materialize(filler, "fillers").withColumnRenamed("source", "of")
-    placed = placed.join(filler, F.col("source").eqNullSafe(F.col("of")), "left")
-    extra = F.col("fits") | F.coalesce(F.col("row") == F.col("filler"), F.lit(False))
+    edges = materialize(edges, "edges").withColumnRenamed("source", "of")
+    last = placed.filter(sampled & ~F.col("fits") & (F.col("size") > 0))
+    last = last.join(edges, F.col("source").eqNullSafe(F.col("of"))).filter(F.col("nth") < F.col("n_fits") + LAST_ROWS)
+    filled = last.select("source", "nth", "row", "size", "gap").groupBy("source").applyInPandas(_fill, "row long")
+    filled = materialize(filled, "last-rows").withColumnRenamed("row", "filled")
+    placed = placed.join(filled, F.col("row") == F.col("filled"), "left")
+    extra = F.col("fits") | F.col("filled").isNotNull()
     copies = (F.col("whole") + extra.cast("long")).cast("int")
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), "u")
+
+
+def _fill(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows after the edge, in order, that still fit into the gap; then the one of the others that
+    brings it nearest to zero, if any does."""
+    rows, gap, chosen = rows.sort_values("nth"), float(rows["gap"].iloc[0]), []
+    for row, size in zip(rows["row"], rows["size"]):
+        if size <= gap:
+            chosen.append(row)
+            gap -= size
+    others = rows[~rows["row"].isin(chosen)]
+    off = (others["size"] - gap).abs()
+    if len(others) and off.min() < gap:
+        chosen.append(others["row"].loc[off.idxmin()])
+    return pd.DataFrame({"row": pd.Series(chosen, dtype="int64")})
+
+
+def repeat_copies(docs: DataFrame, mixed: DataFrame, text: str = "text", doc_id: str = "doc_id", seed: int = 11) -> DataFrame:
+    """The documents as often as the ``copies`` of ``mix_sources`` say, with the seed given there.
+
+    Rows alike in id and text stand for one another: one of them is repeated as often as all are wanted.
+    """
+    counts = mixed.groupBy("doc_id", "u").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    counts = counts.select(F.col("doc_id").alias("__id"), F.col("u").alias("__of"), F.col("copies").alias("__copies"))
+    drawn = docs.withColumn("__u", _draw(F.col(doc_id), F.col(text), seed)).dropDuplicates([doc_id, "__u"])
+    joined = drawn.join(counts, drawn[doc_id].eqNullSafe(F.col("__id")) & (F.col("__u") == F.col("__of")))
+    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
-def repeat_copies(docs: DataFrame, copies: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents as often as ``copies`` says, for unique ids."""
-    counts = copies.filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    joined = docs.join(counts, docs[doc_id].eqNullSafe(F.col("__id")))
-    repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.drop("__id", "__copies", "__copy")
+def _draw(doc_id: Column, text: Column, seed: int) -> Column:
+    """52 random bits as a number between 0 and 1; half a bit is added so that it is neither."""
+    bits = hash_bits(seed, F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
+    return (bits + 0.5) / float(16**HEX_DIGITS)

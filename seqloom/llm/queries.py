@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat, jaccard, lines, mixing, packing, quality, secrets, substrings, warc
+from seqloom.llm import chat, jaccard, lines, mixing, neighbours, packing, quality, secrets, substrings, warc
 from seqloom.plans.registry import Query
 from seqloom.session import scratch_path
 
+# The JSON file of the tokenizer and the same vocabulary as ranks.
+TOKENIZER = [str(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")]
+
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -36,17 +39,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
-
-
 @query()
 def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return packed_pieces(table(spark, sf, "documents"))
-
-
-def packed_pieces(docs: DataFrame) -> DataFrame:
-    files = [str(public_tokenizers.path(name)) for name in (TOKENIZER, RANKS)]
-    return packing.piece_digests(packing.pack(docs, *files))
+    return packing.piece_digests(packing.pack(table(spark, sf, "documents"), *TOKENIZER))
 
 
 _LINES_SQL = """WITH l AS (
@@ -128,6 +123,12 @@ def op8_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     return chat.read_back(chat.render(messages))
 
 
+@query()
+def op9_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return neighbours.nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 @query()
 def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     records = warc.make_records(table(spark, sf, "pages"), min_bytes=0)
