@@ -25,7 +25,7 @@ from seqloom.session import materialize
 SHINGLE, PERCENT = 5, 80
 # The order of shingles takes frequent ones last. They are counted in a sample of about so many
 # documents, and so many at most are kept: this decides about speed, never about the result.
-SAMPLE_DOCS, SAMPLE_SHINGLES = 20_000, 200_000
+SAMPLE_DOCS, SAMPLE_SHINGLES = 5_000, 200_000
 # A region is joined directly if it has so few members, or so few outside the component of its pivot.
 SMALL_REGION, FEW_OUTSIDE = 64, 32
 PIVOTS = 8  # of a larger region, in each round
@@ -215,9 +215,14 @@ def jaccard_components(
 
     index = reps.select("key", "n", "rare", F.posexplode("prefix").alias("at", "region"))
     of_region = Window.partitionBy("region")
+    # A member whose neighbours by size are too small and too large has no partner in the region.
+    by_size = of_region.orderBy("n")
+    fits = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (
+        100 * F.col("n") >= percent * F.lead("n").over(by_size)
+    )
+    members = index.withColumn("fits", F.coalesce(fits, F.lit(False))).filter("fits").drop("fits")
     pivot = F.min(F.struct("rare", "key", "n", "at")).over(of_region)
-    members = index.withColumns({"pivot": pivot, "members": F.count(F.lit(1)).over(of_region)})
-    members = materialize(members.filter("members > 1").drop("members"), "members")
+    members = materialize(members.withColumn("pivot", pivot), "members")
 
     wanted = members.select("key").distinct().join(reps.select("key", F.col("first_id").alias("doc_id")), "key")
     sets = read.join(wanted, "doc_id").mapInArrow(_sets(shingle), "key binary, shingles binary")
