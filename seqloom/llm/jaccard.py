@@ -23,9 +23,10 @@ from seqloom.llm.words import WordHashes, window_hashes
 from seqloom.session import materialize
 
 SHINGLE, PERCENT = 5, 80
-# The order of shingles takes frequent ones last. They are counted in a sample of about so many
-# documents, and so many at most are kept: this decides about speed, never about the result.
-SAMPLE_DOCS, SAMPLE_SHINGLES = 5_000, 200_000
+# The order of shingles takes frequent ones last, and of the others those of frequent words. Both are
+# counted in a sample of about so many documents, and so many of each at most are kept: this decides
+# about speed, never about the result.
+SAMPLE_DOCS, SAMPLE_ENTRIES = 5_000, 200_000
 # A region is joined directly if it has so few members, or so few outside the component of its pivot.
 SMALL_REGION, FEW_OUTSIDE = 64, 32
 PIVOTS = 8  # of a larger region, in each round
@@ -38,33 +39,53 @@ class Shingler:
     def __init__(self, size: int):
         self.size, self.known = size, WordHashes()
 
+    def words(self, text: str | None) -> np.ndarray:
+        return self.known.of((text or "").encode().lower().split())  # on bytes, both treat ASCII alone
+
+    def runs(self, words: np.ndarray) -> np.ndarray:
+        return window_hashes(words, min(self.size, len(words))) if len(words) else words
+
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()  # on bytes, both treat ASCII alone
-        hashes = self.known.of(words)
-        return np.unique(window_hashes(hashes, min(self.size, len(words)))) if words else hashes
+        return np.unique(self.runs(self.words(text)))
 
 
 def _key(shingles: np.ndarray) -> bytes | None:
     return hashlib.md5(shingles.tobytes()).digest() if len(shingles) else None
 
 
-def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found three times or more in the sample, sorted, and how often."""
+def _lookup(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """Counts of hashes from a table of sorted hashes and their counts; 0 for others."""
+    found, counts = table
+    if not len(found):
+        return np.zeros(len(hashes), np.int64)
+    place = np.minimum(np.searchsorted(found, hashes), len(found) - 1)
+    return np.where(found[place] == hashes, counts[place], 0)
+
+
+def _frequent(docs: DataFrame, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Tables of the shingles and of the words found three times or more in the sample."""
     total = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(1, total))
     sample = docs.filter(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(size)
         for batch in batches:
             for text in batch.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(of(text.as_py()).view(np.int64))], ["shingle"])
-
-    counts = sample.select("text").mapInArrow(shingles, "shingle long").groupBy("shingle").count().filter("count > 2")
-    rows = counts.orderBy(F.desc("count"), "shingle").limit(SAMPLE_SHINGLES).collect()
-    found = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(found)
-    return found[order], np.array([r["count"] for r in rows], np.int64)[order]
+                words = of.words(text.as_py())
+                for kind, found in enumerate((np.unique(of.runs(words)), words)):
+                    arrays = [pa.array(np.full(len(found), kind, np.int32)), pa.array(found.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["kind", "hash"])
+
+    counts = sample.select("text").mapInArrow(hashes, "kind int, hash long").groupBy("kind", "hash").count()
+    counts = materialize(counts.filter("count > 2"), "sample-counts")
+    tables = []
+    for kind in (0, 1):
+        rows = counts.filter(F.col("kind") == kind).orderBy(F.desc("count"), "hash").limit(SAMPLE_ENTRIES).collect()
+        found = np.array([r["hash"] for r in rows], np.int64).view(np.uint64)
+        order = np.argsort(found)
+        tables.append((found[order], np.array([r["count"] for r in rows], np.int64)[order]))
+    return tables
 
 
 def _summaries(size: int, percent: int, shared):
@@ -72,24 +93,21 @@ def _summaries(size: int, percent: int, shared):
     kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, (frequent, counts) = Shingler(size), shared.value
+        of, (frequent, frequent_words) = Shingler(size), shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 batch, rows = whole.slice(at, _ROWS), []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                    shingles = of(text.as_py())
+                    words = of.words(text.as_py())
+                    shingles, place = np.unique(of.runs(words), return_index=True)
                     n = len(shingles)
-                    place = np.searchsorted(frequent, shingles)
-                    hot = np.zeros(n, bool)
-                    inside = place < len(frequent)
-                    hot[inside] = frequent[place[inside]] == shingles[inside]
+                    often = _lookup(frequent, shingles)
+                    common = np.concatenate([[0.0], np.log2(1 + _lookup(frequent_words, words)).cumsum()])
+                    common = common[np.minimum(place + size, len(words))] - common[place]
                     length = n - -(-percent * n // 100) + 1
-                    rare = shingles[~hot]
-                    prefix = rare[:length]
-                    if len(prefix) < length:
-                        rest = shingles[hot][np.lexsort((shingles[hot], counts[place[hot]]))]
-                        prefix = np.concatenate([prefix, rest[: length - len(prefix)]])
-                    rows.append((doc, _key(shingles), n, len(rare), prefix[:n].view(np.int64)))
+                    prefix = shingles[np.lexsort((shingles, np.rint(common * 4), often))[:length]]
+                    rare = int((often == 0).sum())
+                    rows.append((doc, _key(shingles), n, rare, prefix.view(np.int64)))
                 columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
