@@ -30,6 +30,8 @@ SAMPLE_DOCS, SAMPLE_ENTRIES = 5_000, 200_000
 # A region is joined directly if it has so few members, or so few outside the component of its pivot.
 SMALL_REGION, FEW_OUTSIDE = 64, 32
 PIVOTS = 8  # of a larger region, in each round
+# So many classes at most are sent to all tasks to fetch their texts, some 10 MB; more are joined by id.
+BROADCAST_ROWS = 250_000
 _ROWS = 512
 
 
@@ -49,7 +51,7 @@ class Shingler:
         return np.unique(self.runs(self.words(text)))
 
 
-def _key(shingles: np.ndarray) -> bytes | None:
+def _digest(shingles: np.ndarray) -> bytes | None:
     return hashlib.md5(shingles.tobytes()).digest() if len(shingles) else None
 
 
@@ -89,8 +91,8 @@ def _frequent(docs: DataFrame, size: int) -> list[tuple[np.ndarray, np.ndarray]]
 
 
 def _summaries(size: int, percent: int, shared):
-    names = ["doc_id", "key", "n", "rare", "prefix"]
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    names = ["doc_id", "digest", "n", "rare", "prefix"]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
 
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, (frequent, frequent_words) = Shingler(size), shared.value
@@ -107,7 +109,7 @@ def _summaries(size: int, percent: int, shared):
                     length = n - -(-percent * n // 100) + 1
                     prefix = shingles[np.lexsort((shingles, np.rint(common * 4), often))[:length]]
                     rare = int((often == 0).sum())
-                    rows.append((doc, _key(shingles), n, rare, prefix.view(np.int64)))
+                    rows.append((doc, _digest(shingles), n, rare, prefix.view(np.int64)))
                 columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -118,10 +120,10 @@ def _sets(size: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(size)
         for batch in batches:
-            for key, text in zip(batch.column("key"), batch.column("text")):
+            for key, digest, text in zip(*(batch.column(n) for n in ("key", "digest", "text"))):
                 shingles = of(text.as_py())
-                if _key(shingles) == key.as_py():  # else another text under the same id
-                    arrays = [pa.array([key.as_py()], pa.binary()), pa.array([shingles.tobytes()], pa.binary())]
+                if _digest(shingles) == digest.as_py():  # else another text under the same id
+                    arrays = [pa.array([key.as_py()], pa.int64()), pa.array([shingles.tobytes()], pa.binary())]
                     yield pa.RecordBatch.from_arrays(arrays, ["key", "shingles"])
 
     return build
@@ -129,27 +131,42 @@ def _sets(size: int):
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts = []
+        both, either = [], []
         for a, b in zip(batch.column("sa"), batch.column("sb")):
             x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
             x, y = (x, y) if len(x) <= len(y) else (y, x)
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            counts.append(int((y[at] == x).sum()))
-        arrays = [batch.column("a"), batch.column("b"), pa.array(counts, pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "both"])
-
-
-def _measured(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (``a``, ``b``) with the exact distance and whether they link."""
-    named = lambda k, s: sets.select(F.col("key").alias(k), F.col("shingles").alias(s))
-    met = pairs.join(named("a", "sa"), "a").join(named("b", "sb"), "b").select("a", "b", "sa", "sb")
-    counted = met.mapInArrow(_shared, "a binary, b binary, both long")
-    size = lambda k, n: sizes.select(F.col("key").alias(k), F.col("n").alias(n))
-    counted = counted.join(size("a", "na"), "a").join(size("b", "nb"), "b")
-    union = F.col("na") + F.col("nb") - F.col("both")
-    return counted.select(
-        "a", "b", (1 - F.col("both") / union).alias("distance"), (100 * F.col("both") >= percent * union).alias("linked")
-    )
+            both.append(int((y[at] == x).sum()))
+            either.append(len(x) + len(y) - both[-1])
+        arrays = [batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(either, pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "both", "either"])
+
+
+class _Measure:
+    """Exact distances of pairs of classes, from the texts of their first documents."""
+
+    def __init__(self, read: DataFrame, classes: DataFrame, size: int, percent: int):
+        self.read, self.classes, self.size, self.percent = read, classes, size, percent
+
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        wanted = ends.join(self.classes.select("key", "digest", F.col("first_id").alias("doc_id")), "key")
+        wanted = materialize(wanted, "wanted-sets")
+        few = wanted.count() <= BROADCAST_ROWS
+        met = self.read.join(F.broadcast(wanted) if few else wanted, "doc_id").select("key", "digest", "text")
+        sets = met.mapInArrow(_sets(self.size), "key long, shingles binary").dropDuplicates(["key"])
+        return materialize(sets, "sets")
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (``a``, ``b``) with their distance and whether they link."""
+        pairs = materialize(pairs, "pairs")
+        sets = self.sets(pairs)
+        named = lambda k, s: sets.select(F.col("key").alias(k), F.col("shingles").alias(s))
+        met = pairs.join(named("a", "sa"), "a").join(named("b", "sb"), "b").select("a", "b", "sa", "sb")
+        counted = met.mapInArrow(_shared, "a long, b long, both long, either long")
+        linked = 100 * F.col("both") >= self.percent * F.col("either")
+        counted = counted.select("a", "b", (1 - F.col("both") / F.col("either")).alias("distance"), linked.alias("linked"))
+        return materialize(counted, "measured")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -170,7 +187,7 @@ def _labels(reps: DataFrame, links: DataFrame) -> DataFrame:
     return least_labels(nodes, links).select(F.col("node").alias("key"), F.col("label").alias("component"))
 
 
-def _split(open_rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _split(open_rows: DataFrame, measure: _Measure, percent: int) -> tuple[DataFrame, DataFrame]:
     """One round over large regions: links to the round's pivots, and the members' next regions.
 
     Each member is at home in the cell of its nearest pivot. Of two members at most ``reach`` apart,
@@ -184,8 +201,7 @@ def _split(open_rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
     pivots = ranked.filter(F.col("rank") <= PIVOTS).select("region", F.col("key").alias("b"))
     meet = ranked.select("region", F.col("key").alias("a")).join(pivots, "region").filter("a <> b")
     meet = materialize(meet, "member-pivots")
-    sizes = ranked.select("key", "n").distinct()
-    measured = materialize(_measured(meet.select("a", "b").distinct(), sets, sizes, percent), "pivot-distances")
+    measured = measure(meet.select("a", "b").distinct())
     near = meet.join(measured, ["a", "b"]).groupBy("region", "a").agg(
         F.collect_list(F.struct("distance", "b")).alias("near"), F.min("distance").alias("home")
     )
@@ -194,7 +210,7 @@ def _split(open_rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
     rest = rest.withColumn("cells", F.transform(cells, lambda c: c["b"]))
     whole = Window.partitionBy("region")
     rest = rest.withColumn("grows", F.sum(F.size("cells")).over(whole) > F.count(F.lit(1)).over(whole))
-    cell = F.when(F.col("grows"), F.array(F.lit(None).cast("binary"))).otherwise(F.col("cells"))
+    cell = F.when(F.col("grows"), F.array(F.lit(None).cast("long"))).otherwise(F.col("cells"))
     rest = rest.withColumn("cell", F.explode(cell))
     region = F.when(F.col("cell").isNull(), F.col("region")).otherwise(F.xxhash64("region", "cell"))
     return measured, rest.select(region.alias("region"), "key", "n", "rare", "at")
@@ -225,11 +241,13 @@ def jaccard_components(
     spark = docs.sparkSession
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = spark.sparkContext.broadcast(_frequent(read, shingle))
-    schema = "doc_id long, key binary, n long, rare long, prefix array<long>"
+    schema = "doc_id long, digest binary, n int, rare int, prefix array<long>"
     every = materialize(read.mapInArrow(_summaries(shingle, percent, order), schema), "shingle-sets")
     first = lambda c: F.any_value(c).alias(c)
-    reps = every.filter("doc_id is not null and key is not null").groupBy("key")
-    reps = materialize(reps.agg(F.min("doc_id").alias("first_id"), first("n"), first("rare"), first("prefix")), "classes")
+    reps = every.filter("doc_id is not null and digest is not null").groupBy("digest")
+    reps = reps.agg(F.min("doc_id").alias("first_id"), first("n"), first("rare"), first("prefix"))
+    reps = materialize(reps.withColumn("key", F.monotonically_increasing_id()), "classes")
+    measure = _Measure(read, reps, shingle, percent)
 
     index = reps.select("key", "n", "rare", F.posexplode("prefix").alias("at", "region"))
     of_region = Window.partitionBy("region")
@@ -242,15 +260,10 @@ def jaccard_components(
     pivot = F.min(F.struct("rare", "key", "n", "at")).over(of_region)
     members = materialize(members.withColumn("pivot", pivot), "members")
 
-    wanted = members.select("key").distinct().join(reps.select("key", F.col("first_id").alias("doc_id")), "key")
-    sets = read.join(wanted, "doc_id").mapInArrow(_sets(shingle), "key binary, shingles binary")
-    sets = materialize(sets.dropDuplicates(["key"]), "candidate-sets")
-    sizes = reps.select("key", "n")
-
     side = members.select("region", "pivot", F.struct("key", "n", "at").alias("x"))
     pairs = side.filter(F.col("x.key") != F.col("pivot.key")).filter(_may_link("x", "pivot", percent))
     pairs = pairs.select(F.col("x.key").alias("a"), F.col("pivot.key").alias("b")).distinct()
-    measured = materialize(_measured(pairs, sets, sizes, percent), "to-pivots")
+    measured = measure(pairs)
     links = measured.filter("linked").select("a", "b")
     labels = materialize(_labels(reps, links), "components")
 
@@ -261,27 +274,26 @@ def jaccard_components(
     done = [links]
     while True:
         small, large = _open_regions(left, labels)
-        found = _direct(small, percent)
-        found = materialize(_measured(found, sets, sizes, percent).filter("linked").select("a", "b"), "leaf-links")
+        found = measure(_direct(small, percent)).filter("linked").select("a", "b")
         done.append(found)
         if large.isEmpty():
             break
-        measured, left = _split(large, sets, percent)
+        measured, left = _split(large, measure, percent)
         done.append(measured.filter("linked").select("a", "b"))
         left = materialize(left, "members").withColumns(
-            {"pivot": F.lit(None).cast("binary"), "distance": F.lit(None).cast("double")}
+            {"pivot": F.lit(None).cast("long"), "distance": F.lit(None).cast("double")}
         )
         labels = materialize(_labels(reps, _all(done)), "components")
     if len(done) > 2 or not found.isEmpty():
         labels = materialize(_labels(reps, _all(done)), "components")
 
-    named = reps.select("key", "first_id").join(labels, "key", "left")
-    named = named.select("key", F.col("first_id").alias("class_id"), F.coalesce("component.id", "first_id").alias("component"))
+    named = reps.select("key", "digest", "first_id").join(labels, "key", "left")
+    named = named.select("digest", F.col("first_id").alias("class_id"), F.coalesce("component.id", "first_id").alias("component"))
     named = materialize(named, "class-components")
-    rows = every.select("doc_id", "n", "key").join(named, "key", "left")
+    rows = every.select("doc_id", "n", "digest").join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     of_class = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), of_class.alias("class_id"), own.alias("component_id"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), of_class.alias("class_id"), own.alias("component_id"))
 
 
 def _all(links: list[DataFrame]) -> DataFrame:
