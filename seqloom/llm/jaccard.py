@@ -90,9 +90,36 @@ def _frequent(docs: DataFrame, size: int) -> list[tuple[np.ndarray, np.ndarray]]
     return tables
 
 
+def _parity(shingles: np.ndarray) -> bytes:
+    """One bit per slot, whether an odd number of shingles falls there; a power of two of slots, about as
+    many as shingles. Two sets differ in as many shingles at least as their bits differ."""
+    slots = 1 << max(6, (len(shingles) - 1).bit_length())
+    counts = np.bincount((shingles & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def _close(percent: int):
+    """Pairs whose parities don't rule out a link. The wider one is folded: its halves' sum is the parity
+    of the lower slots."""
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for total, a, b in zip(batch.column("total").to_pylist(), batch.column("pa"), batch.column("pb")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (a, b))
+                while len(x) != len(y):
+                    x, y = (x, y) if len(x) > len(y) else (y, x)
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                differ = int(np.bitwise_count(x ^ y).sum())
+                keep.append(differ * (100 + percent) <= total * (100 - percent))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return prune
+
+
 def _summaries(size: int, percent: int, shared):
-    names = ["doc_id", "digest", "n", "rare", "prefix"]
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+    names = ["doc_id", "digest", "n", "rare", "prefix", "parity"]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
 
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, (frequent, frequent_words) = Shingler(size), shared.value
@@ -109,8 +136,8 @@ def _summaries(size: int, percent: int, shared):
                     length = n - -(-percent * n // 100) + 1
                     prefix = shingles[np.lexsort((shingles, np.rint(common * 4), often))[:length]]
                     rare = int((often == 0).sum())
-                    rows.append((doc, _digest(shingles), n, rare, prefix.view(np.int64)))
-                columns = list(zip(*rows)) or [()] * 5
+                    rows.append((doc, _digest(shingles), n, rare, prefix.view(np.int64), _parity(shingles)))
+                columns = list(zip(*rows)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return summarize
@@ -157,6 +184,13 @@ class _Measure:
         sets = met.mapInArrow(_sets(self.size), "key long, shingles binary").dropDuplicates(["key"])
         return materialize(sets, "sets")
 
+    def may_link(self, pairs: DataFrame) -> DataFrame:
+        """Without the pairs that can't link by the parities of their sets."""
+        side = lambda x: self.classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+        met = pairs.join(side("a"), "a").join(side("b"), "b")
+        met = met.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), "pa", "pb")
+        return met.mapInArrow(_close(self.percent), "a long, b long")
+
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """Pairs (``a``, ``b``) with their distance and whether they link."""
         pairs = materialize(pairs, "pairs")
@@ -241,11 +275,11 @@ def jaccard_components(
     spark = docs.sparkSession
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = spark.sparkContext.broadcast(_frequent(read, shingle))
-    schema = "doc_id long, digest binary, n int, rare int, prefix array<long>"
+    schema = "doc_id long, digest binary, n int, rare int, prefix array<long>, parity binary"
     every = materialize(read.mapInArrow(_summaries(shingle, percent, order), schema), "shingle-sets")
     first = lambda c: F.any_value(c).alias(c)
     reps = every.filter("doc_id is not null and digest is not null").groupBy("digest")
-    reps = reps.agg(F.min("doc_id").alias("first_id"), first("n"), first("rare"), first("prefix"))
+    reps = reps.agg(F.min("doc_id").alias("first_id"), first("n"), first("rare"), first("prefix"), first("parity"))
     reps = materialize(reps.withColumn("key", F.monotonically_increasing_id()), "classes")
     measure = _Measure(read, reps, shingle, percent)
 
@@ -263,7 +297,7 @@ def jaccard_components(
     side = members.select("region", "pivot", F.struct("key", "n", "at").alias("x"))
     pairs = side.filter(F.col("x.key") != F.col("pivot.key")).filter(_may_link("x", "pivot", percent))
     pairs = pairs.select(F.col("x.key").alias("a"), F.col("pivot.key").alias("b")).distinct()
-    measured = measure(pairs)
+    measured = measure(measure.may_link(pairs))
     links = measured.filter("linked").select("a", "b")
     labels = materialize(_labels(reps, links), "components")
 
@@ -274,7 +308,7 @@ def jaccard_components(
     done = [links]
     while True:
         small, large = _open_regions(left, labels)
-        found = measure(_direct(small, percent)).filter("linked").select("a", "b")
+        found = measure(measure.may_link(_direct(small, percent))).filter("linked").select("a", "b")
         done.append(found)
         if large.isEmpty():
             break
