@@ -29,6 +29,7 @@ SHINGLE, PERCENT = 5, 80
 SAMPLE_DOCS, SAMPLE_ENTRIES = 5_000, 200_000
 # A region is joined directly if it has so few members, or so few outside the component of its pivot.
 SMALL_REGION, FEW_OUTSIDE = 64, 32
+DIRECT_PAIRS = 10_000  # so few pairs are measured at once, more in rounds
 PIVOTS = 8  # of a larger region, in each round
 # So many classes at most are sent to all tasks to fetch their texts, some 10 MB; more are joined by id.
 BROADCAST_ROWS = 250_000
@@ -308,7 +309,7 @@ def jaccard_components(
     done = [links]
     while True:
         small, large = _open_regions(left, labels)
-        found = measure(measure.may_link(_direct(small, percent))).filter("linked").select("a", "b")
+        found, labels = _connect(measure, reps, measure.may_link(_direct(small, percent)), labels, _all(done))
         done.append(found)
         if large.isEmpty():
             break
@@ -318,9 +319,6 @@ def jaccard_components(
             {"pivot": F.lit(None).cast("long"), "distance": F.lit(None).cast("double")}
         )
         labels = materialize(_labels(reps, _all(done)), "components")
-    if len(done) > 2 or not found.isEmpty():
-        labels = materialize(_labels(reps, _all(done)), "components")
-
     named = reps.select("key", "digest", "first_id").join(labels, "key", "left")
     named = named.select("digest", F.col("first_id").alias("class_id"), F.coalesce("component.id", "first_id").alias("component"))
     named = materialize(named, "class-components")
@@ -330,6 +328,31 @@ def jaccard_components(
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), of_class.alias("class_id"), own.alias("component_id"))
 
 
+def _connect(
+    measure: _Measure, reps: DataFrame, pairs: DataFrame, labels: DataFrame, links: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Links among ``pairs`` that join components, and the components then.
+
+    While there are many pairs, each class measures one of its own per round, and pairs whose ends have
+    come together meanwhile are settled: a family of copies costs about one pair for each member.
+    """
+    found = links.limit(0)
+    pairs = materialize(pairs, "open-pairs")
+    while True:
+        many = pairs.count() > DIRECT_PAIRS
+        chosen = pairs.groupBy("a").agg(F.min("b").alias("b")) if many else pairs
+        measured = measure(chosen)
+        found = materialize(found.unionByName(measured.filter("linked").select("a", "b")), "found-links")
+        labels = materialize(_labels(reps, links.unionByName(found)), "components")
+        if not many:
+            return found, labels
+        of = lambda end: labels.select(F.col("key").alias(end), F.col("component.node").alias(f"of_{end}"))
+        left = pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti")
+        left = left.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        apart = F.coalesce(F.col("of_a") != F.col("of_b"), F.lit(True))
+        pairs = materialize(left.filter(apart).select("a", "b"), "open-pairs")
+
+
 def _all(links: list[DataFrame]) -> DataFrame:
     whole = links[0]
     for more in links[1:]:

@@ -146,10 +146,10 @@ def brute_components(size, percent):
     return {i: (len(s), least[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("limits", [None, (2, 1, 2)])
+@pytest.mark.parametrize("limits", [None, (2, 1, 2, 3)])
 def test_jaccard_join(docs, empty, monkeypatch, limits):
     if limits:
-        for name, value in zip(("SMALL_REGION", "FEW_OUTSIDE", "PIVOTS"), limits):
+        for name, value in zip(("SMALL_REGION", "FEW_OUTSIDE", "PIVOTS", "DIRECT_PAIRS"), limits):
             monkeypatch.setattr(jaccard, name, value)
     rows = jaccard.jaccard_components(docs, 3, 90).collect()
     assert len(rows) == len(TEXTS) + 3
