@@ -33,6 +33,7 @@ DIRECT_PAIRS = 10_000  # so few pairs are measured at once, more in rounds
 PIVOTS = 8  # of a larger region, in each round
 # So many classes at most are sent to all tasks to fetch their texts, some 10 MB; more are joined by id.
 BROADCAST_ROWS = 250_000
+BROADCAST_BYTES = 32 << 20
 _ROWS = 512
 
 
@@ -197,7 +198,12 @@ class _Measure:
         pairs = materialize(pairs, "pairs")
         sets = self.sets(pairs)
         named = lambda k, s: sets.select(F.col("key").alias(k), F.col("shingles").alias(s))
-        met = pairs.join(named("a", "sa"), "a").join(named("b", "sb"), "b").select("a", "b", "sa", "sb")
+        # Pivots are few: their sets go to all tasks if they are small together, so that the others' sets
+        # aren't sent once for each of their pivots.
+        seconds = named("b", "sb").join(pairs.select("b").distinct(), "b")
+        small = (seconds.agg(F.sum(F.octet_length("sb"))).first()[0] or 0) <= BROADCAST_BYTES
+        met = pairs.join(named("a", "sa"), "a").join(F.broadcast(seconds) if small else seconds, "b")
+        met = met.select("a", "b", "sa", "sb")
         counted = met.mapInArrow(_shared, "a long, b long, both long, either long")
         linked = 100 * F.col("both") >= self.percent * F.col("either")
         counted = counted.select("a", "b", (1 - F.col("both") / F.col("either")).alias("distance"), linked.alias("linked"))
