@@ -254,7 +254,11 @@ def _split(open_rows: DataFrame, measure: _Measure, percent: int) -> tuple[DataF
     cell = F.when(F.col("grows"), F.array(F.lit(None).cast("long"))).otherwise(F.col("cells"))
     rest = rest.withColumn("cell", F.explode(cell))
     region = F.when(F.col("cell").isNull(), F.col("region")).otherwise(F.xxhash64("region", "cell"))
-    return measured, rest.select(region.alias("region"), "key", "n", "rare", "at")
+    # What is left of a region is seen from one of its pivots, so that members of its component are known.
+    seen = F.coalesce("cell", F.array_min(F.transform("near", lambda c: c["b"])))
+    rest = rest.withColumn("pivot", seen)
+    distance = F.get(F.filter("near", lambda c: c["b"] == F.col("pivot")), 0)["distance"]
+    return measured, rest.select(region.alias("region"), "key", "n", "rare", "at", "pivot", distance.alias("distance"))
 
 
 def jaccard_components(
@@ -321,9 +325,7 @@ def jaccard_components(
             break
         measured, left = _split(large, measure, percent)
         done.append(measured.filter("linked").select("a", "b"))
-        left = materialize(left, "members").withColumns(
-            {"pivot": F.lit(None).cast("long"), "distance": F.lit(None).cast("double")}
-        )
+        left = materialize(left, "members")
         labels = materialize(_labels(reps, _all(done)), "components")
     named = reps.select("key", "digest", "first_id").join(labels, "key", "left")
     named = named.select("digest", F.col("first_id").alias("class_id"), F.coalesce("component.id", "first_id").alias("component"))
