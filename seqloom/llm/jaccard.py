@@ -27,8 +27,9 @@ SHINGLE, PERCENT = 5, 80
 # counted in a sample of about so many documents, and so many of each at most are kept: this decides
 # about speed, never about the result.
 SAMPLE_DOCS, SAMPLE_ENTRIES = 5_000, 200_000
-# A region is joined directly if it has so few members, or so few outside the component of its pivot.
-SMALL_REGION, FEW_OUTSIDE = 64, 32
+# A region is joined directly if it has so few members, or so few outside the component of its pivot. Sizes,
+# places and parities rule out nearly all pairs of strangers, while each round of a split reads sets anew.
+SMALL_REGION, FEW_OUTSIDE = 1024, 32
 DIRECT_PAIRS = 10_000  # so few pairs are measured at once, more in rounds
 PIVOTS = 8  # of a larger region, in each round
 # So many classes at most are sent to all tasks to fetch their texts, some 10 MB; more are joined by id.
