@@ -16,6 +16,7 @@ from seqloom.session import materialize
 
 MIN_LINES = 2
 GRAM = 1  # lines of a fingerprint
+LONG_LINE = (10, 60)  # words or characters from which a line can be a run of its own
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
 
@@ -23,48 +24,65 @@ def _stripped(text: str) -> list[str]:
     return [line.strip(SPACES) for line in text.split("\n")]
 
 
-def _windows(min_lines: int, gram: int):
-    """Every run of ``min_lines`` lines: its fingerprint, two hashes of its lines, and its place."""
-    names = ["print", "h1", "h2", "doc_id", "key", "at"]
+def _is_long(line: str, long_line: tuple[int, int]) -> bool:
+    words, chars = long_line
+    return len(line) >= chars or (len(line) >= 2 * words - 1 and len(line.encode().split()) >= words)
+
+
+def _windows(min_lines: int, gram: int, long_line: tuple[int, int] | None):
+    """Every run of ``min_lines`` lines and every long line: its fingerprint, two hashes of its lines, its
+    place and its number of lines."""
+    names = ["print", "h1", "h2", "doc_id", "key", "at", "size"]
     width = min_lines - gram + 1
 
+    def batch_of(least: np.ndarray, runs: list[np.ndarray], doc: int, key: int, at: np.ndarray, size: int) -> pa.RecordBatch:
+        n = len(least)
+        columns = [c.view(np.int64) for c in (least, *runs)] + [np.full(n, doc), np.full(n, key), at, np.full(n, size)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, key, text in zip(*(batch.column(n) for n in ("doc_id", "key", "text"))):
                 lines = [x for x in _stripped(text.as_py()) if x]
                 hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64)
+                place = doc.as_py(), key.as_py()
+                if long_line is not None:
+                    at = np.array([i for i, x in enumerate(lines) if _is_long(x, long_line)], np.int64)
+                    if len(at):
+                        one = hashes[at]
+                        yield batch_of(mixed(one), [one, mixed(one ^ _SECOND)], *place, at, 1)
                 if len(hashes) < min_lines:
                     continue
                 grams = window_hashes(hashes, gram)
                 least = np.lib.stride_tricks.sliding_window_view(grams, width).min(axis=1)
                 runs = [window_hashes(h, min_lines) for h in (hashes, mixed(hashes ^ _SECOND))]
-                n = len(least)
-                columns = [c.view(np.int64) for c in (least, *runs)]
-                columns += [np.full(n, doc.as_py()), np.full(n, key.as_py()), np.arange(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+                yield batch_of(least, runs, *place, np.arange(len(least)), min_lines)
 
     return find
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, gram: int = GRAM) -> DataFrame:
-    """Per (``doc_id``, ``key``) the places ``at``, among the lines that are not blank, where a run of
-    ``min_lines`` lines begins that also stands earlier."""
-    schema = "print long, h1 long, h2 long, doc_id long, key long, at long"
-    runs = materialize(docs.filter("doc_id is not null and text is not null").mapInArrow(_windows(min_lines, gram), schema), "runs")
+def repeated_runs(
+    docs: DataFrame, min_lines: int = MIN_LINES, gram: int = GRAM, long_line: tuple[int, int] | None = None
+) -> DataFrame:
+    """Per (``doc_id``, ``key``) the runs that also stand earlier: their places ``at``, among the lines
+    that are not blank, and their numbers of lines ``size``."""
+    schema = "print long, h1 long, h2 long, doc_id long, key long, at long, size long"
+    read = docs.filter("doc_id is not null and text is not null")
+    runs = materialize(read.mapInArrow(_windows(min_lines, gram, long_line), schema), "runs")
     prints = runs.groupBy("print").agg(F.count(F.lit(1)).alias("times"))
     prints = materialize(prints.filter("times > 1").select("print"), "prints")
     met = materialize(runs.join(prints, "print").drop("print"), "met")
     place = F.struct("doc_id", "key", "at")
-    firsts = met.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
+    firsts = met.groupBy("size", "h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
     firsts = materialize(firsts.filter("times > 1").drop("times"), "first-runs")
     same = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.key") == F.col("key"))
-    apart = F.col("first.at") + min_lines <= F.col("at")
+    apart = F.col("first.at") + F.col("size") <= F.col("at")
     earlier = F.when(same, apart).otherwise(F.struct("first.doc_id", "first.key") < F.struct("doc_id", "key"))
-    later = met.join(firsts, ["h1", "h2"]).filter(earlier)
-    return later.groupBy("doc_id", "key").agg(F.collect_set("at").alias("at"))
+    later = met.join(firsts, ["size", "h1", "h2"]).filter(earlier)
+    return later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "size")).alias("at"))
 
 
-def _cut(min_lines: int):
+def _cut():
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def cut(text: pd.Series, at: pd.Series) -> pd.DataFrame:
         rows = []
@@ -74,7 +92,7 @@ def _cut(min_lines: int):
                 continue
             lines = body.split("\n")
             full = [i for i, x in enumerate(lines) if x.strip(SPACES)]
-            gone = {full[s + k] for s in (() if starts is None else starts) for k in range(min_lines)}
+            gone = {full[s["at"] + k] for s in (() if starts is None else starts) for k in range(s["size"])}
             kept = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else body
             rows.append((kept, len(full), len(gone)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
@@ -83,14 +101,20 @@ def _cut(min_lines: int):
 
 
 def line_dedup(
-    docs: DataFrame, min_lines: int = MIN_LINES, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame,
+    min_lines: int = MIN_LINES,
+    gram: int = GRAM,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    long_line: tuple[int, int] | None = None,
 ) -> DataFrame:
     """The documents with their later repeated runs of lines deleted, ``n_lines`` and ``n_removed``.
 
     Lines end at a line feed and are compared without surrounding white space. Blank lines stay and
     don't count. A run is ``min_lines`` or more lines in a row; it is deleted where the same run stands
     in an earlier document (smaller id; equal ids by a hash of the text) or earlier in the same one
-    without overlap.
+    without overlap. With ``long_line`` (words, characters) a single line of at least so many words or
+    characters is a run, too; shorter lines that repeat alone stay.
 
     Winnowing: of every ``min_lines`` lines the least hash of their grams is a fingerprint, so any two
     equal runs of that length share one. Places meet by fingerprints that occur twice or more, and
@@ -104,11 +128,11 @@ def line_dedup(
     """
     key = F.xxhash64(F.col(text))
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("key"), F.col(text).alias("text"))
-    found = materialize(repeated_runs(read, min_lines, gram), "later-runs")
+    found = materialize(repeated_runs(read, min_lines, gram, long_line), "later-runs")
     found = found.withColumnsRenamed({"doc_id": "__id", "key": "__key", "at": "__at"})
     keyed = docs.withColumn("__text_key", key)
     same = (F.col(doc_id).cast("long") == F.col("__id")) & (F.col("__text_key") == F.col("__key"))
-    joined = keyed.join(found, same, "left").withColumn("__cut", _cut(min_lines)(F.col(text), F.col("__at")))
+    joined = keyed.join(found, same, "left").withColumn("__cut", _cut()(F.col(text), F.col("__at")))
     joined = joined.withColumns(
         {text: F.col("__cut.text"), "n_lines": F.col("__cut.n_lines"), "n_removed": F.col("__cut.n_removed")}
     )

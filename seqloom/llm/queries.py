@@ -74,6 +74,41 @@ def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_removed", digest.alias("kept_sha256"))
 
 
+# The same with lines of ten words or 60 characters as runs of one line.
+_LONG_LINES_SQL = """WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents),
+nb AS (
+  SELECT doc_id, pos, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS t,
+         row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k
+  FROM l WHERE trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+w AS (
+  SELECT a.doc_id, a.k, 2 AS size, a.t || chr(10) || b.t AS run FROM nb a JOIN nb b ON b.doc_id = a.doc_id AND b.k = a.k + 1
+  UNION ALL
+  SELECT doc_id, k, 1, t FROM nb WHERE length(t) >= 60 OR len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) >= 10),
+f AS (SELECT *, first_value(doc_id) OVER o AS fd, first_value(k) OVER o AS fk
+      FROM w WINDOW o AS (PARTITION BY size, run ORDER BY doc_id, k)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(k, k + size)) AS k FROM f WHERE fd < doc_id OR fk + size <= k),
+kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text
+  FROM l LEFT JOIN nb USING (doc_id, pos) LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.k = nb.k
+  WHERE g.k IS NULL GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n.n_lines, 0) AS n_lines, coalesce(g.n_removed, 0) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_lines FROM nb GROUP BY 1) n USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY 1) g USING (doc_id)"""
+
+
+@query(_LONG_LINES_SQL)
+def op2_line_dedup_long(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    left = lines.line_dedup(docs, long_line=lines.LONG_LINE)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return left.select("doc_id", "n_lines", "n_removed", digest.alias("kept_sha256"))
+
+
 @query()
 def op3_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf, "documents"))

@@ -106,6 +106,34 @@ def test_line_dedup(docs, empty):
     assert lines.line_dedup(empty).collect() == []
 
 
+def test_line_dedup_of_long_single_lines(spark, docs, empty):
+    texts = [*TEXTS, "x" * 60, "a\n" + "x" * 60 + " \nb", "y" * 59, "y" * 59, "p q r s t u v w x", "p q r s t u v w x"]
+    texts += ["a b c d e f g h i j\n1\na b c d e f g h i j\n2", "3\n a b c d e f g h i j", "a b c d e f g h i j"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = by_id(lines.line_dedup(table, long_line=lines.LONG_LINE))
+    first, total = {}, 0
+    for i, t in enumerate(texts):
+        rows = (t or "").split("\n")
+        full = [k for k, x in enumerate(rows) if WORD.search(x)]
+        keys, gone = [rows[k].strip(" \t\n\x0b\x0c\r") for k in full], set()
+        for size in (1, 2):
+            for k in range(len(full) - size + 1):
+                if size == 1 and len(WORD.findall(keys[k])) < 10 and len(keys[k]) < 60:
+                    continue
+                place = first.setdefault(tuple(keys[k : k + size]), (i, k))
+                if place[0] < i or place[1] + size <= k:
+                    gone |= set(full[k : k + size])
+        kept = None if t is None else "\n".join(x for k, x in enumerate(rows) if k not in gone)
+        assert (got[i]["text"], got[i]["n_lines"], got[i]["n_removed"]) == (kept, len(full), len(gone))
+        total += len(gone)
+    n = len(TEXTS)
+    assert [got[n + k]["n_removed"] for k in range(9)] == [0, 1, 0, 0, 0, 0, 1, 1, 1] and total > 5
+    passage = TEXTS[8].split("\n")[1]
+    staged = corpus_pipeline.line_dedup(spark, docs.select("doc_id", "text", "lang", "source", "n_chars"), "")
+    assert {r["doc_id"] for r in staged.filter(staged["text"].contains(passage)).collect()} == {8}
+    assert lines.line_dedup(empty, long_line=lines.LONG_LINE).collect() == []
+
+
 def test_secret_scan(docs, empty):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
     got = by_id(secrets.scan_secrets(docs))
