@@ -114,7 +114,7 @@ def eval_examples(histories: DataFrame, phase: str, max_len: int) -> DataFrame:
     """One row per user: the held-out target and the last ``max_len`` interactions before it.
 
     Only ``max_len + 1`` rows of a history are collected. ``history_len`` is the full length;
-    :func:`eval_history` has all its items. Users without a target are in :func:`eval_rejects`.
+    :func:`eval_rows` has all its items in order. Users without a target are in :func:`eval_rejects`.
     """
     target_at = F.col("n") - HELD_OUT[phase]
     window = histories.filter((F.col("pos") <= target_at) & (F.col("pos") >= target_at - max_len))
@@ -147,6 +147,16 @@ def eval_history(histories: DataFrame, phase: str) -> DataFrame:
     return seen.select("user_id", "item_id").distinct()
 
 
+def eval_rows(histories: DataFrame, phase: str) -> DataFrame:
+    """The whole history before the target and the target itself, one row for each interaction.
+
+    ``pos`` orders the rows of a user; the target, marked by ``is_target``, is the last of them.
+    """
+    target_at = F.col("n") - HELD_OUT[phase]
+    is_target = (F.col("pos") == target_at).alias("is_target")
+    return histories.filter(F.col("pos") <= target_at).select("user_id", "pos", "item_id", "timestamp", is_target)
+
+
 def next_item_pairs(chunks: DataFrame) -> DataFrame:
     """Transitions ``(input_item, target_item)`` inside each training sequence."""
     steps = F.arrays_zip(
@@ -164,3 +174,21 @@ def cross_dataset_examples(
     train = chunk_sequences(split_keep_all(user_histories(train_inter, order_by)), max_len)
     other = user_histories(eval_inter, order_by)
     return train, eval_examples(other, "valid", max_len), eval_examples(other, "test", max_len)
+
+
+def cross_dataset_rows(
+    train_inter: DataFrame, eval_inter: DataFrame, max_len: int, order_by: Sequence[str] = ("timestamp", "row_ord")
+) -> DataFrame:
+    """The three parts of :func:`cross_dataset_examples` in long form, histories whole.
+
+    Columns are ``part``, ``user_id``, ``seq_no`` (-1 outside the training part), ``pos`` in the sequence,
+    ``item_id`` and ``is_target``; ids are text, as those of the two datasets may differ in type.
+    """
+    columns = ["part", F.col("user_id").cast("string"), "seq_no", "pos", F.col("item_id").cast("string"), "is_target"]
+    train = chunk_rows(split_keep_all(user_histories(train_inter, order_by)), max_len).withColumn("pos", F.col("seq_pos"))
+    parts = train.withColumns({"part": F.lit("train"), "is_target": F.lit(False)}).select(*columns)
+    other = user_histories(eval_inter, order_by)
+    for phase in HELD_OUT:
+        rows = eval_rows(other, phase).withColumns({"part": F.lit(phase), "seq_no": F.lit(-1)})
+        parts = parts.unionByName(rows.select(*columns))
+    return parts

@@ -276,6 +276,95 @@ def cross_dataset_examples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# The whole of what user_sequences, whole_sequences, eval_examples_*, bucketize_time_gaps and
+# cross_dataset_examples show a part of.
+
+OPOS = """opos AS (
+  SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n
+  FROM ointer WINDOW w AS (PARTITION BY user_id ORDER BY timestamp, o_orderkey, l_linenumber, item_id))"""
+SEGMENT = 8
+
+
+@query(
+    with_sql(
+        ORDER_INTER,
+        OPOS,
+        select=f"""SELECT user_id, CAST(pos // {SEGMENT} AS INT) AS segment_no, string_agg(item_id, ',' ORDER BY pos) AS item_seq,
+                          string_agg(timestamp, ',' ORDER BY pos) AS time_seq FROM opos GROUP BY ALL""",
+    )
+)
+def user_sequence_segments(spark: SparkSession, sf: str) -> DataFrame:
+    placed = sequences.user_histories(order_inter(spark, sf), ["timestamp", *ORDER_KEYS])
+    return _as_text(sequences.user_sequences(placed, SEGMENT), "item_seq", "time_seq")
+
+
+@query(
+    with_sql(*LOG, select="SELECT user_id, pos AS seq_pos, n - 2 AS seq_len, item_id, timestamp FROM pos WHERE pos < n - 2")
+)
+def whole_sequence_rows(spark: SparkSession, sf: str) -> DataFrame:
+    train = sequences.split_leave_two_out(histories(spark, sf))
+    rows = sequences.chunk_rows(train, LENGTH, data_split=False)
+    return rows.select("user_id", "seq_pos", "seq_len", "item_id", "timestamp")
+
+
+def _eval_rows_sql(held: int) -> str:
+    select = f"SELECT user_id, pos, item_id, timestamp, pos = n - {held} AS is_target FROM opos WHERE pos <= n - {held}"
+    return with_sql(ORDER_INTER, OPOS, select=select)
+
+
+def _eval_rows(spark: SparkSession, sf: str, phase: str) -> DataFrame:
+    return sequences.eval_rows(sequences.user_histories(order_inter(spark, sf), ["timestamp", *ORDER_KEYS]), phase)
+
+
+@query(_eval_rows_sql(2))
+def eval_rows_valid(spark: SparkSession, sf: str) -> DataFrame:
+    return _eval_rows(spark, sf, "valid")
+
+
+@query(_eval_rows_sql(1))
+def eval_rows_test(spark: SparkSession, sf: str) -> DataFrame:
+    return _eval_rows(spark, sf, "test")
+
+
+@query(
+    with_sql(
+        *LOG,
+        CHUNKS,
+        f"""padded AS (
+          SELECT user_id, seq_no, list_concat(list_transform(range({WIDTH} - len(time_seq)), lambda i: 0), time_seq) AS ts
+          FROM chunks)""",
+        select=f"""SELECT user_id, seq_no, array_to_string(list_transform(range({WIDTH}), lambda i:
+                     array_to_string(list_transform(ts, lambda t: least(CAST(floor(ln(greatest(
+                       abs(ts[least(i + 2, {WIDTH})] - t), 1)) / 0.301) AS BIGINT), 128)), ':')), ',') AS gaps
+                   FROM padded""",
+    )
+)
+def bucketize_all_time_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    padded = chunks(spark, sf).withColumn("time_seq", fn.pad_left(F.col("time_seq"), WIDTH))
+    gaps = fn.time_gap_buckets(F.col("time_seq"), WIDTH)
+    return padded.select("user_id", "seq_no", joined_rows(gaps).alias("gaps"))
+
+
+@query(
+    with_sql(
+        *LOG,
+        ORDER_INTER,
+        OPOS,
+        f"""cross_cut AS (
+          SELECT user_id, item_id, pos - (CASE WHEN n > {WIDTH} THEN n % {WIDTH} ELSE 0 END) AS place, n FROM opos)""",
+        select=f"""SELECT 'train' AS part, user_id, CAST(CASE WHEN n > {WIDTH} THEN place // {WIDTH} ELSE 0 END AS INT) AS seq_no,
+                          CASE WHEN n > {WIDTH} THEN place % {WIDTH} ELSE place END AS pos, item_id, false AS is_target
+                   FROM cross_cut WHERE place >= 0
+                   UNION ALL
+                   SELECT part, CAST(user_id AS VARCHAR), -1, pos, CAST(item_id AS VARCHAR), pos = n - held
+                   FROM pos, (VALUES ('valid', 2), ('test', 1)) AS phases(part, held) WHERE pos <= n - held""",
+    )
+)
+def cross_dataset_rows(spark: SparkSession, sf: str) -> DataFrame:
+    log = order_inter(spark, sf).withColumn("row_ord", F.struct(*ORDER_KEYS)).drop("o_orderkey", "l_linenumber")
+    return sequences.cross_dataset_rows(log, encoded(spark, sf), LENGTH)
+
+
 # Negatives. The SQL draws the r-th id outside the sorted excluded ids.
 
 

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom import functions as fn
+from seqloom import plans
 from seqloom.operators import sequences as seq
+from seqloom.plans import examples
 from tests.helpers import log, rows
 
 ORDER = ["timestamp", "row_ord"]
@@ -145,3 +147,30 @@ def test_cross_dataset(spark):
     assert rows(train, "user_id", "item_seq") == [(1, [1, 2]), (2, [3, 4])]
     assert rows(valid, "history", "target") == [([5, 6], 7)]
     assert rows(test, "history", "target") == [([5, 6, 7], 8)]
+
+
+@pytest.mark.parametrize("phase,target", [("valid", 18), ("test", 19)])
+def test_eval_rows_hold_the_whole_history(spark, phase, target):
+    placed = seq.user_histories(log(spark, {1: list(range(20)), 2: [7]}), ORDER)
+    got = rows(seq.eval_rows(placed, phase).filter("user_id = 1"), "item_id", "is_target")
+    assert got == sorted([(i, i == target) for i in range(target + 1)], key=repr)
+    assert rows(seq.eval_rows(placed, phase).filter("user_id = 2"), "item_id") == ([(7,)] if phase == "test" else [])
+
+
+def test_cross_dataset_rows_have_three_whole_parts(spark):
+    web, shop = log(spark, {1: [1, 2, 3, 4, 5]}), log(spark, {7: list(range(20))})
+    found = seq.cross_dataset_rows(web, shop, 3, ORDER)
+    part = lambda name: {tuple(r)[2:] for r in found.filter(F.col("part") == name).collect()}
+    assert part("train") == {(0, k, str(k + 2), False) for k in range(4)}
+    assert part("valid") == {(-1, k, str(k), k == 18) for k in range(19)}
+    assert part("test") == {(-1, k, str(k), k == 19) for k in range(20)}
+
+
+def test_whole_queries_leave_nothing_out(spark):
+    sf = "/root/testdata/sf0.001"
+    some = plans.queries()
+    chunk = examples.chunks(spark, sf)
+    assert some["bucketize_all_time_gaps"](spark, sf).count() == chunk.count()
+    whole = some["whole_sequence_rows"](spark, sf)
+    assert whole.count() == whole.groupBy("user_id").agg(F.max("seq_len").alias("n")).agg(F.sum("n")).first()[0]
+    assert some["user_sequence_segments"](spark, sf).filter("segment_no > 0").count() > 0
