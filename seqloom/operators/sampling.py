@@ -6,19 +6,29 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from seqloom.operators.ordering import global_rank, group_positions, take_first
 
+WHOLE_NUMBER = r"^[+-]?[0-9]{1,18}$"  # longer ids are text
+
 
 def dropped_users(inter: DataFrame, keep_percent: int, user: str = "user_id") -> DataFrame:
     """The users to drop: the front of the sorted ids, ``floor(users * (1 - keep/100))`` of them.
 
-    Numeric ids sort as numbers and strings by code point. The fraction is evaluated in floating
-    point, so 90 percent of 100 users drops 9.
+    Numeric ids sort as numbers, also where they are read as text and all are whole numbers; other
+    strings sort by code point. The fraction is evaluated in floating point, so 90 percent of 100 users
+    drops 9.
     """
     users = inter.select(user).filter(F.col(user).isNotNull()).distinct()
-    cut = math.floor(users.count() * (1 - keep_percent / 100))
-    return global_rank(users, [user], "_rank").filter(F.col("_rank") < cut).select(user)
+    whole = F.bool_and(F.col(user).cast("string").rlike(WHOLE_NUMBER)).alias("whole")
+    seen = users.agg(F.count(F.lit(1)).alias("n"), whole).first()
+    cut = math.floor(seen["n"] * (1 - keep_percent / 100))
+    order = [user]
+    if seen["whole"] and isinstance(users.schema[user].dataType, StringType):
+        order = ["_number", user]
+        users = users.withColumn("_number", F.col(user).cast("decimal(38,0)"))
+    return global_rank(users, order, "_rank").filter(F.col("_rank") < cut).select(user)
 
 
 def anti_filter_users(inter: DataFrame, dropped: DataFrame) -> DataFrame:

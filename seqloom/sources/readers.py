@@ -39,10 +39,19 @@ def read_interactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataF
 
 
 def read_raw_interactions(spark: SparkSession, path: str) -> DataFrame:
-    """The same files as text fields, for the row checks. Surplus fields show up in ``extra``."""
+    """The same files as text fields, one row for each line but the header, for the row checks.
+
+    A line that has not three fields stands whole in ``extra``; an empty one has no fields.
+    """
+    lines = _with_file_order(spark.read.text(path).select("value", "_metadata"))
+    # The first line of a file lies in the block at offset 0; the row number rises with the lines inside a task.
+    first = lines.filter("row_ord.block = 0").groupBy("row_ord.file").agg(F.min("row_ord.row").alias("header"))
+    first = F.broadcast(first.withColumnRenamed("file", "header_file"))
+    is_header = (F.col("row_ord.file") == F.col("header_file")) & (F.col("row_ord.row") == F.col("header"))
+    lines = lines.join(first, is_header, "left_anti").select("value", "row_ord")
     schema = "item_id string, user_id string, timestamp string, extra string"
-    df = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, mode="PERMISSIVE")
-    return _with_file_order(df).select(*INTERACTION_COLUMNS, "extra", "row_ord")
+    fields = F.from_csv("value", F.lit(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "extra"})
+    return lines.withColumn("fields", fields).select(*[f"fields.{c}" for c in INTERACTION_COLUMNS], "fields.extra", "row_ord")
 
 
 def with_row_numbers(raw: DataFrame) -> DataFrame:

@@ -43,6 +43,11 @@ def test_user_fraction_drops_the_front(spark):
     assert kept == set(range(10, 101))
 
 
+def test_user_fraction_sorts_numbers_read_as_text_by_value(spark):
+    df = spark.createDataFrame([(u, 1) for u in ["10", "9", "100", "-2"]], "user_id string, item_id long")
+    assert {r["user_id"] for r in sampling.drop_user_fraction(df, 50).collect()} == {"10", "100"}
+
+
 def test_user_fraction_sorts_strings_by_code_point(spark):
     df = spark.createDataFrame([(u, 1) for u in ["10", "9", "a", "B"]], "user_id string, item_id long")
     assert {r["user_id"] for r in sampling.drop_user_fraction(df, 50).collect()} == {"B", "a"}

@@ -48,6 +48,15 @@ def test_missing_and_surplus_fields(spark, tmp_path):
     assert sorted(r["row_no"] for r in validate.invalid_rows(raw).collect()) == [2, 3]
 
 
+def test_empty_surplus_fields_and_blank_lines_are_reported(spark, tmp_path):
+    data = [("a", "u", "1"), ("b", "u", "2", ""), ("c", "u", "3", "", "x"), (), ("d", "u", "4"), ('"e,1"', "u", "5"), ("f",)]
+    path = write(tmp_path, data)
+    raw = sources.readers.with_row_numbers(sources.readers.read_raw_interactions(spark, path))
+    assert sorted(r["row_no"] for r in raw.collect()) == list(range(2, 9))
+    assert sorted(r["row_no"] for r in validate.invalid_rows(raw).collect()) == [3, 4, 5, 8]
+    assert {r["item_id"] for r in raw.filter("row_no in (2, 7)").collect()} == {"a", "e,1"}
+
+
 def test_bad_timestamp(spark, tmp_path):
     path = write(tmp_path, [("item0", "user0", "not a timestamp"), *VALID[1:]])
     assert "timestamp" in violations(spark, path)
