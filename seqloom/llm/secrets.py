@@ -44,6 +44,11 @@ ENCODINGS = (
     ("random_base64", UPPER + LOWER + DIGITS + "-_"),
 )
 TOKEN = r"[A-Za-z0-9+/_-]{24,}"
+# Parts of a run that fit one alphabet; a separator in the class must occur, so no part is tested twice.
+STRETCHES = ((r"[A-Za-z0-9+/]{24,}", "[+/]"), (r"[A-Za-z0-9_-]{24,}", "[_-]"), (r"[A-Za-z0-9]{24,}", ""))
+PLAIN_HEAD = r"^(?:[A-Za-z]*+[0-9]{0,4}+[+/_-]){1,64}"  # words, with few digits behind, before a separator
+PLAIN_TAIL = r"(?:[+/_-][A-Za-z]*+[0-9]{0,4}+){1,64}$"
+LEAST = 24
 LONGEST_BAND = 8  # bands are powers of two of the length; longer tokens share the last one
 BINS = 8  # of the alphabet in the chi-squared test
 STEPS = 16  # steps of the p-value per factor of two
@@ -126,7 +131,8 @@ def _p_value(digits: Column, size: Column) -> Column:
     high = F.transform(digits, lambda d: d * 2 >= size)
     n1 = total(F.transform(high, lambda h: h.cast("double")))
     n2 = n - n1
-    runs = 1 + total(F.transform(high, lambda h, i: F.when((i > 0) & (h != F.get(high, i - 1)), 1.0).otherwise(0.0)))
+    changes = lambda x: F.transform(x, lambda h, i: F.when((i > 0) & (h != F.get(x, i - 1)), 1.0).otherwise(0.0))
+    runs = 1 + total(let(high, changes))
     mean = 2 * n1 * n2 / n + 1
     spread = (mean - 1) * (mean - 2) / (n - 1)
     in_runs = F.when(spread > 0, _normal_tail((runs - mean) / F.sqrt(spread))).otherwise(0.0)
@@ -134,13 +140,55 @@ def _p_value(digits: Column, size: Column) -> Column:
     middle = (size - 1) / 2
     moved = F.transform(digits, lambda d: d - middle)
     around = total(F.transform(moved, lambda x: x * x))
-    along = total(F.transform(moved, lambda x, i: F.coalesce(x * F.get(moved, i + 1), F.lit(0.0))))
+    along = total(let(moved, lambda m: F.transform(m, lambda x, i: F.coalesce(x * F.get(m, i + 1), F.lit(0.0)))))
     serial = F.when(around > 0, _normal_tail((along / around) * F.sqrt(n))).otherwise(0.0)
     return F.least(F.lit(1.0), 3 * F.least(uniform, in_runs, serial))
 
 
+def _parts(run: Column) -> Column:
+    """Stretches of one alphabet in a run, and those with separators also without the plain words at their ends."""
+
+    def place(start: Column, token: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), (start + F.length(token)).cast("int").alias("end"), token.alias("token"))
+
+    def trimmed(s: Column) -> Column:
+        head = F.length(F.regexp_extract(s["token"], PLAIN_HEAD, 0))
+        left = F.length(s["token"]) - head - F.length(F.regexp_extract(s["token"], PLAIN_TAIL, 0))
+        return place(s["start"] + head, F.substr(s["token"], head + 1, F.greatest(left, F.lit(0))))
+
+    def stretches(regex: str, separator: str) -> Column:
+        found = F.regexp_extract_all(run["token"], F.lit(regex), F.lit(0))
+        spans = let(found, lambda f: _spans(run["token"], regex, f))
+        spans = F.transform(spans, lambda s: place(run["start"] + s["start"], s["token"]))
+        if not separator:
+            return spans
+        spans = F.filter(spans, lambda s: s["token"].rlike(separator))
+
+        def with_inner(whole: Column) -> Column:
+            inner = F.zip_with(whole, F.transform(whole, trimmed), lambda s, t: F.when(t["end"] - t["start"] < s["end"] - s["start"], t))
+            is_new = lambda t: t["token"].rlike(separator) & (F.length(t["token"]) >= LEAST)
+            return F.concat(whole, F.filter(inner, lambda t: F.coalesce(is_new(t), F.lit(False))))
+
+        return let(spans, with_inner)
+
+    return F.concat(*[stretches(*s) for s in STRETCHES])
+
+
+def _outermost(spans: Column) -> Column:
+    """Spans that lie in no other one of them; of equal ones the first."""
+    none = F.array().cast(SPAN)
+    start = F.struct(F.lit(-1).alias("reach"), none.alias("out"))
+
+    def add(a: Column, s: Column) -> Column:
+        grown = F.struct(s["end"].alias("reach"), F.concat(a["out"], F.array(F.struct(s["kind"], s["start"], s["end"]))).alias("out"))
+        return F.when(s["end"] > a["reach"], grown).otherwise(a)
+
+    keyed = F.transform(spans, lambda s: F.struct(s["start"], (-s["end"]).alias("back"), s["kind"], s["end"]))
+    return F.when(F.size(spans) < 2, spans.cast(SPAN)).otherwise(F.aggregate(F.array_sort(keyed), start, add, lambda a: a["out"]))
+
+
 def _candidates(body: Column) -> Column:
-    """Tokens of an alphabet with their band and the step of their p-value."""
+    """Parts of tokens that fit an alphabet, with their band and the step of their p-value."""
 
     def judged(span: Column) -> Column:
         token = span["token"]
@@ -167,7 +215,8 @@ def _candidates(body: Column) -> Column:
 
         return let(which, scored)
 
-    spans = let(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)), lambda f: _spans(body, TOKEN, f))
+    runs = let(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)), lambda f: _spans(body, TOKEN, f))
+    spans = F.flatten(F.transform(runs, _parts))
     return F.filter(F.transform(spans, judged), lambda c: c["step"] <= MAX_STEP)
 
 
@@ -188,7 +237,11 @@ def rejected_steps(candidates: DataFrame) -> DataFrame:
 def scan_secrets(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of every document, ``base`` (spans of PATTERNS) and ``spans`` (with the method's).
 
-    A token of 24 or more characters of one alphabet is taken for a secret unless a chi-squared test
+    A run of 24 or more of ``A-Za-z0-9+/_-`` is tested in parts: its stretches of the standard alphabet, of
+    the one with ``-`` and ``_``, and of letters and digits, the first two also without the plain words at
+    their ends. So a token joined to a path or a name is met both with and without it; of spans in one
+    another the outermost counts. Shorter tokens are left to PATTERNS: below 24 digits (three for each
+    bin) the tests cannot tell random digits from long words. A part is taken for a secret unless a chi-squared test
     of its digits, a runs test or a test of serial correlation shows that it isn't random. Which
     p-values count as such follows from the false-discovery rate within tokens of like length over
     the whole table; short tokens, for which the tests have less power, have a higher level. A token
@@ -214,7 +267,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("do
     apart = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     random = F.filter("tokens", lambda t: (t["step"] < band(t)) & apart(t))
     random = F.transform(random, lambda t: F.struct(t["kind"], t["start"], t["end"]))
-    both = F.array_sort(F.concat("base", random.cast(SPAN)), _by_start)
+    both = F.array_sort(F.concat("base", let(random, _outermost)), _by_start)
     return found.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "base", both.alias("spans"))
 
 

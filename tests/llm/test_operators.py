@@ -158,6 +158,28 @@ def test_randomness_battery(spark):
     assert not any(got[i]["spans"] for i in range(50, 54))
 
 
+def test_random_tokens_inside_longer_runs(spark):
+    draw = random.Random(6)
+    alnum = secrets.UPPER + secrets.LOWER + secrets.DIGITS
+    letters = lambda more, n=40: "A" + "".join(draw.choices(alnum + more, k=n - 2)) + "9"
+    shapes = [("com/my-app/v1_x/", letters("")), ("my_key-", letters("+/")), ("path/to/", letters("-_")), ("some/plain/words/", letters(""))]
+    rows = []
+    for _ in range(40):
+        for head, _ in shapes:
+            token = letters({"my_key-": "+/", "path/to/": "-_"}.get(head, ""))
+            rows.append((len(rows), f"see {head}{token} end", 4 + len(head), 4 + len(head) + len(token)))
+    table = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    words = [(1000 + i, w) for i, w in enumerate(["m" * 38 + "/b-c", "-" * 500, "a/" * 500 + "-_"])]
+    got = by_id(secrets.scan_secrets(table.union(spark.createDataFrame(words, "doc_id long, text string"))))
+    met = Counter()
+    for i, text, start, end in rows:
+        covers = [s for s in got[i]["spans"] if s["start"] <= start + 1 and s["end"] >= end - 1]
+        met[i % 4] += bool(covers)
+        assert all(4 <= s["start"] < s["end"] <= end for s in got[i]["spans"])
+    assert all(met[k] >= 34 for k in range(4)), met
+    assert not got[1000]["spans"] and not got[1001]["spans"] and not got[1002]["spans"]
+
+
 def brute_components(size, percent):
     sets = {}
     for i, t in enumerate(TEXTS):
