@@ -18,6 +18,7 @@ STOP_WORDS = (
     "de la le et les des une en que los el un por con "
     "der die und das den von zu ist nicht ein"
 ).split()
+STOP_LANGS = ("en", "fr", "es", "de")  # the languages of these words
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,7 @@ class Rule:
 
 
 RULES = (
-    Rule("n_words", low=50, high=100_000),
+    Rule("n_words", low=50),
     Rule("repeat_share", high=0.5),
     Rule("mean_word_chars", low=2.5, high=12.0),
     Rule("symbol_share", high=0.1),
@@ -84,15 +85,18 @@ def _verdict(rules: Sequence[Rule], measures: dict[str, Column]) -> Column:
     for rule in rules:
         value = measures[rule.measure]
         if rule.low is not None:
-            verdict = verdict & (value >= rule.low)
+            verdict = verdict & F.coalesce(value >= rule.low, F.lit(True))
         if rule.high is not None:
-            verdict = verdict & (value <= rule.high)
+            verdict = verdict & F.coalesce(value <= rule.high, F.lit(True))
     return verdict
 
 
-def quality_rules(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, lang: str = "lang") -> DataFrame:
     """Every document with its counts, ``base_failed`` and the verdict ``kept`` of the threshold table.
 
+    The rule on stop words applies where the column ``lang`` names one of STOP_LANGS; without that, or
+    in another language, the ratios alone decide.
+
     The rows stay as they are: repeated rows and ties are judged one by one, null and empty texts
     have no words and fail, an empty table gives an empty table. Other columns pass through; one
     that has the name of a result column is replaced. Three-word windows are compared by 64-bit
@@ -120,6 +124,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = R
     row = F.inline(F.array(F.struct(*[c.alias(name) for name, c in counts.items()])))
     counted = counted.drop(*counts).select("*", row).drop("__words", "__lines")
     n, lines = F.col("n_words"), F.col("n_lines")
+    known = F.coalesce(F.lower(F.col(lang)).isin(*STOP_LANGS), F.lit(False)) if lang in docs.columns else F.lit(False)
     measures = {
         "n_words": n,
         "repeat_share": _share(F.col("n_repeat_words"), n),
@@ -127,7 +132,8 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = R
         "symbol_share": _share(F.col("n_symbols"), n),
         "no_letter_share": _share(F.col("n_no_letter"), n),
         "upper_share": _share(F.col("n_upper"), F.col("word_chars")),
-        "stop_words": F.col("n_stop_words"),
+        # Null, which no rule fails, where the list says nothing about the language.
+        "stop_words": F.when(known, F.col("n_stop_words")),
         "dup_line_share": _share(F.col("n_dup_lines"), lines),
         "bullet_line_share": _share(F.col("n_bullet_lines"), lines),
         "ellipsis_line_share": _share(F.col("n_ellipsis_lines"), lines),

@@ -136,7 +136,7 @@ def op5_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
-    judged = quality.quality_rules(table(spark, sf, "documents").select("doc_id", "text"))
+    judged = quality.quality_rules(table(spark, sf, "documents").select("doc_id", "text", "lang"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

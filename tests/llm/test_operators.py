@@ -256,6 +256,17 @@ def test_quality_rules(docs, empty):
     assert quality.quality_rules(empty).filter("kept").collect() == []
 
 
+def test_quality_rules_keep_long_texts_and_other_languages(spark):
+    draw = random.Random(8)
+    body = lambda n: " ".join("".join(draw.choices("abcdefghij", k=6)) for _ in range(n))
+    long = "the and of " + body(100_001)
+    rows = [(0, long, "en"), (1, body(80), "it"), (2, body(80), "en"), (3, body(80), None), (4, "the and " + body(80), "EN")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = by_id(quality.quality_rules(table).select("doc_id", "n_words", "kept"))
+    assert got[0]["n_words"] == 100_004
+    assert [got[i]["kept"] for i in range(5)] == [True, True, False, True, True]
+
+
 def test_substring_dedup(docs, empty):
     rows = substrings.substring_dedup(docs).collect()
     assert len(rows) == len(TEXTS) + 3
