@@ -1,4 +1,4 @@
-"""Line dedup: later copies of runs of lines are deleted, found by winnowing over line hashes."""
+"""Line dedup: later copies of runs of lines are deleted, found by grouping line hashes."""
 
 from __future__ import annotations
 
@@ -116,11 +116,11 @@ def line_dedup(
     without overlap. With ``long_line`` (words, characters) a single line of at least so many words or
     characters is a run, too; shorter lines that repeat alone stay.
 
-    Winnowing: of every ``min_lines`` lines the least hash of their grams is a fingerprint, so any two
-    equal runs of that length share one. Places meet by fingerprints that occur twice or more, and
-    are extended to both sides by the hash of the whole run around them (128 bits); longer runs are
-    the union of such runs. Each run is joined to its first place only, so a run with many copies
-    costs one row for each.
+    Every run of ``min_lines`` lines is written with the least hash of its grams. Runs whose least hash
+    occurs once go; the others are grouped by the hash of the whole run (128 bits), and longer runs are
+    the union of such runs. This takes the place of winnowing: no positions are selected and nothing
+    is extended, so one row is written for each run. Each run is joined to its first place only, so a
+    run with many copies costs one row for each.
 
     Null texts stay null, empty texts empty. Rows without an id stay as they are and delete nothing.
     Rows that are alike in id and text are treated alike. All columns pass through; columns named
