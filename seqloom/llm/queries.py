@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat, jaccard, lines, mixing, neighbours, packing, quality, secrets, substrings, warc
+from seqloom.llm import bpe, chat, jaccard, lines, mixing, neighbours, packing, quality, resample, secrets, spelling, substrings, warc
 from seqloom.plans.registry import Query
 from seqloom.session import scratch_path
 
@@ -190,3 +190,104 @@ def with_full_payload(read: DataFrame) -> DataFrame:
     return both.select(
         "page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"
     )
+
+
+# CRC-32 in SQL: a table of 256 entries by the rule of the polynomial, then a fold over the bytes.
+_CRC_SQL = """crc_table AS MATERIALIZED (
+  SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+              ORDER BY i) AS entries
+  FROM range(256) r(i))"""
+
+
+def _crc_of(text: str) -> str:
+    hexed = f"hex(encode({text}))"
+    each = f"list_transform(range(1, len({hexed}) + 1, 2), lambda p: ('0x' || substr({hexed}, p, 2))::BIGINT)"
+    fold = f"list_reduce([4294967295::BIGINT] || {each}, lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]))"
+    return f"xor({fold}, 4294967295::BIGINT)"
+
+
+_UPPER_LOWER = f"'{spelling.UPPER}', '{spelling.LOWER}'"
+
+_RESAMPLE_SQL = f"""WITH {_CRC_SQL},
+words AS (
+  SELECT doc_id, false AS wanted, unnest(regexp_extract_all(translate(text, {_UPPER_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word
+  FROM documents
+  UNION ALL
+  SELECT NULL, true, unnest(regexp_extract_all(translate(text, {_UPPER_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'))
+  FROM benchmark),
+hashed AS (SELECT word, {_crc_of("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM words), crc_table),
+placed AS (SELECT w.doc_id, w.wanted, h.bucket FROM words w JOIN hashed h USING (word)),
+counts AS (SELECT bucket, count(*) FILTER (NOT wanted) AS s, count(*) FILTER (wanted) AS t FROM placed GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0)::DOUBLE + 10000 AS all_s, coalesce(sum(t), 0)::DOUBLE + 10000 AS all_t FROM counts),
+gains AS (
+  SELECT bucket, floor(1000.0::DOUBLE * ln(((t + 1)::DOUBLE * all_s) / ((s + 1)::DOUBLE * all_t)))::BIGINT AS gain
+  FROM counts, totals),
+weighed AS (
+  SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight
+  FROM placed JOIN gains USING (bucket) WHERE NOT wanted GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(w.n_features, 0) AS n_features, coalesce(w.weight, 0) AS weight,
+         coalesce(w.weight, 0) + floor(-1000.0::DOUBLE * ln(-ln(
+           (('0x' || substr(sha256('2024:' || d.doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM documents d LEFT JOIN weighed w USING (doc_id)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) FILTER (n_features >= 20) OVER () AS n
+  FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank
+FROM ranked"""
+
+
+@query(_RESAMPLE_SQL)
+def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.importance_resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+_SPELLING_SQL = f"""WITH RECURSIVE {_CRC_SQL},
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), {_UPPER_LOWER}) AS run FROM documents),
+hashed AS (
+  SELECT run, times, {_crc_of("doc_id::VARCHAR || ':' || run")} AS h
+  FROM (SELECT doc_id, run, count(*) AS times FROM runs WHERE length(run) >= 7 GROUP BY 1, 2), crc_table),
+changed AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times
+  FROM hashed),
+v AS MATERIALIZED (
+  SELECT word, sum(times)::BIGINT AS n FROM changed WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+cut AS MATERIALIZED (
+  SELECT word, n, p, length(word) AS size, substr(word, 1, p - 1) || substr(word, p + 1) AS rest
+  FROM v, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS p)),
+near AS MATERIALIZED (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.size = b.size AND a.word <> b.word
+  UNION
+  SELECT c.word, c.n, v.word, v.n FROM cut c JOIN v ON v.word = c.rest
+  UNION
+  SELECT v.word, v.n, c.word, c.n FROM cut c JOIN v ON v.word = c.rest),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place, count(*) OVER (PARTITION BY word) AS n_near
+  FROM near),
+formed AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near,
+         CASE WHEN b.other_n >= 10 * v.n THEN b.other END AS form, CASE WHEN b.other_n >= 10 * v.n THEN b.other_n END AS form_n
+  FROM v LEFT JOIN best b ON b.word = v.word AND b.place = 1),
+chain AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL
+  SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.at AS root FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM formed f JOIN ends e ON e.word = f.word"""
+
+
+@query(_SPELLING_SQL)
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    words = spelling.noisy_words(table(spark, sf, "documents"))
+    return spelling.spelling_variants(spelling.vocabulary(words))
+
+
+@query()
+def op13_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, TOKENIZER[1], public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids")
+    back = bpe.decode(coded, TOKENIZER[1])
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

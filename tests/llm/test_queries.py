@@ -17,7 +17,7 @@ def test_query_matches_sql(spark, name):
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert {"pipeline"} <= names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert {"pipeline"} <= names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
 def test_quality_stays_native(spark):
