@@ -500,7 +500,8 @@ logits AS (
 _CONTRASTIVE = (*LOG, CHUNKS, VECTORS, DRAWN_FROM, BATCHED, _LOGITS)
 
 
-def contrastive_logits(spark: SparkSession, sf: str) -> DataFrame:
+def contrastive_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Training positions with their vectors, and the negatives of each batch."""
     vectors = item_vectors(spark, sf)
     examples = batched_examples(spark, sf)
     steps = F.arrays_zip(
@@ -512,8 +513,8 @@ def contrastive_logits(spark: SparkSession, sf: str) -> DataFrame:
     queries = vectors.select(F.col("item_id").alias("query"), F.col("vec").alias("query_vec"))
     targets = vectors.select(F.col("item_id").alias("target"), F.col("vec").alias("target_vec"))
     positions = rows.join(queries, "query").join(targets, "target").drop("query", "target")
-    negs = examples.select("batch_id", F.explode("neg_item").alias("item_id")).join(vectors, "item_id")
-    return metrics.contrastive.nce_logits(positions, negs.select("batch_id", "vec"))
+    negs = examples.select("batch_id", "example", F.posexplode("neg_item").alias("at", "item_id")).join(vectors, "item_id")
+    return positions, negs.select("batch_id", F.struct("example", "at").alias("place"), "vec")
 
 
 @query(
@@ -525,15 +526,12 @@ def contrastive_logits(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def nce_logits(spark: SparkSession, sf: str) -> DataFrame:
-    logits = contrastive_logits(spark, sf)
+    logits = metrics.contrastive.nce_logits(*contrastive_inputs(spark, sf))
     total = F.aggregate("neg_logits", F.lit(0.0), lambda a, x: a + x)
-    return logits.select(
-        "batch_id",
-        "example",
-        "step",
-        rounded("pos_logit").alias("pos_logit"),
-        F.size("neg_logits").alias("survivors"),
-        rounded(total).alias("neg_total"),
+    return logits.groupBy("batch_id", "example", "step").agg(
+        rounded(F.max("pos_logit")).alias("pos_logit"),
+        F.sum(F.size("neg_logits")).cast("int").alias("survivors"),
+        rounded(F.sum(total)).alias("neg_total"),
     )
 
 
@@ -553,5 +551,5 @@ def nce_logits(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def nce_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    values = metrics.contrastive.nce_metrics(contrastive_logits(spark, sf))
+    values = metrics.contrastive.nce_metrics(metrics.contrastive.nce_state(*contrastive_inputs(spark, sf)))
     return values.select("metric", rounded("value").alias("value"))

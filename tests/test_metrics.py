@@ -175,32 +175,71 @@ def test_tail(spark):
     assert values(metrics.evaluate(inputs, ["averagepopularity"], 2)) == {("averagepopularity", 2): (5 + 2.5) / 2}
 
 
-def test_contrastive_logits(spark):
+@pytest.mark.parametrize("tile", [None, 2])
+def test_contrastive_logits(spark, tile):
     rng = np.random.default_rng(4)
     unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
-    q, t, n = rng.normal(size=(2, 3, 4)), rng.normal(size=(2, 3, 4)), rng.normal(size=(2, 5, 4))
+    q, t, n = rng.normal(size=(3, 3, 4)), rng.normal(size=(3, 3, 4)), rng.normal(size=(2, 5, 4))
     n[0, 0] = t[0, 1] * 3  # a false negative of one position
-    positions = [(b, e, 0, q[b, e].tolist(), t[b, e].tolist()) for b in range(2) for e in range(3)]
-    negs = [(b, v.tolist()) for b in range(2) for v in n[b]]
-    df = metrics.contrastive.nce_logits(
+    n[1] = t[1, 2]  # all are false negatives of one position
+    positions = [(b, e, 0, q[b, e].tolist(), t[b, e].tolist()) for b in range(3) for e in range(3)]
+    negs = [(b, v.tolist()) for b in range(2) for v in n[b]]  # the last batch has none
+    given = (
         spark.createDataFrame(positions, "batch_id long, example int, step int, query_vec array<double>, target_vec array<double>"),
         spark.createDataFrame(negs, "batch_id long, vec array<double>"),
-        scale=math.log(20),
     )
     losses, sizes, places = [], [], []
-    got = {(r["batch_id"], r["example"]): r for r in df.collect()}
-    for b in range(2):
+    got = {}
+    for r in metrics.contrastive.nce_logits(*given, scale=math.log(20), tile=tile).collect():
+        got.setdefault((r["batch_id"], r["example"]), []).append(r)
+        assert r["width"] <= 1 + (tile or 5) * 3
+    states = metrics.contrastive.nce_state(*given, scale=math.log(20), tile=tile)
+    state = {(r["batch_id"], r["example"]): r for r in states.collect()}
+    assert len(state) == 9
+    for b in range(3):
         for e in range(3):
-            keep = unit(n[b]) @ unit(t[b, e]) <= 0.99
-            pos, neg = 20 * unit(q[b, e]) @ unit(t[b, e]), 20 * (unit(n[b]) @ unit(q[b, e]))[keep]
-            assert got[b, e]["pos_logit"] == pytest.approx(pos)
-            assert sorted(got[b, e]["neg_logits"]) == pytest.approx(sorted(neg))
+            negs_of = n[b] if b < 2 else np.zeros((0, 4))
+            keep = unit(negs_of) @ unit(t[b, e]) <= 0.99
+            pos, neg = 20 * unit(q[b, e]) @ unit(t[b, e]), 20 * (unit(negs_of) @ unit(q[b, e]))[keep]
+            rows, one = got[b, e], state[b, e]
+            assert [r["pos_logit"] for r in rows] == pytest.approx([pos] * len(rows)) and one["pos_logit"] == pytest.approx(pos)
+            assert sorted(x for r in rows for x in r["neg_logits"]) == pytest.approx(sorted(neg))
+            assert (one["survivors"], one["above"], one["negatives"]) == (len(neg), (neg > pos).sum(), len(negs_of))
+            assert one["total"] == pytest.approx(neg.sum())
+            if len(neg):
+                assert one["top"] + math.log(one["scaled"]) == pytest.approx(np.log(np.exp(neg).sum()))
             losses.append(np.log(np.exp([pos, *neg]).sum()) - pos)
             sizes.append(1 + len(neg))
             places.append(1 + (neg > pos).sum())
-    assert min(sizes) == 5
-    result = {r["metric"]: r["value"] for r in metrics.contrastive.nce_metrics(df).collect()}
+    assert min(sizes) == 1 and max(sizes) == 6
+    result = {r["metric"]: r["value"] for r in metrics.contrastive.nce_metrics(states).collect()}
     assert result["nce_loss"] == pytest.approx(np.mean(losses))
     assert result["nce_samples"] == pytest.approx(np.mean(sizes))
     assert result["nce_top1_acc"] == pytest.approx(np.mean([p <= 1 for p in places]))
-    assert set(result) == {"nce_loss", "nce_samples", "nce_top1_acc", "nce_top5_acc"}
+    assert set(result) == {"nce_loss", "nce_samples", "nce_top1_acc"}
+
+
+def test_contrastive_tiles_fit_their_memory():
+    for dimension in (1, 64, 2048, 100_000):
+        n = metrics.contrastive.tile_rows(dimension, 64 << 20)
+        assert n == 1 or 8 * n * (3 * dimension + 3 * n) <= 64 << 20
+    assert metrics.contrastive.tile_rows(64) >= 1024
+
+
+def test_contrastive_state_of_many_negatives(spark):
+    """A batch of 28,672 negatives in tiles, against one matrix product."""
+    rng = np.random.default_rng(8)
+    q, t, n = rng.normal(size=(6, 16)), rng.normal(size=(6, 16)), rng.normal(size=(28_672, 16))
+    positions = spark.createDataFrame(
+        [(0, e, 0, a.tolist(), b.tolist()) for e, (a, b) in enumerate(zip(q, t))],
+        "batch_id long, example int, step int, query_vec array<double>, target_vec array<double>",
+    )
+    negs = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(n)], "batch_id long, place int, vec array<double>")
+    got = metrics.contrastive.nce_state(positions, negs, tile=1024).orderBy("example").collect()
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    logits = unit(q) @ unit(n).T / 0.07
+    kept = unit(t) @ unit(n).T <= 0.99
+    for e, r in enumerate(got):
+        own = logits[e][kept[e]]
+        assert (r["survivors"], r["above"], r["negatives"]) == (len(own), (own > r["pos_logit"]).sum(), 28_672)
+        assert r["top"] + math.log(r["scaled"]) == pytest.approx(np.log(np.exp(own).sum()))
