@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.functions.arrays import let
+from seqloom.functions.markup import attribute, start_tags, without_raw_text
 from seqloom.operators.ordering import global_rank, take_first
 from seqloom.operators.sampling import filter_by_relevance
 from seqloom.operators.scoring import mean_user_vectors, target_scores
@@ -17,7 +19,8 @@ from seqloom.operators.validate import add_constant_columns
 from seqloom.session import materialize
 
 SITE = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)"
-HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
+# White space around a URL, and what is left out inside it.
+URL_EDGE, URL_BREAK = r"^[\t\n\f\r ]+|[\t\n\f\r ]+$", r"[\t\n\r]"
 
 
 def train_relevance_filter(positive: DataFrame, negative: DataFrame, features: int = 1 << 14, iterations: int = 20) -> PipelineModel:
@@ -67,11 +70,16 @@ def _without_dot_segments(path: Column) -> Column:
 
 def normalized_url(url: Column) -> Column:
     """Without fragment and dot segments, with scheme and host in lower case."""
-    bare = without_fragment(F.trim(url))
-    site = F.regexp_extract(bare, SITE, 1)
-    rest = F.substr(bare, F.length(site) + 1)
-    path = _without_dot_segments(F.regexp_replace(rest, r"\?.*$", ""))
-    return F.concat(F.lower(site), path, F.regexp_extract(rest, r"(\?.*)$", 1))
+
+    def normal(bare: Column) -> Column:
+        site = F.regexp_extract(bare, SITE, 1)
+        return F.concat(F.lower(site), let(F.substr(bare, F.length(site) + 1), of_rest))
+
+    def of_rest(rest: Column) -> Column:
+        path = let(F.regexp_replace(rest, r"\?.*$", ""), _without_dot_segments)
+        return F.concat(path, F.regexp_extract(rest, r"(\?.*)$", 1))
+
+    return let(without_fragment(F.trim(url)), normal)
 
 
 def _resolved(href: Column, base: Column) -> Column:
@@ -93,12 +101,29 @@ def _resolved(href: Column, base: Column) -> Column:
     )
 
 
+def _address(value: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(value, URL_EDGE, ""), URL_BREAK, "")
+
+
 def extract_outlinks(pages: DataFrame) -> DataFrame:
-    """``(page_id, target_url)``: all distinct link targets of each page as whole URLs."""
-    hrefs = F.array_distinct(F.regexp_extract_all("html", F.lit(HREF), F.lit(1)))
-    rows = pages.select("page_id", without_fragment(F.trim("url")).alias("base"), F.explode_outer(hrefs).alias("href"))
-    href = without_fragment(F.trim(F.replace("href", F.lit("&amp;"), F.lit("&"))))
-    links = rows.select("page_id", normalized_url(_resolved(href, F.col("base"))).alias("target_url"))
+    """``(page_id, target_url)``: all distinct link targets of each page as whole URLs.
+
+    Links are the ``href`` of ``a`` and ``area`` tags, quoted either way or not at all, with their character
+    references replaced; the first ``base`` tag with one says what they are relative to, else the page's
+    URL. Comments, scripts, styles, text areas and titles hold no links, nor do values of other
+    attributes. Targets that are no web address are left out.
+    """
+    own = without_fragment(F.trim("url"))
+    markup = pages.select("page_id", own.alias("own"), without_raw_text(F.col("html")).alias("markup"))
+    tags = markup.select("page_id", "own", start_tags(F.col("markup"), "a|area|base").alias("tags"))
+    hrefs = F.transform("tags", lambda t: F.struct(t.rlike(r"(?i)^<base[\s/]").alias("base"), _address(attribute(t, "href")).alias("href")))
+    found = tags.select("page_id", "own", F.filter(hrefs, lambda h: h["href"].isNotNull()).alias("hrefs"))
+    bases = F.filter("hrefs", lambda h: h["base"])
+    targets = F.array_distinct(F.transform(F.filter("hrefs", lambda h: ~h["base"]), lambda h: h["href"]))
+    first = let(F.get(bases, F.lit(0))["href"], lambda b: _resolved(without_fragment(b), F.col("own")))
+    rows = found.select("page_id", F.coalesce(first, "own").alias("base"), F.explode(targets).alias("href"))
+    whole = let(without_fragment(F.col("href")), lambda h: _resolved(h, F.col("base")))
+    links = rows.select("page_id", normalized_url(whole).alias("target_url"))
     return links.filter(F.col("target_url").rlike("^https?://")).distinct()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.functions.markup import NAMED
 from seqloom.operators import leakage, scoring, webcorpus
 from seqloom.plans.registry import query
 from seqloom.plans.views import prepared, rounded, table, with_sql
@@ -267,6 +268,69 @@ def extract_outlinks(spark: SparkSession, sf: str) -> DataFrame:
     return webcorpus.extract_outlinks(spread(table(spark, sf, "pages")))
 
 
+# The given pages write all links one way. Here five of six write them otherwise: without quotes, as areas with
+# a tag in another attribute, relative to a base with references, beside links that are none, and with a
+# scheme-relative target.
+_LINK = '<a href="([^" ]*)">'
+_FORMS = {
+    1: r"<a class=c href=$1>",
+    2: r"""<area title="<a href='/no'>" HREF = '$1'>""",
+    3: r'<a href="..$1?a=1&amp;b=&#50;&eacute;&nope;#x">',
+    4: r"""<!-- <a href="/no"> --><script>"<a href='/no'>"</script><a data-href=/no title=' href="/no"' href="$1" href=/no>""",
+    5: r'<a href=" &#x2F;$1 ">',
+}
+_BASE = '<base target=_top><base href="//base.example/dir/page">'
+
+
+def _form_sql(number: int, form: str) -> str:
+    put = form.replace("'", "''").replace("$1", r"\1")
+    changed = f"regexp_replace(html, '{_LINK}', '{put}', 'g')"
+    return f"WHEN {number} THEN " + (f"'{_BASE}' || {changed}" if number == 3 else changed)
+
+
+_REFERENCE_SQL = r"""CASE WHEN NOT regexp_matches(p, '^&[^&]+;$') THEN p
+  WHEN p[2:3] IN ('#x', '#X') THEN chr(('0x' || p[4:len(p) - 1])::INT)
+  WHEN p[2] = '#' THEN chr(p[3:len(p) - 1]::INT)
+  ELSE coalesce(chr(names[p[2:len(p) - 1]]), p) END"""
+_FORM_LINKS = rf"""written AS (
+  SELECT page_id, url, CASE page_id % 6 {" ".join(_form_sql(*f) for f in _FORMS.items())} ELSE html END AS html FROM pages),
+known AS (SELECT MAP {{{", ".join(f"'{n}': {c}" for n, c in NAMED.items())}}} AS names),
+tags AS (
+  SELECT page_id, url, unnest(list_filter(regexp_extract_all(
+    regexp_replace(html, '(?is)<!--.*?-->|<(script|style|title|textarea)[^>]*>.*?</(script|style|title|textarea)', ' ', 'g'),
+    '<[A-Za-z][^\s/>]*(?:=\s*"[^"]*"|=\s*''[^'']*''|[^>])*>'), lambda t: regexp_matches(t, '(?i)^<(a|area|base)[\s/]'))) AS tag
+  FROM written),
+attributes AS (
+  SELECT page_id, url, regexp_matches(tag, '(?i)^<base') AS is_base, regexp_replace(list_filter(regexp_extract_all(
+    regexp_replace(tag, '^<[^\s/>]+', ''), '[^\s"''<>/=]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>][^\s>]*)'),
+    lambda a: regexp_matches(a, '(?i)^href\s*='))[1], '(?i)^href\s*=\s*', '') AS raw FROM tags),
+plain AS (
+  SELECT *, CASE WHEN raw[1] IN ('"', '''') THEN raw[2:len(raw) - 1] ELSE raw END AS value FROM attributes WHERE raw IS NOT NULL),
+hrefs AS (
+  SELECT page_id, url, is_base, regexp_replace(trim(array_to_string(list_transform(regexp_extract_all(
+    value, '&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&'), lambda p: {_REFERENCE_SQL}), '')), '#.*$', '') AS href
+  FROM plain, known),
+sites AS (
+  SELECT page_id, any_value(regexp_extract(url, '^([a-z]+:)', 1)) AS scheme, any_value(lower(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1))) AS own,
+         any_value(regexp_extract(href, '^//[^/]*')) FILTER (WHERE is_base) AS base FROM hrefs GROUP BY page_id),
+targets AS (
+  SELECT DISTINCT page_id, CASE WHEN href LIKE '//%' THEN scheme || lower(regexp_extract(href, '^//[^/?]*')) || regexp_replace(href, '^//[^/?]*', '')
+      WHEN href LIKE '/%' THEN coalesce(scheme || base, own) || href
+      WHEN href LIKE '../%' THEN coalesce(scheme || base, own) || href[3:] END AS target_url
+  FROM hrefs JOIN sites USING (page_id) WHERE NOT is_base)"""
+
+
+@query(with_sql(_FORM_LINKS, select="SELECT page_id, target_url FROM targets"))
+def extract_outlinks_forms(spark: SparkSession, sf: str) -> DataFrame:
+    pages = spread(table(spark, sf, "pages"))
+    html = F.col("html")
+    for number, form in _FORMS.items():
+        changed = F.regexp_replace("html", _LINK, form)
+        changed = F.concat(F.lit(_BASE), changed) if number == 3 else changed
+        html = F.when(F.pmod("page_id", F.lit(6)) == number, changed).otherwise(html)
+    return webcorpus.extract_outlinks(pages.withColumn("html", html))
+
+
 @query(with_sql(_LINKS, select="SELECT page_id, target_id FROM page_pairs"))
 def link_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return linked_pages(spark, sf)

@@ -101,6 +101,38 @@ def test_outlinks_are_resolved(spark):
         (2, "http://bare.com/a")], key=repr)
 
 
+OUTLINKS = {  # what stands in a page of https://s.com/d/p?q=1, and its targets
+    "<a href=x>": ["d/x"],
+    "<a class=c href=x/y>1</a><A HREF = '/z'>": ["d/x/y", "z"],
+    "<a title=\" href='no' > <a href=no>\" href=\"yes\">": ["d/yes"],
+    "<a data-href=no>": [],
+    "<a hrefs=no href=a href=b>": ["d/a"],
+    "<map><area shape=rect href='r'></map><abbr href=no><link href=no>": ["d/r"],
+    "<a href=l>1</a><base target=t><base href='/b/c'><base href='/no/'>": ["b/l"],
+    "<base href='//o.org/e/'><a href=l><a href='?k'>": ["//o.org/e/l", "//o.org/e/?k"],
+    "<a href='?a=1&amp;b=2&copy=3'><a href='t&eacute;'><a href=\"&#x74;&#116;&#0;&#1114112;\">": ["d/p?a=1&b=2&copy=3", "d/té", "d/tt\ufffd\ufffd"],
+    "<a href='&amp;lt;&unknown;&;&#x1F600;'>": ["d/&lt;&unknown;&;\U0001F600"],
+    "<!-- <a href=no> --><script>a='<a href=no>'</script><style><a href=no></style><a href=k>": ["d/k"],
+    "<title><a href=no></title><textarea x=y><a href=no></textarea ><a href=k><!-- <a href=no>": ["d/k"],
+    "<script src=x></script><a href=k><script><!-- </script><a href=m>-->": ["d/k", "d/m"],
+    "<a href=' \n/a\tb '>": ["ab"],
+    "<a href=don't>": ["d/don't"],
+    "<a href=''><a href><a href=\"unclosed><a x>": ["d/p?q=1"],
+    "<a/href=x/><a href=y>": ["d/x/", "d/y"],
+    "<a " + "k='v' " * 20_000 + "href=far>": ["d/far"],
+    "<p>no tags &lt;a href=no&gt;</p>": [],
+}
+
+
+def test_outlinks_of_every_form(spark):
+    cases = list(OUTLINKS.items())
+    pages = [(i, "https://s.com/d/p?q=1#f", h) for i, (h, _) in enumerate(cases)] + [(98, "https://s.com/", None), (99, None, "<a href=x>")]
+    found = webcorpus.extract_outlinks(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    whole = lambda t: "https:" + t if t.startswith("//") else "https://s.com/" + t
+    want = {(i, whole(t)) for i, (_, targets) in enumerate(cases) for t in targets}
+    assert {tuple(r) for r in found.collect()} == want
+
+
 @pytest.mark.parametrize("url,want", [
     ("HTTP://A.com", "http://a.com"), ("http://a.com/b/../c/./d?x=../y#z", "http://a.com/c/d?x=../y"),
     ("http://a.com/../../b", "http://a.com/b"), ("http://a.com/b/c/..", "http://a.com/b/"), ("http://a.com/.", "http://a.com/"),
