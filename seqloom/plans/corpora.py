@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.markup import NAMED
 from seqloom.operators import leakage, scoring, webcorpus
 from seqloom.plans.registry import query
-from seqloom.plans.views import prepared, rounded, table, with_sql
+from seqloom.plans.views import CRC_TABLE, crc_sql, prepared, rounded, table, with_sql
 from seqloom.session import spread
 
 DIM = 64
@@ -215,21 +215,73 @@ def classify_pairs(spark: SparkSession, sf: str) -> DataFrame:
 # Web corpus.
 
 
-def relevance_model(spark: SparkSession, sf: str):
-    labelled = spread(table(spark, sf, "documents")).join(table(spark, sf, "labels"), "doc_id")
-    return webcorpus.train_relevance_filter(
-        labelled.filter("quality = 1"), labelled.filter("quality = 0"), iterations=10
-    )
+SLOTS, STEPS = 4096, 12
+_models: dict[tuple[str, str], webcorpus.RelevanceModel] = {}
+
+
+def relevance_model(spark: SparkSession, sf: str) -> webcorpus.RelevanceModel:
+    """The model of the given labels, fitted once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _models:
+        labelled = spread(table(spark, sf, "documents")).join(table(spark, sf, "labels"), "doc_id")
+        good, bad = labelled.filter("quality = 1"), labelled.filter("quality = 0")
+        _models[key] = webcorpus.train_relevance_filter(good, bad, SLOTS, STEPS)
+    return _models[key]
+
+
+_SUB, _RIDGE = webcorpus.SUBWORD, f"{webcorpus.RIDGE}::DOUBLE"
+_SLOTS_SQL = rf"""{CRC_TABLE},
+slot_words AS (SELECT doc_id, '<' || unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) || '>' AS w FROM documents),
+word_features AS (
+  SELECT w, unnest(list_concat([w], CASE WHEN len(w) > {_SUB} THEN
+    list_transform(range(1, len(w) - {_SUB} + 2), lambda i: substr(w, i, {_SUB})) ELSE [] END)) AS f
+  FROM (SELECT DISTINCT w FROM slot_words)),
+feature_slots AS (SELECT f, {crc_sql("f")} % {SLOTS} AS slot FROM (SELECT DISTINCT f FROM word_features), crc_table),
+word_slots AS MATERIALIZED (SELECT w, slot, count(*) AS c FROM word_features JOIN feature_slots USING (f) GROUP BY ALL),
+counts AS MATERIALIZED (SELECT doc_id, slot, sum(c)::DOUBLE AS c FROM slot_words JOIN word_slots USING (w) GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(c) AS n, sqrt(sum(c * c)) AS length FROM counts GROUP BY doc_id),
+shares AS MATERIALIZED (SELECT doc_id, slot, c / length AS x FROM counts JOIN sizes USING (doc_id)),
+given AS MATERIALIZED (
+  SELECT doc_id, l.quality::DOUBLE AS label, (coalesce(n / length, 0) + 1) / 4 AS bound
+  FROM documents JOIN labels l USING (doc_id) LEFT JOIN sizes USING (doc_id) WHERE l.quality IN (0, 1)),
+curvature AS MATERIALIZED (SELECT slot, sum(x * bound) + {_RIDGE} AS h FROM shares JOIN given USING (doc_id) GROUP BY slot),
+w0 AS (SELECT slot, 0.0::DOUBLE AS w, 0.0::DOUBLE AS v FROM curvature), b0 AS (SELECT 0.0::DOUBLE AS w, 0.0::DOUBLE AS v)"""
+
+
+def _step_sql(k: int) -> str:
+    ahead = f"w, w + {k}.0::DOUBLE / {k + 3} * (w - old) AS v"
+    return f"""missed{k} AS MATERIALIZED (
+  SELECT doc_id, 1 / (1 + exp(-(coalesce(z, 0) + b.v))) - label AS missed
+  FROM given LEFT JOIN (SELECT doc_id, sum(x * v) AS z FROM shares JOIN w{k} USING (slot) GROUP BY doc_id) USING (doc_id), b{k} b),
+w{k + 1} AS MATERIALIZED (SELECT slot, {ahead} FROM (
+  SELECT slot, w AS old, v - (coalesce(g, 0) + {_RIDGE} * v) / h AS w FROM w{k} JOIN curvature USING (slot)
+  LEFT JOIN (SELECT slot, sum(missed * x) AS g FROM shares JOIN missed{k} USING (doc_id) GROUP BY slot) USING (slot))),
+b{k + 1} AS MATERIALIZED (SELECT {ahead} FROM (
+  SELECT w AS old, v - ((SELECT sum(missed) FROM missed{k}) + {_RIDGE} * v) / ((SELECT sum(bound) FROM given) + {_RIDGE}) AS w FROM b{k}))"""
+
+
+_RELEVANCE = (
+    _SLOTS_SQL,
+    *map(_step_sql, range(STEPS)),
+    f"""relevance AS (
+  SELECT d.doc_id, 1 / (1 + exp(-(coalesce(z, 0) + b.w))) AS score FROM documents d
+  LEFT JOIN (SELECT doc_id, sum(x * w) AS z FROM shares JOIN w{STEPS} USING (slot) GROUP BY doc_id) USING (doc_id), b{STEPS} b)""",
+)
 
 
-@query()
+@query(with_sql(*_RELEVANCE, select="SELECT doc_id, round(score, 6) AS score FROM relevance"))
 def relevance_scores(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(table(spark, sf, "documents")).select("doc_id", "text")
     scored = webcorpus.score_documents(docs, relevance_model(spark, sf))
     return scored.select("doc_id", rounded("score").alias("score"))
 
 
-@query()
+@query(
+    with_sql(
+        *_RELEVANCE,
+        select="SELECT doc_id, round(score, 6) AS score FROM relevance ORDER BY round(relevance.score, 9) DESC, doc_id LIMIT 100",
+    )
+)
 def rank_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(table(spark, sf, "documents")).select("doc_id", "text")
     ranked = webcorpus.rank_documents(docs, relevance_model(spark, sf), 100)

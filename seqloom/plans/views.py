@@ -170,3 +170,17 @@ RANKED = """masked AS (SELECT s.* FROM scores s ANTI JOIN hist h ON h.user_id =
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM masked)"""
 RECOMMEND = (*LOG, VECTORS, TEST, SCORES, RANKED)
+
+
+# CRC-32 in SQL: a table of 256 entries by the rule of the polynomial, then a fold over the bytes of a text.
+CRC_TABLE = """crc_table AS MATERIALIZED (
+  SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+              ORDER BY i) AS entries
+  FROM range(256) r(i))"""
+
+
+def crc_sql(text: str) -> str:
+    hexed = f"hex(encode({text}))"
+    each = f"list_transform(range(1, len({hexed}) + 1, 2), lambda p: ('0x' || substr({hexed}, p, 2))::BIGINT)"
+    fold = f"list_reduce([4294967295::BIGINT] || {each}, lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]))"
+    return f"xor({fold}, 4294967295::BIGINT)"

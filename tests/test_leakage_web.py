@@ -170,10 +170,30 @@ def test_curation_keeps_scores_at_the_threshold(spark):
 
 def test_relevance_filter_ranks_target_texts_first(spark):
     positive = spark.createDataFrame([(f"red shoe size {i}",) for i in range(40)], "text string")
-    negative = spark.createDataFrame([(f"stock market report {i}",) for i in range(40)], "text string")
+    negative = spark.createDataFrame([(f"stock market report {i}",) for i in range(40)] + [(None,), ("",)], "text string")
     model = webcorpus.train_relevance_filter(positive, negative, features=256, iterations=10)
-    docs = spark.createDataFrame([(1, "market report"), (2, "a red shoe"), (3, "stock market"), (4, "red size")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "market report"), (2, "a red shoe"), (3, "stock market"), (4, "Red Size"), (5, None)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in webcorpus.rank_documents(docs, model, 2).collect()) == [2, 4]
+    again = webcorpus.train_relevance_filter(positive.repartition(3), negative.repartition(5), features=256, iterations=10)
+    assert again.weights == pytest.approx(model.weights) and again.bias == pytest.approx(model.bias)
+
+
+def test_relevance_filter_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    train = docs.filter(~held)
+    losses = []
+    for steps in (1, 12):
+        model = webcorpus.train_relevance_filter(train.filter("quality = 1"), train.filter("quality = 0"), 2048, steps)
+        p = F.greatest(F.least("score", F.lit(1 - 1e-9)), F.lit(1e-9))
+        loss = -F.avg(F.when(F.col("quality") == 1, F.ln(p)).otherwise(F.ln(1 - p)))
+        losses.append(webcorpus.score_documents(train, model).select(loss).first()[0])
+    assert losses[0] > losses[1]
+    got = webcorpus.score_documents(docs.filter(held), model).select("score", "quality").collect()
+    good, bad = ([r["score"] for r in got if r["quality"] == q] for q in (1, 0))
+    assert len(good) > 500 and len(bad) > 50
+    assert sum(g > b for g in good for b in bad) / len(good) / len(bad) > 0.8
 
 
 def test_item_info_of_documents(spark):
