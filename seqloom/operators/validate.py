@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,9 @@ MIN_HISTORY = 4
 MIN_ITEMS = 200
 INTEGER_TEXT = r"^\s*[+-]?\d+(_\d+)*\s*$"
 
+# Bytes of a file that are read at a time, the longest first line, and files of a task.
+FIRST_BYTES, HEADER_BYTES, FILES_PER_TASK = 4096, 1 << 16, 200
+
 
 def conform_columns(df: DataFrame, mapping: Mapping[str, str], order: Sequence[str]) -> DataFrame:
     return df.withColumnsRenamed(dict(mapping)).select(*order)
@@ -24,18 +30,52 @@ def add_constant_columns(df: DataFrame, constants: Mapping[str, str]) -> DataFra
     return df.withColumns({name: F.lit(value) for name, value in constants.items()})
 
 
-def check_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Files whose first line is not the expected header. A byte order mark is accepted."""
-    lines = spark.read.text(path).select(
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names, headers = batch.column("file").to_pylist(), []
+        for name in names:
+            store, path = FileSystem.from_uri(name)
+            with store.open_input_stream(path) as stream:  # compressed files by their ending
+                start = b""
+                while len(start) < HEADER_BYTES and not re.search(rb"[\r\n]", start) and (more := stream.read(FIRST_BYTES)):
+                    start += more
+            headers.append(re.split(rb"\r\n|\r|\n", start[:HEADER_BYTES])[0].decode(errors="replace"))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(headers, pa.string())], ["file", "header"])
+
+
+def first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``header``: the first line of every file, of which only the first bytes are read.
+
+    Files are opened in tasks, FILES_PER_TASK each. A first line longer than HEADER_BYTES is cut there. Files in a
+    store that only Spark can open are read as lines instead.
+    """
+    lines = spark.read.text(path)
+    files = lines.inputFiles()  # the names, which the driver has listed anyway
+    try:
+        if files:
+            FileSystem.from_uri(files[0])
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return _first_lines_read(lines)
+    named = spark.createDataFrame([(f,) for f in files], "file string")
+    tasks = -(-len(files) // FILES_PER_TASK) or 1
+    return named.repartition(tasks).mapInArrow(_first_lines, "file string, header string")
+
+
+def _first_lines_read(lines: DataFrame) -> DataFrame:
+    placed = lines.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_no"),
         "value",
     )
     # The first line lies in the block at offset 0; the id rises with the lines inside a task.
-    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "line_no").alias("header"))
+    return placed.filter("block = 0").groupBy("file").agg(F.min_by("value", "line_no").alias("header"))
+
+
+def check_headers(spark: SparkSession, path: str) -> DataFrame:
+    """Files whose first line is not the expected header. A byte order mark is accepted."""
     seen = F.regexp_replace("header", r"^\uFEFF", "")
-    return first.filter(seen != HEADER)
+    return first_lines(spark, path).filter(seen != HEADER)
 
 
 def _empty(name: str) -> Column:

@@ -122,6 +122,9 @@ def check_headers(spark: SparkSession, sf: str) -> DataFrame:
     log = inter(spark, sf)
     sources.write_interactions(log, path)
     log.select("user_id", "item_id", "timestamp").write.mode("append").csv(path, header=True)
+    # Files that begin with a byte order mark are in order.
+    marked = F.concat(F.lit(f"\ufeff{validate.HEADER}\n"), F.concat_ws(",", "item_id", "user_id", "timestamp"))
+    log.limit(1).select(marked).write.mode("append").text(path)
     return validate.check_headers(spark, path).select("header").distinct()
 
 

@@ -1,3 +1,8 @@
+import gzip
+import random
+
+import psutil
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +40,27 @@ def test_reordered_header_is_reported(spark, tmp_path):
     assert found[0]["file"].endswith("log.csv")
 
 
+def test_headers_need_the_first_bytes_only(spark, tmp_path):
+    files = {"good.csv": b"item_id,user_id,timestamp\n", "mark.csv": b"\xef\xbb\xbfitem_id,user_id,timestamp\r\na,b,1\r\n", "bad one.csv": b"a,b\n",
+             "empty.csv": b"", "cr.csv": b"item_id,user_id,timestamp\rx", "long.csv": b"x" * 200_000, "packed.csv.gz": gzip.compress(b"u,v\nw")}
+    for name, body in files.items():
+        (tmp_path / name).write_bytes(body)
+    wanted = {"bad%20one.csv": "a,b", "long.csv": "x" * (1 << 16), "packed.csv.gz": "u,v"}
+    found = lambda: {r["file"].rsplit("/")[-1]: r["header"] for r in validate.check_headers(spark, str(tmp_path)).collect()}
+    got = found()
+    assert got.pop("empty.csv", "") == "" and got == wanted
+    # A large file costs no more than a small one.
+    big = tmp_path / "big.csv"
+    big.write_bytes(b"no,header\n" + b"row,row\n" * 2_000_000)
+    batch = pa.RecordBatch.from_pydict({"file": [big.as_uri()]})
+    before = psutil.Process().io_counters().read_chars
+    assert next(validate._first_lines(iter([batch]))).column("header").to_pylist() == ["no,header"]
+    assert psutil.Process().io_counters().read_chars - before < 1_000_000
+    # In a store that only Spark opens, lines are read.
+    read = {r["file"].rsplit("/")[-1]: r["header"][: 1 << 16] for r in validate._first_lines_read(spark.read.text(str(tmp_path))).collect()}
+    assert {n: read[n] for n in wanted} == wanted
+
+
 def test_empty_field_is_reported_with_its_row(spark, tmp_path):
     path = write(tmp_path, [("", "user0", "0"), *VALID[1:]])
     raw = sources.readers.with_row_numbers(sources.readers.read_raw_interactions(spark, path))
@@ -100,6 +126,27 @@ def test_item_info_keeps_the_last_row_and_awkward_text(spark, tmp_path):
     assert got == [("007", "new"), ("8", 'two\nlines, "quoted" ')]
 
 
+def test_item_info_of_one_large_file_is_read_by_many_tasks(spark, tmp_path):
+    draw = random.Random(3)
+    odd = ['plain', 'two\nlines', 'a "quoted" word', '"', '""\n"', "\n\n", " blanks ", "ä,é\r\nx", "x" * 3000, "comma,", ""]
+    data = [(f"i{k}", draw.choice(odd) + draw.choice(odd), draw.choice(odd), str(k)) for k in range(3000)]
+    quoted = lambda v: '"' + v.replace('"', '""') + '"' if set(v) & set('",\n\r') or draw.random() < 0.2 or v != v.strip() else v
+    for name, end in (("a", "\n"), ("b", "\r\n")):
+        at = tmp_path / name
+        at.mkdir()
+        for part in (0, 1):
+            body = "".join(",".join(map(quoted, r)) + end for r in data[part::2])
+            (at / f"{part}.csv").write_bytes(("item_id,title,tag,n" + end + body + end).encode())
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        try:
+            assert spark.read.text(str(at)).rdd.getNumPartitions() > 50
+            got = {r["item_id"]: (r["title"], r["tag"], r["n"]) for r in sources.read_item_info(spark, str(at), ["title", "tag", "n"]).collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert got == {i: tuple(v or None for v in rest) for i, *rest in data}
+
+
 def test_relevance_jsonl_of_a_masked_score(spark):
     path = scratch_path(spark, "jsonl")
     schema = "interaction array<string>, target string, score double"
