@@ -166,12 +166,12 @@ def op9_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
-    records = warc.make_records(table(spark, sf, "pages"), min_bytes=0)
-    payloads, headers = warc.store(records)
-    chars = headers.agg(F.sum(F.length("header"))).first()[0] or 0
-    chars += payloads.agg(F.sum(F.length("payload"))).first()[0] or 0
+    pages = table(spark, sf, "pages")
+    payloads, headers = warc.store(pages, warc.make_records(pages, min_bytes=0))
+    sizes = headers.agg(F.sum(F.length("header")).alias("chars"), F.count(F.lit(1)).alias("n")).first()
+    chars = (sizes["chars"] or 0) + (payloads.agg(F.sum(F.length("payload"))).first()[0] or 0)
     path = scratch_path(spark, "warc")
-    warc.write_archives(warc.reconstruct(payloads, headers), path, chars)
+    warc.write_archives(warc.reconstruct(payloads, headers), path, chars / max(1, sizes["n"]))
     read = warc.read_archives(spark, path)
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
     read = read.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.arrays import let
-from seqloom.session import materialize
+from seqloom.session import materialize, scratch_path
 
 # Fixed values.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -20,9 +21,12 @@ END = CRLF + CRLF
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+GZIP = b"\x1f\x8b"
 
 # Characters of text in one archive file, about: a reader takes a file as a whole.
 FILE_CHARS = 16 << 20
+# Numbers of rows that are sent to all tasks at most, 8 MB.
+BROADCAST_ROWS = 1 << 20
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -46,31 +50,43 @@ def base32_sha1(payload: Column) -> Column:
     return let(F.sha1(payload), spelled)
 
 
+def _numbered(pages: DataFrame) -> DataFrame:
+    """The rows with a number that is the same in every reading of an unchanged table."""
+    payload = F.coalesce(F.col("html"), F.lit("")).alias("payload")
+    return pages.select("page_id", "url", payload).withColumn("row", F.monotonically_increasing_id())
+
+
 def make_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """One record for each row of (``page_id``, ``url``, ``html``), headers and payload apart.
+    """One record for each row of (``page_id``, ``url``, ``html``) without its payload: ``row``, ``digest`` (SHA-256
+    of the payload), ``header`` (exact text), ``refers_to``, ``payload_bytes`` and ``stored`` (true for one
+    row of each payload).
 
     Of records with equal payloads of at least ``min_bytes`` bytes the one with the largest page id
     is the response and the others revisit it. A null payload is empty, a null url is left out of
     the header. Rows without an id can't be referred to and are responses, as are repeated rows of
-    the largest id.
+    the largest id. Other columns are not read; an empty table has no records. ``pages`` must be a
+    table whose rows come alike each time it is read, as files do.
     """
+    read = _numbered(pages)
     url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "")  # a header value stays on its line
-    read = pages.select("page_id", url.alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("payload"))
-    read = read.withColumns(
-        {
-            "digest": F.sha2(F.encode("payload", "UTF-8"), 256),
-            "payload_digest": base32_sha1(F.encode("payload", "UTF-8")),
-            "payload_bytes": F.octet_length("payload").cast("long"),
-        }
+    raw = F.encode("payload", "UTF-8")
+    read = read.select(
+        "row",
+        "page_id",
+        url.alias("url"),
+        F.sha2(raw, 256).alias("digest"),
+        base32_sha1(raw).alias("payload_digest"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
     )
-    read = materialize(read.withColumn("row", F.monotonically_increasing_id()), "warc-pages")
-    # The last page of each payload first, written, so that a payload with many pages can be split.
-    last = read.filter((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull())
-    last = last.groupBy("digest").agg(F.max("page_id").alias("last_page"), F.count(F.lit(1)).alias("pages"))
-    last = materialize(last.filter("pages > 1").drop("pages"), "warc-last")
-    joined = read.join(last, "digest", "left")
-    refers = F.when(F.col("last_page") != F.col("page_id"), F.col("last_page"))
-    return joined.withColumn("refers_to", refers).withColumn("header", _header()).drop("last_page", "url")
+    read = materialize(read, "warc-pages")
+    # The first row and the last page of each payload, written, so that one with many pages can be split.
+    eligible = F.when(F.col("payload_bytes") >= min_bytes, F.col("page_id"))
+    known = read.groupBy("digest").agg(F.min("row").alias("first_row"), F.max(eligible).alias("last_page"))
+    joined = read.join(materialize(known, "warc-digests"), "digest")
+    refers = F.when(F.col("last_page") != eligible, F.col("last_page"))
+    joined = joined.withColumn("refers_to", refers).withColumn("header", _header())
+    stored = (F.col("row") == F.col("first_row")).alias("stored")
+    return materialize(joined.select("row", "digest", "header", "refers_to", "payload_bytes", stored), "warc-records")
 
 
 def _header() -> Column:
@@ -95,20 +111,31 @@ def _header() -> Column:
     )
 
 
-def store(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def store(pages: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The archive: ``payloads`` (digest, payload), each content once, and ``headers`` (exact header
-    text, digest of the payload). Both are written."""
-    written = materialize(records, "warc-records")
-    first = written.filter("refers_to is null").groupBy("digest").agg(F.min("row").alias("row"))
-    payloads = written.select("row", "payload").join(first, "row").select("digest", "payload")
-    headers = written.select("row", "digest", "header", F.col("refers_to").isNull().alias("full"))
-    return materialize(payloads, "warc-payloads"), materialize(headers, "warc-headers")
+    text, digest of the payload, ``full`` where the payload belongs to the record).
+
+    ``records`` are those of ``pages`` (:func:`make_records`). Payloads go straight from the pages to
+    the archive: where few rows are copies their numbers are sent to all tasks, else both sides are joined by number.
+    Numbers that don't fit the pages stop the job.
+    """
+    copies = records.filter("not stored").select("row")
+    few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    kept = _numbered(pages).select("row", "payload").join(F.broadcast(copies) if few else copies, "row", "left_anti")
+    path = scratch_path(pages.sparkSession, "warc-payloads")
+    digest = F.sha2(F.encode("payload", "UTF-8"), 256).alias("digest")
+    kept.select(digest, "payload").write.option("compression", "zstd").parquet(path)
+    payloads = pages.sparkSession.read.schema("digest string, payload string").parquet(path)
+    found = payloads.select("digest").distinct().count(), payloads.count()
+    if found != (n := records.filter("stored").count(), n):
+        raise ValueError("the pages have changed since their records were made")
+    return payloads, records.select("digest", "header", F.col("refers_to").isNull().alias("full"))
 
 
 def reconstruct(payloads: DataFrame, headers: DataFrame) -> DataFrame:
     """The original records as text: header, empty line, payload (none for a revisit).
 
-    A payload that doesn't have the digest it is stored under stops the job.
+    A payload that doesn't have the digest it is stored under stops the job. Empty tables give none.
     """
     wrong = F.sha2(F.encode("payload", "UTF-8"), 256) != F.col("digest")
     checked = payloads.select(
@@ -118,15 +145,18 @@ def reconstruct(payloads: DataFrame, headers: DataFrame) -> DataFrame:
     return whole.unionByName(headers.filter("not full").select(F.concat("header", F.lit(CRLF)).alias("record")))
 
 
-def write_archives(records: DataFrame, path: str, total_chars: int) -> None:
-    """Records as uncompressed WARC files of about FILE_CHARS characters each."""
-    files = max(1, -(-total_chars // FILE_CHARS))
-    records.repartition(files).write.option("lineSep", END).text(path)
+def write_archives(records: DataFrame, path: str, mean_chars: float) -> None:
+    """Records as WARC files, each compressed as a whole, of FILE_CHARS characters on average at most.
+
+    Records are written where they are, without a shuffle.
+    """
+    each = max(1, int(FILE_CHARS / max(1.0, mean_chars)))
+    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the WARC files under ``path``: its header fields, and length and digests of
-    the payload it carries, worked out anew from the bytes."""
+    """Every record of the WARC files under ``path``, compressed or not: its header fields, and length and
+    digests of the payload it carries, worked out anew from the bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(_parse, "record_id string, record_type string, refers_to string, stated string, bytes long, digest string")
 
@@ -134,15 +164,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
-            rows = list(_records(memoryview(content.as_buffer())))
+            raw = content.as_py()
+            rows = list(_records(gzip.decompress(raw) if raw[:2] == GZIP else raw))
             columns = list(zip(*rows)) or [()] * 6
             kinds = (*[pa.string()] * 4, pa.int64(), pa.string())
             names = ("record_id", "record_type", "refers_to", "stated", "bytes", "digest")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def _records(data: memoryview) -> Iterator[tuple]:
-    raw, at = bytes(data), 0
+def _records(raw: bytes) -> Iterator[tuple]:
+    at = 0
     while at < len(raw):
         stop = raw.index(END.encode(), at)
         version, *lines = raw[at:stop].decode().split(CRLF)

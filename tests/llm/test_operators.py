@@ -377,10 +377,31 @@ def test_warc(spark):
             last = i == max(ids)
             want.add((i, len(body), digest, "response" if last else "revisit", None if last else max(ids)))
     assert got == want
-    payloads, headers = warc.store(warc.make_records(pages))
+    payloads, headers = warc.store(pages, warc.make_records(pages))
     assert payloads.count() == len(groups) and headers.count() == len(html)
 
 
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_warc_of_odd_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", few)
+    rows = [(7, "u", "a", "x"), (7, "u", "a", "x"), (None, "u", "a", None), (3, None, "a", "x"), (None, None, None, "x"), (4, "v", "bb", "x")]
+    at = f"{queries.scratch_path(spark, 'odd-pages')}/pages.parquet"
+    spark.createDataFrame(rows, "page_id long, url string, html string, digest string").repartition(3).write.parquet(at)
+    pages = spark.read.parquet(at)
+    records = warc.make_records(pages)
+    payloads, headers = warc.store(pages, records)
+    assert sorted(r["payload"] for r in payloads.collect()) == ["", "a", "bb"]
+    texts = [r["record"] for r in warc.reconstruct(payloads, headers).collect()]
+    kinds = Counter((re.search("WARC-Type: (.*)\r", t)[1], t.split("\r\n\r\n", 1)[1]) for t in texts)
+    assert kinds == {("response", "a"): 3, ("revisit", ""): 1, ("response", ""): 1, ("response", "bb"): 1}
+    sized = warc.make_records(pages, min_bytes=2)
+    assert sized.filter("refers_to is not null").count() == 0
+    nothing = pages.limit(0)
+    assert [t.count() for t in warc.store(nothing, warc.make_records(nothing))] == [0, 0]
+    with pytest.raises(ValueError):
+        warc.store(pages.filter("page_id = 4"), records)
+
+
 def test_pipeline(spark, docs):
     kept, tables = docs.select("doc_id", "text", "lang", "source", "n_chars"), []
     for _, stage in corpus_pipeline.STAGES:
