@@ -134,6 +134,36 @@ def test_line_dedup_of_long_single_lines(spark, docs, empty):
     assert lines.line_dedup(empty, long_line=lines.LONG_LINE).collect() == []
 
 
+@pytest.mark.parametrize("size", [1, 3, 5])
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_line_dedup_of_other_sizes_and_clashing_names(spark, monkeypatch, size, bound):
+    monkeypatch.setattr(lines, "BROADCAST_RUNS", bound)
+    draw, names = random.Random(size), ["row", "key", "cut", "runs", "n_lines"]
+    texts = ["\n".join(draw.choice("ab") for _ in range(draw.randint(0, 14))) for _ in range(40)]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(n + ' string' for n in names)}").repartition(3)
+    got = by_id(lines.line_dedup(table, min_lines=size))
+    first, total = {}, 0
+    for i, t in enumerate(texts):
+        rows_of, gone = [x for x in t.split("\n") if x], set()
+        for k in range(len(rows_of) - size + 1):
+            place = first.setdefault(tuple(rows_of[k : k + size]), (i, k))
+            if place[0] < i or place[1] + size <= k:
+                gone |= set(range(k, k + size))
+        assert got[i]["text"] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+        assert [got[i][n] for n in names[:4]] == [f"{n}{i}" for n in names[:4]] and got[i]["n_removed"] == len(gone)
+        total += len(gone)
+    assert total > 20
+
+
+def test_winnowing_selects_few_lines():
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 10_000).astype(np.uint64)
+    chosen = lines._selected(hashes, 9)
+    assert all(chosen[i] - i in range(9) and hashes[chosen[i]] == hashes[i : i + 9].min() for i in range(len(chosen)))
+    assert len(set(chosen.tolist())) < 2.4 * 10_000 / 10
+    assert lines._selected(np.zeros(5, np.uint64), 3).tolist() == [2, 3, 4]  # of equal ones the last
+
+
 def test_secret_scan(docs, empty):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
     got = by_id(secrets.scan_secrets(docs))
