@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import dot, hash_slot, lexical_overlap, ngrams, words
+from seqloom.operators.joins import heavy_join
 from seqloom.operators.ordering import exact_percentiles, global_rank
 from seqloom.operators.scoring import BROADCAST_BYTES, best_of_stream, normalized
 from seqloom.session import materialize
@@ -159,7 +160,7 @@ def classify_pairs(pairs: DataFrame, n: int = GRAM) -> DataFrame:
 def near_verbatim_pairs(query: DataFrame, corpus: DataFrame, n: int = GRAM, above: float = NEAR_VERBATIM) -> DataFrame:
     """All (query, corpus) pairs whose gram containment is above ``above``, found without vectors.
 
-    Exact, without a limit on frequent grams. A pair above the level shares more than
+    Exact, without a limit on frequent grams; a gram of very many texts is split over tasks. A pair above the level shares more than
     ``above * size`` grams of its smaller set, so at least one of them is among the
     ``size - floor(above * size)`` rarest grams of that set. Only those rare grams of the smaller
     side are joined; the pairs found are then checked on the whole texts. Grams travel as 64-bit
@@ -168,16 +169,18 @@ def near_verbatim_pairs(query: DataFrame, corpus: DataFrame, n: int = GRAM, abov
     q = materialize(_gram_rows(query.select("query_id", "text"), "query_id", n), "query-grams")
     c = _gram_rows(corpus.select("corpus_id", "text"), "corpus_id", n)
     # From here on only corpus grams that some query has.
-    c = materialize(c.join(q.select("gram").distinct(), "gram", "left_semi"), "corpus-grams")
+    by_text = ["corpus_id"]
+    c = materialize(heavy_join(c, q.select("gram").distinct(), "gram", by_text, "left_semi"), "corpus-grams")
     frequency = materialize(c.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram-frequency")
     q = _rarest(q.join(frequency, "gram"), "query_id", above)
-    c = _rarest(c.join(frequency, "gram"), "corpus_id", above)
+    c = _rarest(heavy_join(c, frequency, "gram", by_text), "corpus_id", above)
+    c = materialize(c.withColumnsRenamed({n: f"corpus_{n}" for n in ("size", "found", "rare")}), "ranked-grams")
     # Neither text can share more grams than it has in common with the whole other side.
-    enough = F.least(q["found"], c["found"]) > F.least(q["size"], c["size"]) * above
-    small_query = q.filter("rare").join(c, "gram").filter((q["size"] <= c["size"]) & enough)
-    small_corpus = c.filter("rare").join(q, "gram").filter((c["size"] < q["size"]) & enough)
+    enough = F.least("found", "corpus_found") > F.least("size", "corpus_size") * above
+    wanted = (F.col("rare") & (F.col("size") <= F.col("corpus_size"))) | (F.col("corpus_rare") & (F.col("corpus_size") < F.col("size")))
     key = ["query_id", "corpus_id"]
-    candidates = materialize(small_query.select(*key).unionByName(small_corpus.select(*key)).distinct(), "candidates")
+    met = heavy_join(c, q, "gram", by_text).filter(enough & wanted)
+    candidates = materialize(met.select(*key).distinct(), "candidates")
     found = pair_overlap(candidates, query, corpus, n).filter(F.col("containment") > above)
     return found.select(*key, "jaccard", "containment")
 

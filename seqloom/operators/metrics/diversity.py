@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators.joins import heavy_join
 from seqloom.operators.metrics.registry import RANKING, long_form, metric
 from seqloom.operators.ordering import global_rank, running_totals
 
@@ -42,7 +43,8 @@ def item_coverage(inputs, topk) -> DataFrame:
 
 @metric("averagepopularity", RANKING, ["topk", "count_items"], smaller=True)
 def average_popularity(inputs, topk) -> DataFrame:
-    rows = inputs["topk"].join(inputs["count_items"].select("item_id", "n"), "item_id", "left")
+    # An item may be in every list.
+    rows = heavy_join(inputs["topk"], inputs["count_items"].select("item_id", "n"), "item_id", ["user_id"], "left")
     return _user_means(rows, "averagepopularity", F.coalesce("n", F.lit(0)), topk)
 
 
