@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom import functions as fn
+from seqloom import sources
 from seqloom.operators import batches, negatives, sequences, text
 from seqloom.plans.registry import query
 from seqloom.plans.views import (
@@ -28,7 +29,7 @@ from seqloom.plans.views import (
     table,
     with_sql,
 )
-from seqloom.session import spread
+from seqloom.session import scratch_path, spread
 
 WIDTH = LENGTH + 1
 _PAD = f"repeat('0,', greatest({LENGTH} - len(s), 0)::INT)"
@@ -579,6 +580,38 @@ def shuffled_shards(spark: SparkSession, sf: str) -> DataFrame:
     return batches.shuffled_shards(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 7, SEED, epoch=3)
 
 
+# Shards as files: how many there are and in which order their rows stand is read from the files.
+
+
+def _shard_files(spark: SparkSession, sharded: DataFrame, shards: int, stride: int) -> DataFrame:
+    """The manifest, the number of files, and whether the k-th row of a file is the shard's k-th."""
+    path = scratch_path(spark, "shards")
+    manifest = sources.write_shards(sharded, path, shards)
+    read = spark.read.parquet(path).select("shard", "row_no", "_metadata.file_name", "_metadata.row_index")
+    met = read.join(F.broadcast(manifest.select("shard", "first")), "shard")  # one row for each shard
+    in_order = F.bool_and(F.col("row_no") == F.col("first") + F.col("row_index") * stride)
+    found = met.groupBy("shard").agg(F.countDistinct("file_name").alias("files"), in_order.alias("in_order"))
+    return manifest.join(found, "shard").select("shard", "files", "rows", "first", "last", "in_order")
+
+
+@query(
+    """SELECT CAST(s AS INT) AS shard, CAST(1 AS BIGINT) AS files, size AS rows, s * size AS first, (s + 1) * size - 1 AS last, true AS in_order
+       FROM (SELECT CAST(ceil(count(*) / 64.0 / 7) AS BIGINT) * 64 AS size FROM orders), (SELECT unnest(range(7)) AS s)"""
+)
+def written_shards(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return _shard_files(spark, batches.shard_consecutive(orders, ["o_orderkey"], 64, 7), 7, 1)
+
+
+@query(
+    """SELECT CAST(s AS INT) AS shard, CAST(1 AS BIGINT) AS files, (n - s + 6) // 7 AS rows, s AS first, s + ((n - s + 6) // 7 - 1) * 7 AS last,
+              true AS in_order FROM (SELECT count(*) AS n FROM orders), (SELECT unnest(range(7)) AS s)"""
+)
+def written_shuffled_shards(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return _shard_files(spark, batches.shuffled_shards(orders, ["o_orderkey"], 7, SEED, epoch=3), 7, 7)
+
+
 @query(
     with_sql(
         *LOG,

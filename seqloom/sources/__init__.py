@@ -5,6 +5,7 @@ from seqloom.sources.writers import (
     write_item_info,
     write_pairs,
     write_relevance_jsonl,
+    write_shards,
 )
 
 __all__ = [
@@ -16,4 +17,5 @@ __all__ = [
     "write_item_info",
     "write_pairs",
     "write_relevance_jsonl",
+    "write_shards",
 ]

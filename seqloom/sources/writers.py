@@ -34,6 +34,25 @@ def write_pairs(pairs: DataFrame, path: str, mode: str = "error") -> None:
     pairs.orderBy(*order).write.mode(mode).csv(path, **_CSV)
 
 
+def write_shards(sharded: DataFrame, path: str, shards: int, order: str = "row_no", mode: str = "error") -> DataFrame:
+    """One Parquet file for each shard, ``path/shard=<k>``, its rows in ``order``; returns the manifest.
+
+    ``sharded`` has a column ``shard`` from 0 to below ``shards``. Its value is the number of the partition, so
+    every shard is one task and one file, and no hash puts two of them together. The manifest (``shard``,
+    ``rows``, ``first``, ``last``) is counted from what was written and kept in ``path/_manifest``, which
+    readers of the folder pass over. A shard without rows has no file and 0 rows.
+    """
+    spark = sharded.sparkSession
+    placed = sharded.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", order)
+    placed.write.mode(mode).partitionBy("shard").parquet(path)
+    written = spark.read.schema(sharded.schema).parquet(path).groupBy("shard")
+    counts = written.agg(F.count(F.lit(1)).alias("rows"), F.min(order).alias("first"), F.max(order).alias("last"))
+    every = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
+    manifest = every.join(counts, "shard", "left").fillna(0, ["rows"]).orderBy("shard")
+    manifest.coalesce(1).write.mode(mode).json(f"{path}/_manifest")
+    return spark.read.schema(manifest.schema).json(f"{path}/_manifest")
+
+
 def append_run_metrics(metrics: DataFrame, run: Mapping[str, str | None], path: str) -> None:
     """Add one run's metrics ``(split, metric, k, value)`` to a history table over many runs.
 

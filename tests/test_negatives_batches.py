@@ -7,7 +7,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seqloom import functions as fn
+from seqloom import sources
 from seqloom.operators import batches, negatives, text
+from seqloom.session import scratch_path
 from tests.helpers import rows
 
 
@@ -143,3 +145,17 @@ def test_packed_batches(spark):
     assert got[0]["cu_input_lens"] == [4, 2]
     assert got[0]["position_ids"] == [2, 3, 4, 5, 4, 5]
     assert got[1]["position_ids"] == [3, 4, 5]
+
+
+def test_shards_are_written_one_file_each_in_order(spark):
+    path = scratch_path(spark, "shards")
+    rows_ = spark.range(1000).select(F.col("id").alias("row_no"), F.pmod(F.hash("id"), F.lit(3)).cast("int").alias("shard"))
+    manifest = sources.write_shards(rows_.filter("shard <> 1").repartition(5), path, 4)
+    assert [r["shard"] for r in manifest.orderBy("shard").collect()] == [0, 1, 2, 3]
+    counts = {r["shard"]: r["rows"] for r in manifest.collect()}
+    assert counts[1] == counts[3] == 0 and counts[0] + counts[2] == rows_.filter("shard <> 1").count()
+    back = spark.read.parquet(path).select("row_no", "shard", "_metadata.file_name", "_metadata.row_index").collect()
+    for k in (0, 2):
+        of = sorted((r for r in back if r["shard"] == k), key=lambda r: r["row_index"])
+        assert len({r["file_name"] for r in of}) == 1 and len(of) == counts[k]
+        assert [r["row_no"] for r in of] == sorted(r["row_no"] for r in of)
