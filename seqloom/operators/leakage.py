@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Sequence
-from functools import cache, partial
+from functools import lru_cache, partial
 
 import numpy as np
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +29,15 @@ COSINE_LEVELS = (0.95, 0.90, 0.85, 0.80)
 NEAR_VERBATIM = 0.5
 CLOSE = 0.85
 
-_WORD = regex.compile(r"[\p{L}\p{N}_]+")
+# Letters, digits and underscores: what the column functions take for a word.
+_WORD = re.compile(r"\w+")
+REMEMBERED_WORDS = 1 << 18  # slots that one task remembers
 
 
 def hashed_word_encoder(dim: int) -> Callable[[Sequence[str]], np.ndarray]:
     """Default encoder: word counts hashed into ``dim`` slots, without a model."""
 
-    @cache
+    @lru_cache(maxsize=REMEMBERED_WORDS)
     def slot(word: str) -> int:
         return int(hashlib.md5(word.encode()).hexdigest()[:13], 16) % dim
 
@@ -77,19 +79,33 @@ def _gram_sets(texts: DataFrame, n: int, grams: str) -> DataFrame:
     return texts.withColumn(grams, ngrams(words(F.col("text")), n))
 
 
+def _hashed_sets(texts: DataFrame, key: str, n: int, grams: str) -> DataFrame:
+    """The gram sets as 64-bit hashes, without the texts."""
+    hashes = F.transform(grams, lambda g: F.xxhash64(g))
+    return _gram_sets(texts.select(key, "text"), n, grams).select(key, hashes.alias(grams))
+
+
 def pair_overlap(pairs: DataFrame, query: DataFrame, corpus: DataFrame, n: int = GRAM) -> DataFrame:
-    """Add n-gram Jaccard and containment to ``(query_id, corpus_id)`` rows, from the whole texts."""
-    q = _gram_sets(query.select("query_id", "text"), n, "_q").withColumnRenamed("text", "query_text")
-    needed = corpus.select("corpus_id", "text").join(pairs.select("corpus_id").distinct(), "corpus_id", "left_semi")
-    c = _gram_sets(needed, n, "_c").withColumnRenamed("text", "corpus_text")
+    """Add n-gram Jaccard and containment to ``(query_id, corpus_id)`` rows, from the whole texts.
+
+    Only hashes of grams move: eight bytes each, in place of the texts and the grams themselves.
+    """
+    needed = corpus.join(pairs.select("corpus_id").distinct(), "corpus_id", "left_semi")
+    q, c = _hashed_sets(query, "query_id", n, "_q"), _hashed_sets(needed, "corpus_id", n, "_c")
     joined = pairs.join(q, "query_id").join(c, "corpus_id")
     jaccard, containment = lexical_overlap(F.col("_q"), F.col("_c"))
     return joined.withColumns({"jaccard": jaccard, "containment": containment}).drop("_q", "_c")
 
 
 def leakage_pairs(neighbours: DataFrame, query: DataFrame, corpus: DataFrame, n: int = GRAM) -> DataFrame:
-    """The audit report: ids, rank, cosine, overlaps and the cut texts, most similar first."""
+    """The audit report: ids, rank, cosine, overlaps and the cut texts, most similar first.
+
+    Texts are cut where they lie and joined last.
+    """
+    cut = lambda name: F.substring("text", 1, TEXT_CUT).alias(name)
     rows = pair_overlap(neighbours, query, corpus, n)
+    rows = rows.join(query.select("query_id", cut("query_text")), "query_id")
+    rows = rows.join(corpus.select("corpus_id", cut("corpus_text")), "corpus_id")
     return rows.select(
         "query_id",
         "corpus_id",
@@ -97,8 +113,8 @@ def leakage_pairs(neighbours: DataFrame, query: DataFrame, corpus: DataFrame, n:
         "cosine",
         F.col("jaccard").alias(f"jaccard_{n}gram"),
         F.col("containment").alias(f"containment_{n}gram"),
-        F.substring("query_text", 1, TEXT_CUT).alias("query_text"),
-        F.substring("corpus_text", 1, TEXT_CUT).alias("corpus_text"),
+        "query_text",
+        "corpus_text",
     ).orderBy(F.desc("cosine"), "query_id", "rank")
 
 

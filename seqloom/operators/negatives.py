@@ -87,14 +87,19 @@ def position_negatives(chunks: DataFrame, length: int, count: int, item_num: int
     return chunks.withColumn("neg_items", F.transform(F.sequence(F.lit(0), F.lit(length - 1)), at))
 
 
-def shared_batch_negatives(examples: DataFrame) -> DataFrame:
-    """Give every example of a batch the negatives of all its examples, in example order.
+def batch_negatives(examples: DataFrame) -> DataFrame:
+    """``batch_id``, ``shared_negatives``: the negatives of all examples of a batch, in example order.
 
+    One row for each batch, which its examples name by ``batch_id``: as much output as input.
     ``examples`` has ``batch_id``, ``example`` and ``neg_item``; a group is one training batch.
     """
     ordered = F.array_sort(F.collect_list(F.struct("example", "neg_item")))
-    shared = examples.groupBy("batch_id").agg(F.flatten(ordered["neg_item"]).alias("shared_negatives"))
-    return examples.join(shared, "batch_id")
+    return examples.groupBy("batch_id").agg(F.flatten(ordered["neg_item"]).alias("shared_negatives"))
+
+
+def shared_batch_negatives(examples: DataFrame) -> DataFrame:
+    """Every example with a copy of its batch's negatives (:func:`batch_negatives`), where each must stand alone."""
+    return examples.join(batch_negatives(examples), "batch_id")
 
 
 def mask_false_negatives(pairs: DataFrame, vectors: DataFrame, threshold: float = FALSE_NEGATIVE_COSINE) -> DataFrame:

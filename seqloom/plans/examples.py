@@ -483,6 +483,19 @@ def shared_batch_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return _as_text(rows, "shared_negatives")
 
 
+@query(
+    with_sql(
+        *LOG,
+        CHUNKS,
+        DRAWN_FROM,
+        BATCHED,
+        select="SELECT batch_id, array_to_string(flatten(list(neg_item ORDER BY example)), ',') AS shared_negatives FROM batched GROUP BY batch_id",
+    )
+)
+def batch_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return _as_text(negatives.batch_negatives(batched_examples(spark, sf)), "shared_negatives")
+
+
 @query(
     with_sql(
         *LOG,
