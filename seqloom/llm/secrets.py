@@ -199,10 +199,9 @@ def _candidates(body: Column) -> Column:
 
         def scored(e: Column) -> Column:
             letters = F.get(F.array(*[F.lit(a) for _, a in ENCODINGS]), e)
-            digits = F.transform(
-                F.sequence(F.lit(1), F.length(token)),
-                lambda i: (F.call_function("locate", F.substr(token, i, F.lit(1)), letters) - 1).cast("double"),
-            )
+            # Split once: a character by its number would be looked for from the start of the token.
+            place = lambda c: (F.call_function("locate", c, letters) - 1).cast("double")
+            digits = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), place)
             p = let(digits, lambda d: _p_value(d, F.length(letters).cast("double")))
             step = F.least(F.floor(-F.log2(F.greatest(p, F.lit(1e-300))) * STEPS), F.lit(MAX_STEP)).cast("int")
             return F.struct(

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -210,6 +211,16 @@ def test_random_tokens_inside_longer_runs(spark):
     assert not got[1000]["spans"] and not got[1001]["spans"] and not got[1002]["spans"]
 
 
+def test_secret_scan_of_a_very_long_token(spark):
+    draw = random.Random(7)
+    token = "".join(draw.choices(secrets.UPPER + secrets.LOWER + secrets.DIGITS + "+/", k=400_000))
+    table = spark.createDataFrame([(1, f"data {token} end"), (2, "x" * 100_000)], "doc_id long, text string")
+    start = time.monotonic()
+    got = by_id(secrets.scan_secrets(table))
+    assert [tuple(s) for s in got[1]["spans"]] == [("random_base64", 5, 400_005)] and not got[2]["spans"]
+    assert time.monotonic() - start < 60  # a scan for each character takes several minutes
+
+
 def brute_components(size, percent):
     sets = {}
     for i, t in enumerate(TEXTS):
