@@ -17,7 +17,6 @@ from seqloom.operators.ordering import MAX_GROUP_ROWS, group_positions
 
 # Interactions held out at the end of a history, by phase.
 HELD_OUT = {"valid": 2, "test": 1}
-MAX_SEGMENT = 4096
 
 
 def sort_interactions(inter: DataFrame, by: Sequence[str], ascending: bool | Sequence[bool] = True) -> DataFrame:
@@ -50,8 +49,8 @@ def _arrays(rows: DataFrame, key: Sequence[str], at: str) -> DataFrame:
     )
 
 
-def user_sequences(histories: DataFrame, segment: int = MAX_SEGMENT) -> DataFrame:
-    """Item and time arrays per user, in segments of at most ``segment`` interactions.
+def user_sequences(histories: DataFrame, segment: int) -> DataFrame:
+    """Item and time arrays per user, in segments of at most ``segment`` interactions, which bounds an array.
 
     An ordinary user is one row with ``segment_no`` 0. A longer history goes on in further rows.
     """

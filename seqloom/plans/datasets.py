@@ -158,6 +158,34 @@ def invalid_rows(spark: SparkSession, sf: str) -> DataFrame:
     return validate.invalid_rows(raw_pages(spark, sf)).drop("last_part")
 
 
+# The same fields as lines of a CSV file, some with a field too many (empty or not) and some with one too few.
+@query(
+    with_sql(
+        RAW_PAGES,
+        """fields AS (SELECT *, item_id || ',' || user_id AS two, item_id || ',' || user_id || ',' || timestamp AS three FROM raw),
+        lines AS (
+          SELECT item_id, user_id, CASE WHEN page_id % 4 = 3 THEN '' ELSE timestamp END AS timestamp,
+                 CASE page_id % 4 WHEN 1 THEN three || ',' WHEN 2 THEN three || ',more' WHEN 3 THEN two ELSE '' END AS extra
+          FROM fields)""",
+        select="""SELECT item_id, user_id, timestamp, extra, count(*) AS rows FROM lines
+                  WHERE item_id = '' OR user_id = '' OR timestamp = '' OR extra <> '' GROUP BY ALL""",
+    )
+)
+def invalid_rows_csv(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "dirty-csv")
+    three = F.concat_ws(",", "item_id", "user_id", "timestamp")
+    kind = F.pmod("page_id", F.lit(4))
+    line = F.when(kind == 1, F.concat(three, F.lit(","))).when(kind == 2, F.concat(three, F.lit(",more")))
+    line = line.when(kind == 3, F.concat_ws(",", "item_id", "user_id")).otherwise(three)
+    # Every file begins with a header: one row of text holds all lines of a batch of pages.
+    batch = raw_pages(spark, sf).groupBy(F.pmod("page_id", F.lit(16)).alias("file")).agg(F.array_join(F.collect_list(line), "\n").alias("lines"))
+    whole = F.concat(F.lit(validate.HEADER + "\n"), F.col("lines"))
+    batch.repartitionById(16, F.col("file").cast("int")).select(whole).write.text(path)
+    found = validate.invalid_rows(sources.readers.read_raw_interactions(spark, path))
+    fields = [F.coalesce(c, F.lit("")).alias(c) for c in ("item_id", "user_id", "timestamp", "extra")]
+    return found.groupBy(*fields).agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query(
     with_sql(
         RAW_PAGES,
@@ -241,6 +269,21 @@ def drop_user_fraction(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.drop_user_fraction(log, 25)
 
 
+@query(
+    with_sql(
+        _DROPPED,
+        select="""SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(o_orderkey AS VARCHAR) AS item_id FROM orders
+                  WHERE o_custkey NOT IN (FROM dropped)""",
+    )
+)
+def drop_user_fraction_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over a CSV file, whose ids are read as text and sort as numbers."""
+    path = scratch_path(spark, "orders-csv")
+    log = table(spark, sf, "orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_custkey").alias("user_id"), F.lit(0).alias("timestamp"))
+    sources.write_interactions(log, path)
+    return sampling.drop_user_fraction(sources.read_interactions(spark, path), 25).select("user_id", "item_id")
+
+
 @query(
     with_sql(
         ORDER_INTER,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqloom import functions as fn
 from seqloom import sources
 from seqloom.operators import batches, negatives, sequences, text
-from seqloom.plans.registry import query
+from seqloom.plans.registry import query, renamed, sql
 from seqloom.plans.views import (
     CHUNKS,
     LENGTH,
@@ -32,6 +32,11 @@ from seqloom.plans.views import (
 from seqloom.session import scratch_path, spread
 
 WIDTH = LENGTH + 1
+OPOS = """opos AS (
+  SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n
+  FROM ointer WINDOW w AS (PARTITION BY user_id ORDER BY timestamp, o_orderkey, l_linenumber, item_id))"""
+# Interactions of one array at most; longer histories go on in further rows.
+LONG_SEGMENT = 4096
 _PAD = f"repeat('0,', greatest({LENGTH} - len(s), 0)::INT)"
 
 
@@ -57,15 +62,14 @@ def sort_interactions(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     with_sql(
         ORDER_INTER,
-        select="""SELECT user_id, 0 AS segment_no,
-                    string_agg(item_id, ',' ORDER BY timestamp, o_orderkey, l_linenumber, item_id) AS item_seq,
-                    string_agg(timestamp, ',' ORDER BY timestamp, o_orderkey, l_linenumber, item_id) AS time_seq
-                  FROM ointer GROUP BY user_id""",
+        OPOS,
+        select=f"""SELECT user_id, CAST(pos // {LONG_SEGMENT} AS INT) AS segment_no, string_agg(item_id, ',' ORDER BY pos) AS item_seq,
+                          string_agg(timestamp, ',' ORDER BY pos) AS time_seq FROM opos GROUP BY ALL""",
     )
 )
 def user_sequences(spark: SparkSession, sf: str) -> DataFrame:
     placed = sequences.user_histories(order_inter(spark, sf), ["timestamp", *ORDER_KEYS])
-    return _as_text(sequences.user_sequences(placed), "item_seq", "time_seq")
+    return _as_text(sequences.user_sequences(placed, LONG_SEGMENT), "item_seq", "time_seq")
 
 
 @query(with_sql(*LOG, select="SELECT user_id, item_id, timestamp, pos, n - 2 AS n FROM pos WHERE pos < n - 2"))
@@ -98,7 +102,8 @@ def chunk_sequences(spark: SparkSession, sf: str) -> DataFrame:
                    FROM pos WHERE pos < n - 2 AND pos >= n - 2 - {WIDTH} GROUP BY user_id, n""",
     )
 )
-def whole_sequences(spark: SparkSession, sf: str) -> DataFrame:
+def sequence_tails(spark: SparkSession, sf: str) -> DataFrame:
+    """The last items of each training history; ``whole_sequences`` has all of them."""
     train = sequences.split_leave_two_out(histories(spark, sf))
     whole = sequences.chunk_sequences(train, LENGTH, data_split=False)
     return _as_text(whole.select("user_id", "seq_len", "item_seq"), "item_seq")
@@ -237,7 +242,8 @@ def next_item_pairs(spark: SparkSession, sf: str) -> DataFrame:
                    FROM full_chunks""",
     )
 )
-def bucketize_time_gaps(spark: SparkSession, sf: str) -> DataFrame:
+def bucketize_full_time_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Of chunks of full width only; ``bucketize_time_gaps`` has all."""
     full = chunks(spark, sf).filter(F.size("time_seq") == WIDTH)
     gaps = fn.time_gap_buckets(F.col("time_seq"), WIDTH)
     return full.select("user_id", "seq_no", joined_rows(gaps).alias("gaps"))
@@ -256,33 +262,33 @@ def bucketize_time_gaps(spark: SparkSession, sf: str) -> DataFrame:
                          string_agg(item_id, ',' ORDER BY place) AS item_seq, '' AS target
                   FROM cross_cut WHERE place >= 0 GROUP BY ALL
                   UNION ALL
-                  SELECT 'test', CAST(user_id AS VARCHAR), -1,
-                         string_agg(CASE WHEN pos < n - 1 AND pos >= n - 11 THEN item_id END, ',' ORDER BY pos),
-                         CAST(max(CASE WHEN pos = n - 1 THEN item_id END) AS VARCHAR) FROM pos GROUP BY user_id""",
+                  SELECT part, CAST(user_id AS VARCHAR), -1,
+                         coalesce(string_agg(CASE WHEN pos < n - held AND pos >= n - held - 10 THEN item_id END, ',' ORDER BY pos), ''),
+                         CAST(max(CASE WHEN pos = n - held THEN item_id END) AS VARCHAR)
+                  FROM pos, (VALUES ('valid', 2), ('test', 1)) AS phases(part, held) WHERE n >= held GROUP BY part, user_id""",
     )
 )
 def cross_dataset_examples(spark: SparkSession, sf: str) -> DataFrame:
     log = order_inter(spark, sf).withColumn("row_ord", F.struct(*ORDER_KEYS)).drop("o_orderkey", "l_linenumber")
-    train, _, test = sequences.cross_dataset_examples(log, encoded(spark, sf), LENGTH)
-    return train.select(
+    train, valid, test = sequences.cross_dataset_examples(log, encoded(spark, sf), LENGTH)
+    rows = train.select(
         F.lit("train").alias("part"), "user_id", "seq_no", joined(F.col("item_seq")).alias("item_seq"), F.lit("").alias("target")
-    ).unionByName(
-        test.select(
-            F.lit("test").alias("part"),
-            F.col("user_id").cast("string").alias("user_id"),
-            F.lit(-1).alias("seq_no"),
-            joined(F.col("history")).alias("item_seq"),
-            F.col("target").cast("string").alias("target"),
-        )
     )
+    for part, held_out in (("valid", valid), ("test", test)):
+        rows = rows.unionByName(
+            held_out.select(
+                F.lit(part).alias("part"),
+                F.col("user_id").cast("string").alias("user_id"),
+                F.lit(-1).alias("seq_no"),
+                joined(F.col("history")).alias("item_seq"),
+                F.col("target").cast("string").alias("target"),
+            )
+        )
+    return rows
 
 
-# The whole of what user_sequences, whole_sequences, eval_examples_*, bucketize_time_gaps and
-# cross_dataset_examples show a part of.
+# Long forms: every row of a history, also where the forms above have the last items only.
 
-OPOS = """opos AS (
-  SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n
-  FROM ointer WINDOW w AS (PARTITION BY user_id ORDER BY timestamp, o_orderkey, l_linenumber, item_id))"""
 SEGMENT = 8
 
 
@@ -308,6 +314,21 @@ def whole_sequence_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("user_id", "seq_pos", "seq_len", "item_id", "timestamp")
 
 
+@query(
+    with_sql(
+        *LOG,
+        select="""SELECT user_id, n - 2 AS seq_len, CAST(pos // 4096 AS INT) AS segment_no, string_agg(item_id, ',' ORDER BY pos) AS item_seq
+                  FROM pos WHERE pos < n - 2 GROUP BY ALL""",
+    )
+)
+def whole_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """All items of each training history, in arrays of bounded width."""
+    train = sequences.split_leave_two_out(histories(spark, sf))
+    segments = sequences.user_sequences(train, LONG_SEGMENT).drop("time_seq")
+    sizes = train.groupBy("user_id").agg(F.max("n").alias("seq_len"))
+    return _as_text(segments.join(sizes, "user_id"), "item_seq")
+
+
 def _eval_rows_sql(held: int) -> str:
     select = f"SELECT user_id, pos, item_id, timestamp, pos = n - {held} AS is_target FROM opos WHERE pos <= n - {held}"
     return with_sql(ORDER_INTER, OPOS, select=select)
@@ -346,6 +367,9 @@ def bucketize_all_time_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return padded.select("user_id", "seq_no", joined_rows(gaps).alias("gaps"))
 
 
+query(sql()["bucketize_all_time_gaps"])(renamed(bucketize_all_time_gaps, "bucketize_time_gaps"))
+
+
 @query(
     with_sql(
         *LOG,

@@ -28,3 +28,13 @@ def queries() -> dict[str, Query]:
 
 def sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def renamed(fn: Query, name: str) -> Query:
+    """The same query to be registered under another name."""
+
+    def same(spark: SparkSession, sf: str) -> DataFrame:
+        return fn(spark, sf)
+
+    same.__name__ = name
+    return same

@@ -73,7 +73,7 @@ def test_sequences_do_not_depend_on_partitions_or_skew(spark, partitions, bound)
     data = {0: [rng.randrange(50) for _ in range(400)], **{u: [rng.randrange(50) for _ in range(u)] for u in range(1, 30)}}
     df = log(spark, data).orderBy(F.rand(seed=partitions)).repartition(partitions)
     placed = seq.user_histories(df, ORDER, max_group_rows=bound)
-    got = {r["user_id"]: r["item_seq"] for r in seq.user_sequences(placed).collect()}
+    got = {r["user_id"]: r["item_seq"] for r in seq.user_sequences(placed, 100).collect()}
     assert got == {u: items for u, items in data.items() if items}
 
 
