@@ -22,8 +22,10 @@ from seqloom.session import materialize
 
 # Largest item matrix sent to every executor, in bytes of its float64 values.
 BROADCAST_BYTES = 64 << 20
+# A cell of users and items at most, and the memory of its vectors, which counts where they are wide.
 USERS_PER_BATCH = 8192
 ITEMS_PER_BLOCK = 32768
+CELL_BYTES = 256 << 20
 # Score rows held at once inside a task.
 SCORE_CELLS = 4_000_000
 COLUMN_GROUP = 64
@@ -174,7 +176,14 @@ def _over_catalog(
         masks = users.sparkSession.createDataFrame([], "user_id long, item_id long")
     if size["n"] * (size["dim"] or 1) * 8 <= broadcast_bytes:
         return _with_broadcast_items(users, item_vecs, masks, cell, schema, k)
-    return _with_item_blocks(users, item_vecs, masks, cell, schema, k, size["n"])
+    return _with_item_blocks(users, item_vecs, masks, cell, schema, k, size["n"], size["dim"] or 1)
+
+
+def cell_shape(dimension: int, cell_bytes: int | None = None) -> tuple[int, int]:
+    """Users and items of a cell: four items for each user, as both sides stand in memory twice, as rows and as
+    a matrix of float64 values."""
+    users = max(1, (cell_bytes or CELL_BYTES) // (5 * 2 * 8 * dimension))
+    return min(USERS_PER_BATCH, users), min(ITEMS_PER_BLOCK, 4 * users)
 
 
 def _local(vectors: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
@@ -203,15 +212,16 @@ def _with_broadcast_items(users, item_vecs, masks, cell, schema, k) -> DataFrame
     return users.join(per_user, "user_id", "left").mapInPandas(score, schema)
 
 
-def _with_item_blocks(users, item_vecs, masks, cell, schema, k, n_items) -> DataFrame:
+def _with_item_blocks(users, item_vecs, masks, cell, schema, k, n_items, dim) -> DataFrame:
     """Grid of user batches and item blocks, joined by their two numbers.
 
     Batches and blocks come from hashes of unique ids, so they are even whatever the data look
     like. A user row is sent once per block, an item row once per batch, a mask exactly once: the
     masks of a user within one block are a list no longer than the block.
     """
-    blocks = -(-n_items // ITEMS_PER_BLOCK)
-    batches = max(1, -(-users.count() // USERS_PER_BATCH))
+    per_batch, per_block = cell_shape(dim)
+    blocks = -(-n_items // per_block)
+    batches = max(1, -(-users.count() // per_batch))
     batch = F.pmod(F.xxhash64("user_id"), F.lit(batches)).alias("_batch")
     block = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("_block")
     every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block")

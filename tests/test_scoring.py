@@ -152,3 +152,19 @@ def test_hits_of_users_without_results(spark):
     top = spark.createDataFrame([(1, 1, 5, 0.9), (1, 2, 6, 0.8)], "user_id long, rank int, item_id long, score double")
     positives = spark.createDataFrame([(1, 6), (2, 9)], "user_id long, item_id long")
     assert rows(scoring.hit_matrix(top, positives)) == [(1, 1, 0, 1), (1, 2, 1, 1), (2, None, 0, 1)]
+
+
+def test_cells_fit_their_memory(spark, monkeypatch):
+    for dim in (1, 64, 4096, 100_000):
+        users, items = scoring.cell_shape(dim, 64 << 20)
+        assert users >= 1 and items >= users and (users == 1 or (users + items) * 2 * 8 * dim <= 64 << 20)
+    assert scoring.cell_shape(64) == (scoring.USERS_PER_BATCH, scoring.ITEMS_PER_BLOCK)
+    rng = np.random.default_rng(6)
+    u, v = rng.normal(size=(20, 512)), rng.normal(size=(60, 512))
+    users = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(u)], "user_id long, vec array<double>")
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item_id long, vec array<double>")
+    monkeypatch.setattr(scoring, "CELL_BYTES", 5 * 2 * 8 * 512 * 4)  # four users, sixteen items
+    got = scoring.top_k_of_catalog(users, items, 5, broadcast_bytes=0).collect()
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = np.argsort(-(unit(u) @ unit(v).T), axis=1)[:, :5]
+    assert {(r["user_id"], r["rank"], r["item_id"]) for r in got} == {(a, k + 1, b) for a, row in enumerate(want.tolist()) for k, b in enumerate(row)}
