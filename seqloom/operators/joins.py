@@ -13,19 +13,22 @@ from seqloom.session import materialize
 HEAVY_SHARE, HEAVY_ROWS = 0.25, 1_000
 
 
-def heavy_keys(rows: DataFrame, key: str, share: float = HEAVY_SHARE, least: int = HEAVY_ROWS) -> DataFrame:
+def heavy_keys(
+    rows: DataFrame, key: str, share: float = HEAVY_SHARE, least: int = HEAVY_ROWS, sizes: DataFrame | None = None
+) -> DataFrame:
     """``key``, ``salts`` of the keys that one task shouldn't hold, and into how many parts to split them.
 
-    Keys are counted with a combine on the map side. As a heavy key holds a fixed share of the rows, at most
-    ``partitions / share`` keys are heavy, whatever the input.
+    Keys are counted with a combine on the map side, unless ``sizes`` (``key``, ``n``) has their numbers, written
+    already. As a heavy key holds a fixed share of the rows, at most ``partitions / share`` keys are heavy,
+    whatever the input.
     """
-    sizes = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    sizes = materialize(sizes, "key-sizes")
+    if sizes is None:
+        sizes = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        sizes = materialize(sizes, "key-sizes")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     limit = max(least, int(total / partitions * share))
-    heavy = sizes.filter(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("salts"))
-    return materialize(heavy, "heavy-keys")
+    return sizes.filter(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("salts"))
 
 
 def heavy_join(
@@ -36,6 +39,7 @@ def heavy_join(
     how: str = "inner",
     share: float = HEAVY_SHARE,
     least: int = HEAVY_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """``many`` joined with ``few`` on ``key`` (inner, left or left_semi), heavy keys of ``many`` split.
 
@@ -43,7 +47,7 @@ def heavy_join(
     them apart; the rows of ``few`` with that key are repeated once for each part. All other rows are in
     part 0. So no task holds a whole heavy key, without relying on adaptive execution.
     """
-    heavy = heavy_keys(many, key, share, least)
+    heavy = heavy_keys(many, key, share, least, sizes)
     if heavy.isEmpty():
         return many.join(few, key, how)
     # A bounded number of keys, see heavy_keys.

@@ -189,13 +189,14 @@ def near_verbatim_pairs(query: DataFrame, corpus: DataFrame, n: int = GRAM, abov
     c = materialize(heavy_join(c, q.select("gram").distinct(), "gram", by_text, "left_semi"), "corpus-grams")
     frequency = materialize(c.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram-frequency")
     q = _rarest(q.join(frequency, "gram"), "query_id", above)
-    c = _rarest(heavy_join(c, frequency, "gram", by_text), "corpus_id", above)
+    sizes = frequency.withColumnRenamed("df", "n")
+    c = _rarest(heavy_join(c, frequency, "gram", by_text, sizes=sizes), "corpus_id", above)
     c = materialize(c.withColumnsRenamed({n: f"corpus_{n}" for n in ("size", "found", "rare")}), "ranked-grams")
     # Neither text can share more grams than it has in common with the whole other side.
     enough = F.least("found", "corpus_found") > F.least("size", "corpus_size") * above
     wanted = (F.col("rare") & (F.col("size") <= F.col("corpus_size"))) | (F.col("corpus_rare") & (F.col("corpus_size") < F.col("size")))
     key = ["query_id", "corpus_id"]
-    met = heavy_join(c, q, "gram", by_text).filter(enough & wanted)
+    met = heavy_join(c, q, "gram", by_text, sizes=sizes).filter(enough & wanted)
     candidates = materialize(met.select(*key).distinct(), "candidates")
     found = pair_overlap(candidates, query, corpus, n).filter(F.col("containment") > above)
     return found.select(*key, "jaccard", "containment")
