@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import bpe, chat, jaccard, lines, mixing, neighbours, packing, quality, resample, secrets, spelling, substrings, warc
 from seqloom.plans.registry import Query
+from seqloom.plans.views import CRC_TABLE, crc_sql
 from seqloom.session import scratch_path
 
 # The JSON file of the tokenizer and the same vocabulary as ranks.
@@ -192,30 +193,16 @@ def with_full_payload(read: DataFrame) -> DataFrame:
     )
 
 
-# CRC-32 in SQL: a table of 256 entries by the rule of the polynomial, then a fold over the bytes.
-_CRC_SQL = """crc_table AS MATERIALIZED (
-  SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
-              ORDER BY i) AS entries
-  FROM range(256) r(i))"""
-
-
-def _crc_of(text: str) -> str:
-    hexed = f"hex(encode({text}))"
-    each = f"list_transform(range(1, len({hexed}) + 1, 2), lambda p: ('0x' || substr({hexed}, p, 2))::BIGINT)"
-    fold = f"list_reduce([4294967295::BIGINT] || {each}, lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]))"
-    return f"xor({fold}, 4294967295::BIGINT)"
-
-
 _UPPER_LOWER = f"'{spelling.UPPER}', '{spelling.LOWER}'"
 
-_RESAMPLE_SQL = f"""WITH {_CRC_SQL},
+_RESAMPLE_SQL = f"""WITH {CRC_TABLE},
 words AS (
   SELECT doc_id, false AS wanted, unnest(regexp_extract_all(translate(text, {_UPPER_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word
   FROM documents
   UNION ALL
   SELECT NULL, true, unnest(regexp_extract_all(translate(text, {_UPPER_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'))
   FROM benchmark),
-hashed AS (SELECT word, {_crc_of("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM words), crc_table),
+hashed AS (SELECT word, {crc_sql("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM words), crc_table),
 placed AS (SELECT w.doc_id, w.wanted, h.bucket FROM words w JOIN hashed h USING (word)),
 counts AS (SELECT bucket, count(*) FILTER (NOT wanted) AS s, count(*) FILTER (wanted) AS t FROM placed GROUP BY bucket),
 totals AS (SELECT coalesce(sum(s), 0)::DOUBLE + 10000 AS all_s, coalesce(sum(t), 0)::DOUBLE + 10000 AS all_t FROM counts),
@@ -244,11 +231,11 @@ def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
     return resample.importance_resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-_SPELLING_SQL = f"""WITH RECURSIVE {_CRC_SQL},
+_SPELLING_SQL = f"""WITH RECURSIVE {CRC_TABLE},
 runs AS (
   SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), {_UPPER_LOWER}) AS run FROM documents),
 hashed AS (
-  SELECT run, times, {_crc_of("doc_id::VARCHAR || ':' || run")} AS h
+  SELECT run, times, {crc_sql("doc_id::VARCHAR || ':' || run")} AS h
   FROM (SELECT doc_id, run, count(*) AS times FROM runs WHERE length(run) >= 7 GROUP BY 1, 2), crc_table),
 changed AS (
   SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times
