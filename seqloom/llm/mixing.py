@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import hash_bits
 from seqloom.functions.hashing import HEX_DIGITS
-from seqloom.llm.words import word_count
+from seqloom.llm.words import free_names, word_count
 from seqloom.operators.ordering import running_totals
 from seqloom.session import materialize
 
@@ -144,11 +144,12 @@ def repeat_copies(docs: DataFrame, mixed: DataFrame, text: str = "text", doc_id:
 
     Rows alike in id and text stand for one another: one of them is repeated as often as all are wanted.
     """
+    own, of, copies, nth, u = free_names(docs.columns, "__id", "__of", "__copies", "__n", "__u")
     counts = mixed.groupBy("doc_id", "u").agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    counts = counts.select(F.col("doc_id").alias("__id"), F.col("u").alias("__of"), F.col("copies").alias("__copies"))
-    drawn = docs.withColumn("__u", _draw(F.col(doc_id), F.col(text), seed)).dropDuplicates([doc_id, "__u"])
-    joined = drawn.join(counts, drawn[doc_id].eqNullSafe(F.col("__id")) & (F.col("__u") == F.col("__of")))
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    counts = counts.select(F.col("doc_id").alias(own), F.col("u").alias(of), F.col("copies").alias(copies))
+    drawn = docs.withColumn(u, _draw(F.col(doc_id), F.col(text), seed)).dropDuplicates([doc_id, u])
+    joined = drawn.join(counts, drawn[doc_id].eqNullSafe(F.col(own)) & (F.col(u) == F.col(of)))
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def _draw(doc_id: Column, text: Column, seed: int) -> Column:

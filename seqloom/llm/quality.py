@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.arrays import let
-from seqloom.llm.words import SPACE, WORD, words_of
+from seqloom.llm.words import SPACE, WORD, free_names, words_of
 
 # Fixed values.
 SYMBOLS = "[#*$%&|<>]"
@@ -102,27 +102,28 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = R
     that has the name of a result column is replaced. Three-word windows are compared by 64-bit
     hashes inside one text. Nothing is shuffled.
     """
-    body, found = F.coalesce(F.col(text), F.lit("")), F.col("__words")
+    words_name, lines_name = free_names(docs.columns, "__words", "__lines")
+    body, found = F.coalesce(F.col(text), F.lit("")), F.col(words_name)
     spelled = [*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(WORD))
-    counted = docs.withColumn("__words", words_of(F.col(text))).withColumn("__lines", lines)
+    counted = docs.withColumn(words_name, words_of(F.col(text))).withColumn(lines_name, lines)
     counts = {
         "n_words": F.size(found).cast("long"),
         "word_chars": F.length(F.array_join(found, "")).cast("long"),
         "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)).cast("long"),
-        "n_lines": F.size("__lines").cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        "n_lines": F.size(lines_name).cast("long"),
+        "n_dup_lines": (F.size(lines_name) - F.size(F.array_distinct(lines_name))).cast("long"),
         "n_repeat_words": _repeated_words(found).cast("long"),
         "n_stop_words": F.size(F.array_intersect(found, F.array(*map(F.lit, spelled)))).cast("long"),
         "n_no_letter": F.regexp_count(body, F.lit(rf"{_IN_WORD}[^\p{{L}}\x20\x09-\x0D]+{_WORD_END}")).cast("long"),
         "n_upper": F.regexp_count(body, F.lit(r"\p{Lu}")).cast("long"),
-        "n_bullet_lines": F.size(F.filter("__lines", lambda x: x.rlike(rf"^{SPACE}*[-*•]"))).cast("long"),
-        "n_ellipsis_lines": F.size(F.filter("__lines", lambda x: x.rlike(rf"(\.\.\.|…){SPACE}*$"))).cast("long"),
+        "n_bullet_lines": F.size(F.filter(lines_name, lambda x: x.rlike(rf"^{SPACE}*[-*•]"))).cast("long"),
+        "n_ellipsis_lines": F.size(F.filter(lines_name, lambda x: x.rlike(rf"(\.\.\.|…){SPACE}*$"))).cast("long"),
     }
     # One generated row for each document: a filter on the verdict stays above it, so that no count is
     # worked out once for the filter and once for the result.
     row = F.inline(F.array(F.struct(*[c.alias(name) for name, c in counts.items()])))
-    counted = counted.drop(*counts).select("*", row).drop("__words", "__lines")
+    counted = counted.drop(*counts).select("*", row).drop(words_name, lines_name)
     n, lines = F.col("n_words"), F.col("n_lines")
     known = F.coalesce(F.lower(F.col(lang)).isin(*STOP_LANGS), F.lit(False)) if lang in docs.columns else F.lit(False)
     measures = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column
@@ -16,6 +18,17 @@ REMEMBERED_WORDS = 1 << 18
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
+def free_names(taken: Sequence[str], *wanted: str) -> list[str]:
+    """The wanted column names, each lengthened until it clashes with none of those taken (in either case)."""
+    used, found = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        found.append(name)
+    return found
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null has none."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))

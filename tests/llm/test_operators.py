@@ -275,6 +275,10 @@ def test_mixing(docs, empty):
     assert Counter((r["doc_id"], r["copies"]) for r in again) == Counter((r["doc_id"], r["copies"]) for r in rows)
     mixed = mixing.mix_sources(docs, (5, 2, 1))
     assert mixing.repeat_copies(docs, mixed).count() == sum(r["copies"] for r in rows)
+    clashing = docs.withColumnsRenamed({"__words": "__u", "n_removed": "__copies"})
+    repeated = mixing.repeat_copies(clashing, mixed)
+    assert repeated.columns == clashing.columns
+    assert repeated.filter("doc_id is not null and (__u <> 'x' or __copies <> 'y')").isEmpty() and repeated.count() == sum(r["copies"] for r in rows)
     assert mixing.mix_sources(empty, (5, 2, 1)).collect() == []
 
 
@@ -293,6 +297,7 @@ def test_quality_rules(docs, empty):
         assert (r["n_dup_lines"], r["n_repeat_words"]) == (len(full) - len(set(full)), len(again))
         assert r["base_failed"] == (len(w) < 50 or 100 * len(again) > 50 * len(w))
         assert not (r["base_failed"] and r["kept"])
+        assert r["__words"] == "x"
     assert any(r["kept"] for r in got.values())
     assert quality.quality_rules(empty).filter("kept").collect() == []
 
