@@ -3,9 +3,12 @@
 Jaccard distance is a metric, but unrelated documents all lie at distance one, where document pivots
 can't tell them apart. So the first pivots are single shingles: a document within reach of another
 keeps at least one of its first few shingles in any fixed order, and is a member of the region of
-each of those. Inside a region documents are the pivots: distances to them are exact, the triangle
-inequality bounds how far apart the distances of two linked documents can be, and cells with
-boundary documents are joined again.
+each of those. Inside a region its centre is the pivot, the set of the shingles that most members
+have. With the number of differing shingles as the metric, a member's distance to the centre is the
+size of its difference from it, and the triangle inequality bounds the distance of two members from
+both sides: those near the centre link without a look at them, and any other link needs a common
+part of both differences. So members go on to the regions of their differing shingles, each with
+fewer than about half of the members, as the centre has what most have.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.components import least_labels
 from seqloom.llm.words import WordHashes, window_hashes
+from seqloom.operators.joins import heavy_join
 from seqloom.session import materialize
 
 SHINGLE, PERCENT = 5, 80
@@ -27,11 +31,10 @@ SHINGLE, PERCENT = 5, 80
 # counted in a sample of about so many documents, and so many of each at most are kept: this decides
 # about speed, never about the result.
 SAMPLE_DOCS, SAMPLE_ENTRIES = 5_000, 200_000
-# A region is joined directly if it has so few members, or so few outside the component of its pivot. Sizes,
-# places and parities rule out nearly all pairs of strangers, while each round of a split reads sets anew.
-SMALL_REGION, FEW_OUTSIDE = 1024, 32
+# A region of so few members is joined directly; a larger one gets a centre and is joined again by what differs from it.
+SMALL_REGION = 32
+CENTRE_MEMBERS = 64  # about so many members, by a hash of their keys, decide on a centre; this is about speed alone
 DIRECT_PAIRS = 10_000  # so few pairs are measured at once, more in rounds
-PIVOTS = 8  # of a larger region, in each round
 # So many classes at most are sent to all tasks to fetch their texts, some 10 MB; more are joined by id.
 BROADCAST_ROWS = 250_000
 BROADCAST_BYTES = 32 << 20
@@ -178,9 +181,9 @@ class _Measure:
     def __init__(self, read: DataFrame, classes: DataFrame, size: int, percent: int):
         self.read, self.classes, self.size, self.percent = read, classes, size, percent
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        wanted = ends.join(self.classes.select("key", "digest", F.col("first_id").alias("doc_id")), "key")
+    def sets(self, keys: DataFrame) -> DataFrame:
+        """``key``, ``shingles`` of the given keys."""
+        wanted = keys.join(self.classes.select("key", "digest", F.col("first_id").alias("doc_id")), "key")
         wanted = materialize(wanted, "wanted-sets")
         few = wanted.count() <= BROADCAST_ROWS
         met = self.read.join(F.broadcast(wanted) if few else wanted, "doc_id").select("key", "digest", "text")
@@ -197,7 +200,7 @@ class _Measure:
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """Pairs (``a``, ``b``) with their distance and whether they link."""
         pairs = materialize(pairs, "pairs")
-        sets = self.sets(pairs)
+        sets = self.sets(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
         named = lambda k, s: sets.select(F.col("key").alias(k), F.col("shingles").alias(s))
         # Pivots are few: their sets go to all tasks if they are small together, so that the others' sets
         # aren't sent once for each of their pivots.
@@ -229,37 +232,76 @@ def _labels(reps: DataFrame, links: DataFrame) -> DataFrame:
     return least_labels(nodes, links).select(F.col("node").alias("key"), F.col("label").alias("component"))
 
 
-def _split(open_rows: DataFrame, measure: _Measure, percent: int) -> tuple[DataFrame, DataFrame]:
-    """One round over large regions: links to the round's pivots, and the members' next regions.
+def _members_of_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for region, shingles in zip(batch.column("region"), batch.column("shingles")):
+            found = np.frombuffer(shingles.as_buffer(), np.int64)
+            arrays = [pa.array(np.full(len(found), region.as_py(), np.int64)), pa.array(found)]
+            yield pa.RecordBatch.from_arrays(arrays, ["region", "shingle"])
+
 
-    Each member is at home in the cell of its nearest pivot. Of two members at most ``reach`` apart,
-    one lies within twice the reach of its own home distance from the other's pivot, so a member is
-    also in all cells that are so near. Where cells would have more rows than the region, the region
-    stays whole; its pivots are done either way.
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for shingles, centre in zip(batch.column("shingles"), batch.column("centre")):
+            near = np.array([] if not centre.is_valid else centre.values.to_numpy(zero_copy_only=False), np.int64)
+            mine = np.frombuffer(shingles.as_buffer(), np.int64)
+            # What the centre hasn't comes first: it is rarer than what a member lacks.
+            more, less = (np.setdiff1d(x, y, assume_unique=True) for x, y in ((mine, near), (near, mine)))
+            rows.append(np.concatenate([np.sort(more), np.sort(less)]))
+        differ = pa.array(rows, pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("region", "key", "n")), differ], ["region", "key", "n", "differ"])
+
+
+def _recentre(large: DataFrame, measure: _Measure, percent: int) -> tuple[DataFrame, DataFrame]:
+    """One round over large regions: links that the centres prove, and the members' next regions.
+
+    With H for the number of shingles that two sets of n and m don't share, they link if and only if
+    (100 + percent) * H <= (100 - percent) * (n + m). The slack of a member, (100 + percent) * size of its
+    difference - (100 - percent) * n, puts the triangle inequality in two lines: two members link if their
+    slacks sum to zero at most, and otherwise, if they link, their differences have at least the
+    (2 * (100 + percent))th part of that sum in common. The member of least slack is the core. Members inside
+    link with it; any open link has an end outside, so it needs a common part, and a prefix of both differences
+    in one order holds a shingle of it. A member outside may need a longer prefix to meet one inside: the
+    further part is ``wide`` and meets none outside.
     """
-    reach = 1 - percent / 100
-    rank = F.row_number().over(Window.partitionBy("region").orderBy("rare", "key"))
-    ranked = materialize(open_rows.withColumn("rank", rank), "ranked-members")
-    pivots = ranked.filter(F.col("rank") <= PIVOTS).select("region", F.col("key").alias("b"))
-    meet = ranked.select("region", F.col("key").alias("a")).join(pivots, "region").filter("a <> b")
-    meet = materialize(meet, "member-pivots")
-    measured = measure(meet.select("a", "b").distinct())
-    near = meet.join(measured, ["a", "b"]).groupBy("region", "a").agg(
-        F.collect_list(F.struct("distance", "b")).alias("near"), F.min("distance").alias("home")
-    )
-    rest = ranked.filter(F.col("rank") > PIVOTS).join(near.withColumnRenamed("a", "key"), ["region", "key"])
-    cells = F.filter("near", lambda c: c["distance"] <= F.col("home") + 2 * reach + 1e-9)
-    rest = rest.withColumn("cells", F.transform(cells, lambda c: c["b"]))
-    whole = Window.partitionBy("region")
-    rest = rest.withColumn("grows", F.sum(F.size("cells")).over(whole) > F.count(F.lit(1)).over(whole))
-    cell = F.when(F.col("grows"), F.array(F.lit(None).cast("long"))).otherwise(F.col("cells"))
-    rest = rest.withColumn("cell", F.explode(cell))
-    region = F.when(F.col("cell").isNull(), F.col("region")).otherwise(F.xxhash64("region", "cell"))
-    # What is left of a region is seen from one of its pivots, so that members of its component are known.
-    seen = F.coalesce("cell", F.array_min(F.transform("near", lambda c: c["b"])))
-    rest = rest.withColumn("pivot", seen)
-    distance = F.get(F.filter("near", lambda c: c["b"] == F.col("pivot")), 0)["distance"]
-    return measured, rest.select(region.alias("region"), "key", "n", "rare", "at", "pivot", distance.alias("distance"))
+    up, down = 100 + percent, 100 - percent
+    # Regions of the same members give the same links: one of them goes on.
+    same = large.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("key")).alias("sum"))
+    same = same.groupBy("members", "sum").agg(F.min("region").alias("region")).select("region", "members")
+    rows = materialize(large.join(same, "region").select("region", "key", "n", "members"), "region-members")
+    sets = measure.sets(rows.select("key").distinct())
+
+    draw = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 20)) * F.col("members")
+    sampled = rows.filter(draw < F.lit(CENTRE_MEMBERS << 20))
+    drawn = sampled.groupBy("region").agg(F.count(F.lit(1)).alias("drawn"))
+    held = sampled.join(sets, "key").select("region", "shingles").mapInArrow(_members_of_centre, "region long, shingle long")
+    held = held.groupBy("region", "shingle").count().join(drawn, "region").filter("2 * count > drawn")
+    centres = materialize(held.groupBy("region").agg(F.collect_list("shingle").alias("centre")), "centres")
+    small = (centres.agg(F.sum(8 * F.size("centre"))).first()[0] or 0) <= BROADCAST_BYTES
+    met = rows.join(sets, "key")
+    met = met.join(F.broadcast(centres), "region", "left") if small else heavy_join(met, centres, "region", ["key"], "left")
+    met = met.select("region", "key", "n", "shingles", "centre")
+    met = met.mapInArrow(_differences, "region long, key long, n int, differ array<long>")
+    size = F.size("differ")
+    met = materialize(met.withColumn("size", size).withColumn("slack", (up * size - down * F.col("n")).cast("long")), "differences")
+
+    cores = met.groupBy("region").agg(F.min(F.struct("slack", "key")).alias("core"))
+    met = heavy_join(met, materialize(cores, "cores"), "region", ["key"])
+    met = met.withColumn("inside", F.col("slack") + F.col("core.slack") <= 0)
+    links = met.filter("inside and key <> core.key").select(F.col("key").alias("a"), F.col("core.key").alias("b"))
+    links = materialize(links.distinct(), "core-links")
+
+    # The least slack of a partner: by the regions' members, and by the distance between both.
+    by_distance = F.col("slack") - F.ceil(F.lit(200 * down) * F.col("n") / percent)
+    least_outside = F.greatest("core.slack", 1 - F.col("core.slack"))
+    common = lambda least: F.greatest(F.lit(1), F.ceil((F.col("slack") + F.greatest(least, by_distance)) / (2 * up)))
+    met = met.withColumn("narrow", F.col("size") - common(least_outside) + 1)
+    met = met.withColumn("length", F.when(F.col("inside"), F.col("narrow")).otherwise(F.col("size") - common(F.col("core.slack")) + 1))
+    prefix = F.slice("differ", 1, F.greatest(F.lit(0), F.col("length")).cast("int"))
+    met = met.select("region", "key", "n", "size", "slack", "inside", "narrow", F.posexplode(prefix).alias("at", "shingle"))
+    region = F.xxhash64("region", "shingle").alias("region")
+    return links, met.select(region, "key", "n", "size", "slack", "inside", (F.col("at") >= F.col("narrow")).alias("wide"), "at")
 
 
 def jaccard_components(
@@ -277,7 +319,8 @@ def jaccard_components(
     3. Each region's pivot is the member with the fewest rare shingles, as the original of a family
        of edited copies is. All members are measured against it, exactly.
     4. Members that now share a component are settled. What is left of a region is joined directly
-       if few pairs are left, else it is split into the cells of more pivots and joined again.
+       if it has few members, else its centre settles those around it, and the others are joined
+       again in the regions of their differences, of about half the members at most.
 
     Links inside a component that is known already aren't measured. Shingles are 64-bit hashes, sets
     are told apart by 128 bits. Rows without an id have their count, null class and component, and
@@ -313,19 +356,18 @@ def jaccard_components(
     links = measured.filter("linked").select("a", "b")
     labels = materialize(_labels(reps, links), "components")
 
-    known = measured.select(F.col("a").alias("key"), F.col("b").alias("to"), "distance")
-    left = members.filter(F.col("key") != F.col("pivot.key"))
-    left = left.join(known, (left["key"] == known["key"]) & (F.col("pivot.key") == F.col("to")), "left").drop(known["key"], "to")
-    left = left.select("region", "key", "n", "rare", "at", F.col("pivot.key").alias("pivot"), "distance")
+    # The first regions are those of an empty centre: a set is its own difference.
+    plain = {"size": F.col("n"), "slack": 2 * percent * F.col("n").cast("long"), "inside": F.lit(False), "wide": F.lit(False)}
+    left = members.withColumns(plain).select("region", "key", "n", *plain, "at")
     done = [links]
     while True:
-        small, large = _open_regions(left, labels)
+        small, large = _open_regions(left, labels, percent)
         found, labels = _connect(measure, reps, measure.may_link(_direct(small, percent)), labels, _all(done))
         done.append(found)
         if large.isEmpty():
             break
-        measured, left = _split(large, measure, percent)
-        done.append(measured.filter("linked").select("a", "b"))
+        links, left = _recentre(large, measure, percent)
+        done.append(links)
         left = materialize(left, "members")
         labels = materialize(_labels(reps, _all(done)), "components")
     named = reps.select("key", "digest", "first_id").join(labels, "key", "left")
@@ -369,37 +411,43 @@ def _all(links: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def _open_regions(left: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of regions that still hold two components or more: those to join directly (``outside`` is
-    true for members that aren't of the pivot's component), and those to split."""
-    alone = F.struct(F.lit(None).cast("long").alias("id"), F.col("key").alias("node"))
-    mine = left.join(labels, "key", "left").withColumn("component", F.coalesce("component", alone))
-    pivots = labels.select(F.col("key").alias("pivot"), F.col("component.node").alias("of_pivot"))
-    mine = mine.join(pivots, "pivot", "left").withColumn("mine", F.col("component.node"))
-    region = Window.partitionBy("region")
-    mine = mine.withColumn("outside", ~F.coalesce(F.col("mine") == F.col("of_pivot"), F.lit(False)))
-    mine = mine.withColumns(
-        {
-            "least": F.min("mine").over(region),
-            "most": F.max("mine").over(region),
-            "members": F.count(F.lit(1)).over(region),
-            "n_outside": F.sum(F.col("outside").cast("int")).over(region),
-        }
-    )
-    mine = materialize(mine.filter("least <> most").drop("least", "most", "of_pivot", "component"), "open-members")
-    few = (F.col("members") <= SMALL_REGION) | (F.col("n_outside") <= FEW_OUTSIDE)
-    small = mine.filter(few)
-    large = mine.filter(~few).select("region", "key", "n", "rare", "at")
-    return small, large
+def _open_regions(left: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members, with their component's node as ``mine``, of regions that still hold two components or more and a
+    member outside: those to join directly, and those to give a centre."""
+    mine = left.join(labels.select("key", F.col("component.node").alias("node")), "key", "left")
+    mine = materialize(mine.withColumn("mine", F.coalesce("node", "key")).drop("node"), "placed-members")
+    regions = _live(mine, F.min(F.when(F.col("inside"), F.col("slack"))).alias("of_inside"),
+                    F.min(F.when(~F.col("inside"), F.col("slack"))).alias("of_outside"),
+                    F.min(F.when(~(F.col("inside") | F.col("wide")), F.col("slack"))).alias("of_narrow"))
+    mine = heavy_join(mine, materialize(regions, "live-regions"), "region", ["key"])
+    # Of the shingles that a pair shares in both prefixes, the first is at a place from which on enough can be in common.
+    partner = F.when(F.col("inside"), F.col("of_outside")).when(F.col("wide"), F.col("of_inside"))
+    partner = partner.otherwise(F.least("of_inside", "of_narrow"))
+    enough = 2 * (100 + percent) * (F.col("size") - F.col("at")) >= F.col("slack") + partner
+    mine = materialize(mine.filter(enough).select(*left.columns, "mine"), "placed-members")
+    regions = materialize(_live(mine, F.count(F.lit(1)).alias("members")), "live-regions")
+    mine = materialize(heavy_join(mine, regions, "region", ["key"]), "open-members")
+    few = F.col("members") <= SMALL_REGION
+    return mine.filter(few).drop("members"), mine.filter(~few).select("region", "key", "n").distinct()
+
+
+def _live(members: DataFrame, *more: Column) -> DataFrame:
+    """Regions of two components or more with a member outside."""
+    of = members.groupBy("region").agg(F.min("mine").alias("least"), F.max("mine").alias("most"), F.every("inside").alias("settled"), *more)
+    return of.filter("least <> most and not settled").drop("least", "most", "settled")
 
 
 def _direct(small: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a small region that lie in different components and may link: at least one is outside the
-    pivot's component, and their distances to the pivot differ by the reach at most."""
-    reach = 1 - percent / 100
-    x = small.filter("outside").select("region", F.struct("key", "n", "at", "mine", "distance").alias("x"))
-    y = small.select("region", F.struct("key", "n", "at", "mine", "distance", "outside").alias("y"))
-    once = ~F.col("y.outside") | (F.col("x.key") < F.col("y.key"))
-    near = F.coalesce(F.abs(F.col("x.distance") - F.col("y.distance")) <= reach + 1e-9, F.lit(True))
-    met = x.join(y, "region").filter((F.col("x.mine") != F.col("y.mine")) & once & near & _may_link("x", "y", percent))
-    return met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    """Pairs of a small region that lie in different components and may link: by their sizes, by the sizes of their
+    differences (the triangle inequality), and by what can be in common from the place of the shared shingle on."""
+    up, down = 100 + percent, 100 - percent
+    side = lambda x: small.select("region", F.struct("key", "n", "size", "slack", "inside", "wide", "at", "mine").alias(x))
+    x, y = (lambda name: F.col(f"x.{name}")), (lambda name: F.col(f"y.{name}"))
+    both = x("n") + y("n")
+    near = (100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))) & (up * F.abs(x("size") - y("size")) <= down * both)
+    left = F.least(x("size") - x("at"), y("size") - y("at"))
+    enough = 2 * up * left >= x("slack") + y("slack")
+    roles = (x("inside") != y("inside")) | ~(x("inside") | x("wide") | y("wide"))
+    apart = (x("key") < y("key")) & (x("mine") != y("mine"))
+    met = side("x").join(side("y"), "region").filter(apart & roles & near & enough)
+    return met.select(x("key").alias("a"), y("key").alias("b")).distinct()

@@ -237,10 +237,10 @@ def brute_components(size, percent):
     return {i: (len(s), least[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("limits", [None, (2, 1, 2, 3)])
+@pytest.mark.parametrize("limits", [None, (2, 3, 3)])
 def test_jaccard_join(docs, empty, monkeypatch, limits):
     if limits:
-        for name, value in zip(("SMALL_REGION", "FEW_OUTSIDE", "PIVOTS", "DIRECT_PAIRS"), limits):
+        for name, value in zip(("SMALL_REGION", "CENTRE_MEMBERS", "DIRECT_PAIRS"), limits):
             monkeypatch.setattr(jaccard, name, value)
     rows = jaccard.jaccard_components(docs, 3, 90).collect()
     assert len(rows) == len(TEXTS) + 3
@@ -251,6 +251,37 @@ def test_jaccard_join(docs, empty, monkeypatch, limits):
         assert jaccard.jaccard_components(empty).collect() == []
 
 
+@pytest.mark.parametrize("size,percent,members", [(3, 90, 32), (3, 90, 4), (5, 80, 32)])
+def test_jaccard_join_of_a_family(spark, monkeypatch, size, percent, members):
+    """A family of edited copies, some of them families of their own, against all pairs; centres are at work."""
+    draw = random.Random(size)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    root = draw.choices(vocabulary, k=200)
+    texts = []
+    for k in range(400):
+        copy = list(root if k % 5 or k < 20 else texts[k // 5].split())
+        for _ in range(draw.randint(0, 9)):
+            at = draw.randrange(len(copy))
+            copy[at : at + 1] = [] if k % 2 else [draw.choice(vocabulary[: 3000 if k % 3 else 20])]
+        texts.append(" ".join(copy))
+    texts += [" ".join(draw.choices(vocabulary, k=150)) for _ in range(40)]
+    sets = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in map(str.split, texts)]
+    label = list(range(len(sets)))
+    for a, x in enumerate(sets):
+        for b in range(a):
+            both = len(x & sets[b])
+            if label[a] != label[b] and 100 * both >= percent * (len(x) + len(sets[b]) - both):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if v == old else v for v in label]
+    rounds = []
+    recentre = jaccard._recentre
+    monkeypatch.setattr(jaccard, "_recentre", lambda *args: rounds.append(1) or recentre(*args))
+    monkeypatch.setattr(jaccard, "SMALL_REGION", members)
+    got = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size, percent)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(label))
+    assert 1 < len(set(label)) - 40 < 390 and 1 <= len(rounds) <= 12
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix_sources(docs, (5, 2, 1)).collect()
     size = lambda t: len(WORD.findall(t or ""))
