@@ -32,8 +32,8 @@ SHINGLE, PERCENT = 5, 80
 # about speed, never about the result.
 SAMPLE_DOCS, SAMPLE_ENTRIES = 5_000, 200_000
 # A region of so few members is joined directly; a larger one gets a centre and is joined again by what differs from it.
-SMALL_REGION = 32
-CENTRE_MEMBERS = 64  # about so many members, by a hash of their keys, decide on a centre; this is about speed alone
+SMALL_REGION = 256
+CENTRE_MEMBERS = 15  # about so many members, by a hash of their keys, decide on a centre; this is about speed alone
 DIRECT_PAIRS = 10_000  # so few pairs are measured at once, more in rounds
 # So many classes at most are sent to all tasks to fetch their texts, some 10 MB; more are joined by id.
 BROADCAST_ROWS = 250_000
@@ -240,17 +240,26 @@ def _members_of_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays(arrays, ["region", "shingle"])
 
 
-def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for shingles, centre in zip(batch.column("shingles"), batch.column("centre")):
-            near = np.array([] if not centre.is_valid else centre.values.to_numpy(zero_copy_only=False), np.int64)
-            mine = np.frombuffer(shingles.as_buffer(), np.int64)
-            # What the centre hasn't comes first: it is rarer than what a member lacks.
-            more, less = (np.setdiff1d(x, y, assume_unique=True) for x, y in ((mine, near), (near, mine)))
-            rows.append(np.concatenate([np.sort(more), np.sort(less)]))
-        differ = pa.array(rows, pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("region", "key", "n")), differ], ["region", "key", "n", "differ"])
+def _differences(percent: int):
+    """Sizes of the differences from the centres, and of each the longest prefix that any partner may need."""
+    up, down = 100 + percent, 100 - percent
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, prefixes = [], []
+            for n, shingles, centre in zip(*(batch.column(c) for c in ("n", "shingles", "centre"))):
+                near = np.array([] if not centre.is_valid else centre.values.to_numpy(zero_copy_only=False), np.int64)
+                mine = np.frombuffer(shingles.as_buffer(), np.int64)
+                # What the centre hasn't comes first: it is rarer than what a member lacks.
+                more, less = (np.setdiff1d(x, y, assume_unique=True) for x, y in ((mine, near), (near, mine)))
+                size, slack = len(more) + len(less), up * (len(more) + len(less)) - down * n.as_py()
+                common = max(1, -(-(2 * slack + (-200 * down * n.as_py() // percent)) // (2 * up)))
+                sizes.append(size)
+                prefixes.append(np.concatenate([np.sort(more), np.sort(less)])[: max(0, size - common + 1)])
+            arrays = [*(batch.column(c) for c in ("region", "key", "n")), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["region", "key", "n", "size", "differ"])
+
+    return differ
 
 
 def _recentre(large: DataFrame, measure: _Measure, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -282,9 +291,8 @@ def _recentre(large: DataFrame, measure: _Measure, percent: int) -> tuple[DataFr
     met = rows.join(sets, "key")
     met = met.join(F.broadcast(centres), "region", "left") if small else heavy_join(met, centres, "region", ["key"], "left")
     met = met.select("region", "key", "n", "shingles", "centre")
-    met = met.mapInArrow(_differences, "region long, key long, n int, differ array<long>")
-    size = F.size("differ")
-    met = materialize(met.withColumn("size", size).withColumn("slack", (up * size - down * F.col("n")).cast("long")), "differences")
+    met = met.mapInArrow(_differences(percent), "region long, key long, n int, size int, differ array<long>")
+    met = materialize(met.withColumn("slack", (up * F.col("size") - down * F.col("n")).cast("long")), "differences")
 
     cores = met.groupBy("region").agg(F.min(F.struct("slack", "key")).alias("core"))
     met = heavy_join(met, materialize(cores, "cores"), "region", ["key"])

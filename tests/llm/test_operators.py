@@ -251,7 +251,7 @@ def test_jaccard_join(docs, empty, monkeypatch, limits):
         assert jaccard.jaccard_components(empty).collect() == []
 
 
-@pytest.mark.parametrize("size,percent,members", [(3, 90, 32), (3, 90, 4), (5, 80, 32)])
+@pytest.mark.parametrize("size,percent,members", [(3, 90, 8), (5, 80, 32)])
 def test_jaccard_join_of_a_family(spark, monkeypatch, size, percent, members):
     """A family of edited copies, some of them families of their own, against all pairs; centres are at work."""
     draw = random.Random(size)
