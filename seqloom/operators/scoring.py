@@ -7,6 +7,7 @@ whose measured size is small is broadcast instead, and users stay where they are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -26,8 +27,8 @@ BROADCAST_BYTES = 64 << 20
 USERS_PER_BATCH = 8192
 ITEMS_PER_BLOCK = 32768
 CELL_BYTES = 256 << 20
-# Score rows held at once inside a task.
-SCORE_CELLS = 4_000_000
+# Scores held at once inside a task: some ten arrays of as many numbers stand beside them while they are worked on.
+SCORE_CELLS = 500_000
 COLUMN_GROUP = 64
 # Dimensions that are averaged as columns of their own.
 MAX_SUM_COLUMNS = 512
@@ -139,8 +140,10 @@ def _flat_masks(row: np.ndarray, lists: pd.Series) -> tuple[np.ndarray, np.ndarr
 
 def _cells(users: pd.DataFrame, mask_row: np.ndarray, mask_item: np.ndarray, item_ids: np.ndarray, items: np.ndarray):
     """Masked score slices of one user batch against one item block."""
+    order = np.argsort(mask_row, kind="stable")
+    mask_row, mask_item = mask_row[order], mask_item[order]
     for part, scores in _scores(_matrix(users["vec"]), items):
-        here = (mask_row >= part.start) & (mask_row < part.start + len(scores))
+        here = slice(*np.searchsorted(mask_row, (part.start, part.start + len(scores))))
         yield part, _masked(scores, mask_row[here] - part.start, mask_item[here], item_ids)
 
 
@@ -151,6 +154,14 @@ def _top_k_cell(users, mask_row, mask_item, item_ids, items, k) -> Iterator[pd.D
         yield pd.DataFrame({"user_id": ids[part][rows], "item_id": item_ids[cols], "score": values})
 
 
+def _score_cell(users, mask_row, mask_item, item_ids, items, k) -> Iterator[pd.DataFrame]:
+    """Every finite score, in no order."""
+    ids = users["user_id"].to_numpy()
+    for part, scores in _cells(users, mask_row, mask_item, item_ids, items):
+        rows, cols = np.nonzero(np.isfinite(scores))
+        yield pd.DataFrame({"user_id": ids[part][rows], "item_id": item_ids[cols], "score": np.round(scores[rows, cols], SCORE_DIGITS)})
+
+
 def _rank_cell(users, mask_row, mask_item, item_ids, items, k) -> Iterator[pd.DataFrame]:
     """Per user: how many unmasked items score above, level with the target, and at all."""
     ids, target = users["user_id"].to_numpy(), users["target_score"].to_numpy()
@@ -168,21 +179,34 @@ RANK_SCHEMA = "user_id long, above long, level long, finite long"
 
 
 def _over_catalog(
-    users: DataFrame, item_vecs: DataFrame, masks: DataFrame | None, cell, schema: str, k: int, broadcast_bytes: int
+    users: DataFrame,
+    item_vecs: DataFrame,
+    masks: DataFrame | None,
+    cell,
+    schema: str,
+    k: int,
+    broadcast_bytes: int,
+    cell_scores: int | None = None,
 ) -> DataFrame:
-    """Run ``cell`` over every user and every item; a user may get one result per item block."""
+    """Run ``cell`` over every user and every item; a user may get one result per item block.
+
+    ``cell_scores`` bounds the scores of a user batch and an item block, for cells that return them all.
+    """
     size = item_vecs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
     if masks is None:
-        masks = users.sparkSession.createDataFrame([], "user_id long, item_id long")
+        masks = users.sparkSession.range(0).selectExpr("id as user_id", "id as item_id")  # starts no Python worker
     if size["n"] * (size["dim"] or 1) * 8 <= broadcast_bytes:
         return _with_broadcast_items(users, item_vecs, masks, cell, schema, k)
-    return _with_item_blocks(users, item_vecs, masks, cell, schema, k, size["n"], size["dim"] or 1)
+    shape = cell_shape(size["dim"] or 1, cell_scores=cell_scores)
+    return _with_item_blocks(users, item_vecs, masks, cell, schema, k, size["n"], shape)
 
 
-def cell_shape(dimension: int, cell_bytes: int | None = None) -> tuple[int, int]:
+def cell_shape(dimension: int, cell_bytes: int | None = None, cell_scores: int | None = None) -> tuple[int, int]:
     """Users and items of a cell: four items for each user, as both sides stand in memory twice, as rows and as
-    a matrix of float64 values."""
+    a matrix of float64 values; at most ``cell_scores`` scores where they are all returned."""
     users = max(1, (cell_bytes or CELL_BYTES) // (5 * 2 * 8 * dimension))
+    if cell_scores is not None:
+        users = max(1, min(users, math.isqrt(cell_scores // 4)))
     return min(USERS_PER_BATCH, users), min(ITEMS_PER_BLOCK, 4 * users)
 
 
@@ -212,14 +236,14 @@ def _with_broadcast_items(users, item_vecs, masks, cell, schema, k) -> DataFrame
     return users.join(per_user, "user_id", "left").mapInPandas(score, schema)
 
 
-def _with_item_blocks(users, item_vecs, masks, cell, schema, k, n_items, dim) -> DataFrame:
+def _with_item_blocks(users, item_vecs, masks, cell, schema, k, n_items, shape) -> DataFrame:
     """Grid of user batches and item blocks, joined by their two numbers.
 
     Batches and blocks come from hashes of unique ids, so they are even whatever the data look
     like. A user row is sent once per block, an item row once per batch, a mask exactly once: the
     masks of a user within one block are a list no longer than the block.
     """
-    per_batch, per_block = cell_shape(dim)
+    per_batch, per_block = shape
     blocks = -(-n_items // per_block)
     batches = max(1, -(-users.count() // per_batch))
     batch = F.pmod(F.xxhash64("user_id"), F.lit(batches)).alias("_batch")
@@ -307,10 +331,12 @@ def top_k_of_catalog(
 
 
 def score_full_catalog(user_vecs: DataFrame, item_vecs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Every user's cosine with every item, in long form. Prefer :func:`top_k_of_catalog`."""
-    items = normalized(item_vecs)
+    """Every user's cosine with every item, in long form. Prefer :func:`top_k_of_catalog`.
+
+    Scores leave a task in parts of ``SCORE_CELLS``, unsorted, so its memory does not depend on their number.
+    """
     return _over_catalog(
-        normalized(user_vecs), items, None, _top_k_cell, TOP_K_SCHEMA, max(1, items.count()), broadcast_bytes
+        normalized(user_vecs), normalized(item_vecs), None, _score_cell, TOP_K_SCHEMA, 0, broadcast_bytes, SCORE_CELLS
     )
 
 

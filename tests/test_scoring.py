@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,24 @@ def test_long_form_and_masking(spark, data):
     assert left.count() == int(np.isfinite(scores).sum())
 
 
+@pytest.mark.parametrize("bound", [7, 200])
+def test_all_scores_come_in_bounded_parts(spark, data, monkeypatch, bound):
+    """Neither a batch of users nor a cell of users and items is returned whole."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(50, DIM))
+    monkeypatch.setattr(scoring, "SCORE_CELLS", bound)
+    users = pd.DataFrame({"user_id": np.arange(50), "vec": list(vectors)})
+    nothing = np.zeros(0, dtype="int64")
+    parts = list(scoring._score_cell(users, nothing, nothing, np.arange(5), vectors[:5], 0))
+    assert max(map(len, parts)) <= bound and sum(map(len, parts)) == 250
+    per_batch, per_block = scoring.cell_shape(DIM, cell_scores=bound)
+    assert per_batch * per_block <= bound
+    (users, items, _), _ = data
+    got = {r[:2]: r[2] for r in scoring.score_full_catalog(users, items, 0).collect()}
+    want = {r[:2]: r[2] for r in scoring.score_full_catalog(users, items).collect()}
+    assert len(got) == USERS * (ITEMS - 1) and got == pytest.approx(want, abs=1e-8)
+
+
 def test_target_scores_mask_repeats(spark, data):
     (users, items, seen), scores = data
     examples = spark.createDataFrame([(0, 1), (1, ITEMS - 1)], "user_id long, target long")
