@@ -12,7 +12,7 @@ from seqloom.functions.arrays import (
 )
 from seqloom.functions.hashing import hash_bits, hash_slot
 from seqloom.functions.scalars import cutoff, trunc
-from seqloom.functions.words import join_text, lexical_overlap, ngrams, words
+from seqloom.functions.words import hashed_ngrams, join_text, lexical_overlap, ngrams, words
 
 __all__ = [
     "cosine",
@@ -20,6 +20,7 @@ __all__ = [
     "dot",
     "hash_bits",
     "hash_slot",
+    "hashed_ngrams",
     "join_text",
     "l2_normalize",
     "lexical_overlap",

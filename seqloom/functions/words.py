@@ -30,6 +30,18 @@ def ngrams(word_list: Column, n: int) -> Column:
     return let(word_list, grams)
 
 
+def hashed_ngrams(word_list: Column, n: int) -> Column:
+    """:func:`ngrams` as 64-bit hashes over the hashes of their words; no gram is built as text."""
+
+    def grams(found: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(found) - n, F.lit(0)))
+        # A place behind the last word is null, which the hash passes over.
+        every = F.transform(starts, lambda i: F.xxhash64(*[F.get(found, i + j) for j in range(n)]))
+        return F.when(F.size(found) > 0, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(word_list, lambda w: F.xxhash64(w)), grams)
+
+
 def lexical_overlap(a: Column, b: Column) -> tuple[Column, Column]:
     """Jaccard and containment (share of the smaller set) of two gram sets; empty sets give 0."""
     shared = F.size(F.array_intersect(a, b))

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions import dot, hash_slot, lexical_overlap, ngrams, words
+from seqloom.functions import dot, hash_slot, hashed_ngrams, lexical_overlap, words
 from seqloom.operators.joins import heavy_join
 from seqloom.operators.ordering import exact_percentiles, global_rank
 from seqloom.operators.scoring import BROADCAST_BYTES, best_of_stream, normalized
@@ -31,6 +31,7 @@ CLOSE = 0.85
 
 # Letters, digits and underscores: what the column functions take for a word.
 _WORD = re.compile(r"\w+")
+GRAM_BYTES = 32  # of a hashed gram in a broadcast table
 REMEMBERED_WORDS = 1 << 18  # slots that one task remembers
 
 
@@ -75,14 +76,9 @@ def knn_cosine(query: DataFrame, corpus: DataFrame, k: int = NEIGHBOURS, broadca
     )
 
 
-def _gram_sets(texts: DataFrame, n: int, grams: str) -> DataFrame:
-    return texts.withColumn(grams, ngrams(words(F.col("text")), n))
-
-
 def _hashed_sets(texts: DataFrame, key: str, n: int, grams: str) -> DataFrame:
     """The gram sets as 64-bit hashes, without the texts."""
-    hashes = F.transform(grams, lambda g: F.xxhash64(g))
-    return _gram_sets(texts.select(key, "text"), n, grams).select(key, hashes.alias(grams))
+    return texts.select(key, hashed_ngrams(words(F.col("text")), n).alias(grams))
 
 
 def pair_overlap(pairs: DataFrame, query: DataFrame, corpus: DataFrame, n: int = GRAM) -> DataFrame:
@@ -173,7 +169,9 @@ def classify_pairs(pairs: DataFrame, n: int = GRAM) -> DataFrame:
     return pairs.withColumn("pair_class", kind)
 
 
-def near_verbatim_pairs(query: DataFrame, corpus: DataFrame, n: int = GRAM, above: float = NEAR_VERBATIM) -> DataFrame:
+def near_verbatim_pairs(
+    query: DataFrame, corpus: DataFrame, n: int = GRAM, above: float = NEAR_VERBATIM, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """All (query, corpus) pairs whose gram containment is above ``above``, found without vectors.
 
     Exact, without a limit on frequent grams; a gram of very many texts is split over tasks. A pair above the level shares more than
@@ -184,9 +182,14 @@ def near_verbatim_pairs(query: DataFrame, corpus: DataFrame, n: int = GRAM, abov
     """
     q = materialize(_gram_rows(query.select("query_id", "text"), "query_id", n), "query-grams")
     c = _gram_rows(corpus.select("corpus_id", "text"), "corpus_id", n)
-    # From here on only corpus grams that some query has.
-    by_text = ["corpus_id"]
-    c = materialize(heavy_join(c, q.select("gram").distinct(), "gram", by_text, "left_semi"), "corpus-grams")
+    # From here on only corpus grams that some query has. Where those of the queries fit into every task, the corpus is
+    # read once and nothing of it moves; else its grams are counted first, so that heavy ones are split.
+    by_text, asked = ["corpus_id"], q.select("gram").distinct()
+    if asked.count() * GRAM_BYTES <= broadcast_bytes:
+        c = c.join(F.broadcast(asked), "gram", "left_semi")
+    else:
+        c = heavy_join(c, asked, "gram", by_text, "left_semi")
+    c = materialize(c, "corpus-grams")
     frequency = materialize(c.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram-frequency")
     q = _rarest(q.join(frequency, "gram"), "query_id", above)
     sizes = frequency.withColumnRenamed("df", "n")
@@ -203,11 +206,9 @@ def near_verbatim_pairs(query: DataFrame, corpus: DataFrame, n: int = GRAM, abov
 
 
 def _gram_rows(texts: DataFrame, key: str, n: int) -> DataFrame:
-    sets = _gram_sets(texts, n, "_grams")
-    hashes = F.transform("_grams", lambda g: F.xxhash64(g))
     # The size comes first, so that the set itself is not copied into every exploded row. The outer
     # form, because the inner one filters on the set and so builds it twice.
-    sized = sets.select(key, F.size("_grams").alias("size"), hashes.alias("_hashes"))
+    sized = _hashed_sets(texts, key, n, "_hashes").select(key, F.size("_hashes").alias("size"), "_hashes")
     return sized.select(key, "size", F.explode_outer("_hashes").alias("gram")).filter("gram is not null")
 
 
