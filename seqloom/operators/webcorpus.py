@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,8 @@ from seqloom.session import materialize
 
 # Characters of a subword, and the weight decay of the relevance filter.
 SUBWORD, RIDGE = 4, 1e-3
-SLICE_TEXTS = 256  # whose slots are counted at once
+SLICE_TEXTS, SLICE_SLOTS = 256, 1 << 20  # texts and their slots, repeats included, that are counted at once
+SLICE_WORDS = 1 << 20  # of texts whose distinct words are hashed at once
 SITE = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)"
 # White space around a URL, and what is left out inside it.
 URL_EDGE, URL_BREAK = r"^[\t\n\f\r ]+|[\t\n\f\r ]+$", r"[\t\n\r]"
@@ -39,10 +39,44 @@ class RelevanceModel:
     bias: float
     subword: int
 
-def _slots_of(word: str, features: int, subword: int) -> list[int]:
-    marked = f"<{word}>"
-    runs = [marked[i : i + subword] for i in range(len(marked) - subword + 1)] if len(marked) > subword else []
-    return [zlib.crc32(f.encode()) % features for f in (marked, *runs)]
+def _crc_tables(length: int) -> tuple[int, list[np.ndarray]]:
+    """CRC-32 of ``length`` zero bytes, and by place and byte what that byte changes in it: changes add up by xor."""
+    zero = bytes(length)
+    base = zlib.crc32(zero)
+    put = lambda i, b: zlib.crc32(zero[:i] + bytes([b]) + zero[i + 1 :]) ^ base
+    return base, [np.array([put(i, b) for b in range(256)], np.int64) for i in range(length)]
+
+
+def _slots_of(found: list[str], features: int, subword: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word its own slot, where the slots of its runs begin and how many they are; then the slots of all runs.
+
+    Runs of ASCII words are hashed as windows over their joined bytes, those of other words one by one.
+    """
+    marked = [f"<{w}>" for w in found]
+    coded = [m.encode() for m in marked]
+    whole = np.fromiter(map(zlib.crc32, coded), np.int64, len(coded)) % features
+    lengths, plain = np.fromiter(map(len, marked), np.int64, len(coded)), np.fromiter(map(str.isascii, marked), bool, len(coded))
+    runs = np.where(lengths > subword, lengths - subword + 1, 0)
+    data = np.frombuffer(b"".join(c for c, p in zip(coded, plain) if p), np.uint8)
+    base, tables = _crc_tables(subword)
+    windows = np.full(max(0, len(data) - subword + 1), base, np.int64)
+    for i, table in enumerate(tables):
+        windows ^= table[data[i : i + len(windows)]]
+    others = [m[i : i + subword] for m, r, p in zip(marked, runs, plain) if not p for i in range(r)]
+    hashed = np.fromiter((zlib.crc32(f.encode()) for f in others), np.int64, len(others))
+    first = np.zeros(len(coded), np.int64)
+    first[plain] = np.cumsum(lengths[plain]) - lengths[plain]
+    first[~plain] = len(windows) + np.cumsum(runs[~plain]) - runs[~plain]
+    return whole, first, runs, np.r_[windows, hashed] % features
+
+
+def _by_words(found: pa.ListArray) -> Iterator[pa.ListArray]:
+    """Slices of at most ``SLICE_WORDS`` words, one text at least."""
+    ends, at = np.r_[0, np.cumsum(found.value_lengths().fill_null(0).to_numpy())], 0
+    while at < len(found):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_WORDS, "right")) - 1)
+        yield found.slice(at, to - at)
+        at = to
 
 
 def unit_vectors(found: pa.ListArray, features: int, subword: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -52,20 +86,33 @@ def unit_vectors(found: pa.ListArray, features: int, subword: int) -> Iterator[t
     Slots are CRC-32 modulo ``features`` of the words and of their runs of ``subword`` characters. A word
     stands between ``<`` and ``>``, so that its ends tell; one that is no longer than a run with them has no runs.
     """
+    for part in _by_words(found):
+        yield from _unit_vectors(part, features, subword)
+
+
+def _unit_vectors(found: pa.ListArray, features: int, subword: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     coded = found.flatten().dictionary_encode()
-    lists = [_slots_of(w, features, subword) for w in coded.dictionary.to_pylist()]  # each distinct word once
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat, first = np.fromiter(chain.from_iterable(lists), np.int64, sizes.sum()), np.cumsum(sizes) - sizes
+    whole, first, runs, flat = _slots_of(coded.dictionary.to_pylist(), features, subword)  # each distinct word once
     code, ends = coded.indices.to_numpy(), np.cumsum(found.value_lengths().fill_null(0).to_numpy())
-    for at in range(0, len(found), SLICE_TEXTS):
-        to = min(len(found), at + SLICE_TEXTS)
+    slots_to = np.r_[0, np.cumsum(runs[code] + 1)][ends]  # slots of all texts up to this one
+    to = 0
+    while to < len(found):
+        at = to
+        fit = int(np.searchsorted(slots_to, (slots_to[at - 1] if at else 0) + SLICE_SLOTS, "right"))
+        to = min(max(fit, at + 1), at + SLICE_TEXTS)
         low = ends[at - 1] if at else 0
         words_ = code[low : ends[to - 1]]
         text = np.searchsorted(ends[at:to] - low, np.arange(len(words_)), "right")
-        n = sizes[words_]
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        slots = flat[np.repeat(first[words_], n) + inside]
-        keys, counts = np.unique(np.repeat(text, n) * features + slots, return_counts=True)
+        n = runs[words_]
+        inside = np.arange(n.sum()) + np.repeat(first[words_] - np.cumsum(n) + n, n)
+        keys = np.r_[text * features + whole[words_], np.repeat(text * features, n) + flat[inside]]
+        cells = (to - at) * features
+        if cells <= 8 * len(keys):  # a count for every cell takes less time than a sort
+            counts = np.bincount(keys, minlength=cells)
+            keys = np.flatnonzero(counts)
+            counts = counts[keys]
+        else:
+            keys, counts = np.unique(keys, return_counts=True)
         text, slots = np.divmod(keys, features)
         length = np.sqrt(np.bincount(text, counts.astype(float) ** 2, minlength=to - at))
         yield to - at, text, slots, counts / length[text]
@@ -84,31 +131,45 @@ def train_relevance_filter(
     the same model, in any order, and SQL can repeat it. Null and empty texts tell the bias only.
     """
 
+    slot_type = np.min_scalar_type(features)
+
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for n, text, slots, x in unit_vectors(batch.column("words"), features, subword):
-                cuts = np.searchsorted(text, np.arange(1, n))
-                # The bias is one more slot, which every text has once.
-                rows = [(np.r_[a, features], np.r_[b, 1.0]) for a, b in zip(np.split(slots, cuts), np.split(x, cuts))]
-                columns = [batch.column("label").slice(at, n), *[pa.array([r[k] for r in rows]) for k in (0, 1)]]
-                yield pa.RecordBatch.from_arrays(columns, ["label", "slots", "shares"])
+                labels = batch.column("label").slice(at, n).to_numpy()
+                sizes = np.bincount(text, minlength=n).astype("int32")
+                # Entries of a text are whole multiples of the least one's; shares repeat, so they compress well.
+                blobs = [a.tobytes() for a in (labels, sizes, slots.astype(slot_type), x)]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blobs], ["labels", "sizes", "slots", "shares"])
                 at += n
 
     row = lambda label: [words(F.coalesce(F.col("text"), F.lit(""))).alias("words"), F.lit(label).alias("label")]
     rows = positive.select(*row(1.0)).unionByName(negative.select(*row(0.0)))
-    texts = materialize(rows.mapInArrow(vectors, "label double, slots array<long>, shares array<double>"), "labelled-vectors")
+    # A row holds a slice of texts, as plain bytes: each round reads them all again.
+    texts = materialize(rows.mapInArrow(vectors, "labels binary, sizes binary, slots binary, shares binary"), "labelled-vectors")
     spark = texts.sparkSession
 
-    def by_slot(value: Callable[[float, np.ndarray, np.ndarray], float]) -> np.ndarray:
-        """Sum over all texts of ``x`` times the text's value, by slot; each task adds up its own first."""
+    def by_slot(value: Callable[[np.ndarray, Callable[[np.ndarray | None], np.ndarray]], np.ndarray]) -> np.ndarray:
+        """Sum over all texts of ``x`` times the text's value, by slot; each task adds up its own first.
+
+        ``value`` has the labels of a slice and a function that gives each text's product with some weights, or
+        its sum. The bias is one more slot, which every text has once.
+        """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(features + 1)
             for batch in batches:
-                for label, at, x in zip(batch.column("label").to_pylist(), batch.column("slots"), batch.column("shares")):
-                    at, x = (v.values.to_numpy() for v in (at, x))
-                    total[at] += x * value(label, at, x)
+                for row in zip(*[batch.column(k) for k in range(4)]):
+                    labels, sizes, at, x = (np.frombuffer(b.as_buffer(), t) for b, t in zip(row, (float, "int32", slot_type, float)))
+                    text, n = np.repeat(np.arange(len(labels)), sizes), len(labels)
+
+                    def product(w: np.ndarray | None) -> np.ndarray:
+                        return np.bincount(text, x if w is None else x * w[at], minlength=n) + (1 if w is None else w[-1])
+
+                    values = value(labels, product)
+                    total[:-1] += np.bincount(at, x * values[text], minlength=features)
+                    total[-1] += values.sum()
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "total"])
 
@@ -118,11 +179,11 @@ def train_relevance_filter(
             dense[r["slot"]] = r["total"]
         return dense
 
-    curvature = by_slot(lambda label, at, x: x.sum() / 4) + ridge
+    curvature = by_slot(lambda labels, product: product(None) / 4) + ridge
     at = ahead = np.zeros(features + 1)
     for k in range(iterations):
         weights = spark.sparkContext.broadcast(ahead)
-        slope = by_slot(lambda label, at, x: 1 / (1 + np.exp(-(weights.value[at] @ x))) - label)
+        slope = by_slot(lambda labels, product: 1 / (1 + np.exp(-product(weights.value))) - labels)
         before, at = at, ahead - (slope + ridge * ahead) / curvature
         ahead = at + k / (k + 3) * (at - before)
     return RelevanceModel(tuple(at[:-1].tolist()), float(at[-1]), subword)
