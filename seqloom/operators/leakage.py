@@ -32,7 +32,7 @@ CLOSE = 0.85
 # Letters, digits and underscores: what the column functions take for a word.
 _WORD = re.compile(r"\w+")
 GRAM_BYTES = 32  # of a hashed gram in a broadcast table
-REMEMBERED_WORDS = 1 << 18  # slots that one task remembers
+REMEMBERED_WORDS = 1 << 17  # slots that one task remembers, some 250 bytes each
 
 
 def hashed_word_encoder(dim: int) -> Callable[[Sequence[str]], np.ndarray]:

@@ -12,10 +12,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.functions import dot, l2_normalize
 from seqloom.operators.ordering import MAX_GROUP_ROWS, group_positions
@@ -32,6 +35,8 @@ SCORE_CELLS = 500_000
 COLUMN_GROUP = 64
 # Dimensions that are averaged as columns of their own.
 MAX_SUM_COLUMNS = 512
+# Texts that an encoder gets at once: so many, of so many bytes.
+TEXTS_AT_ONCE, TEXT_BYTES = 1024, 2 << 20
 # Scores are rounded before they are compared, so ties do not depend on summation order.
 SCORE_DIGITS = 9
 SCORE_STEP = 10.0**-SCORE_DIGITS
@@ -41,15 +46,32 @@ def embed_table(
     df: DataFrame, key: str, text: str, load: Callable[[], Callable[[Sequence[str]], np.ndarray]], name: str = "vec"
 ) -> DataFrame:
     """Vectors of a text column by a caller's encoder, which ``load`` opens once per task."""
-    key_type = df.schema[key].dataType.simpleString()
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load()
-        for rows in batches:
-            vectors = np.asarray(encoder(rows[text].fillna("").tolist()), dtype="float64")
-            yield pd.DataFrame({key: rows[key], name: list(vectors)})
+        for batch in batches:
+            for keys, texts in text_slices(batch):
+                vectors = np.asarray(encoder(texts), dtype="float64")
+                ends = np.arange(len(texts) + 1, dtype="int32") * vectors.shape[1]
+                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(ends, vectors.ravel())], [key, name])
+
+    schema = T.StructType([df.schema[key], T.StructField(name, T.ArrayType(T.DoubleType()))])
+    return df.select(key, text).mapInArrow(encode, schema)
+
 
-    return df.select(key, text).mapInPandas(encode, f"{key} {key_type}, {name} array<double>")
+def text_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Keys and texts (null: empty) of at most ``TEXTS_AT_ONCE`` rows that hold about ``TEXT_BYTES``, one row at least.
+
+    A batch is Arrow's; only the texts of a slice become Python's, several times as large.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes, dtype="int64"), 0
+    while at < len(sizes):
+        fit = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_BYTES, "right"))
+        to = min(max(fit, at + 1), at + TEXTS_AT_ONCE)
+        part = batch.slice(at, to - at)
+        yield part.column(0), [t or "" for t in part.column(1).to_pylist()]
+        at = to
 
 
 def normalized(vectors: DataFrame, vec: str = "vec") -> DataFrame:

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +168,18 @@ def test_encoder_is_opened_per_task(spark):
     assert got[2] == [0.0] * 8
 
 
+def test_encoder_gets_texts_in_bounded_slices(monkeypatch):
+    monkeypatch.setattr(scoring, "TEXTS_AT_ONCE", 4)
+    monkeypatch.setattr(scoring, "TEXT_BYTES", 100)
+    texts = ["a" * n for n in (10, 0, 90, 1, 500, 60, 60)] + [None] * 9
+    batch = pa.RecordBatch.from_arrays([pa.array(range(16)), pa.array(texts)], ["k", "t"])
+    slices = list(scoring.text_slices(batch))
+    assert [k for keys, _ in slices for k in keys.to_pylist()] == list(range(16))
+    assert [t for _, part in slices for t in part] == [t or "" for t in texts]
+    assert max(len(part) for _, part in slices) == 4
+    assert all(len(part) == 1 or sum(map(len, part)) <= 100 for _, part in slices)
+
+
 def test_hits_of_users_without_results(spark):
     top = spark.createDataFrame([(1, 1, 5, 0.9), (1, 2, 6, 0.8)], "user_id long, rank int, item_id long, score double")
     positives = spark.createDataFrame([(1, 6), (2, 9)], "user_id long, item_id long")
