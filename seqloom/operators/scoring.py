@@ -33,6 +33,8 @@ CELL_BYTES = 256 << 20
 # Scores held at once inside a task: some ten arrays of as many numbers stand beside them while they are worked on.
 SCORE_CELLS = 500_000
 COLUMN_GROUP = 64
+# Items of a stream that a task scores at once.
+STREAM_ITEMS = 4096
 # Dimensions that are averaged as columns of their own.
 MAX_SUM_COLUMNS = 512
 # Texts that an encoder gets at once: so many, of so many bytes.
@@ -311,13 +313,20 @@ def best_of_stream(queries: DataFrame, corpus: DataFrame, k: int, broadcast_byte
     if size["n"] == 0 or size["n"] * max(size["dim"], k * 3) * 8 > broadcast_bytes:
         return top_k_of_catalog(queries, corpus, k, broadcast_bytes=broadcast_bytes)
     shared = users.sparkSession.sparkContext.broadcast(_local(users, "user_id"))
+    # Vectors stand three times in a task, as rows, stacked and as results of a conversion.
+    step = max(1, min(STREAM_ITEMS, CELL_BYTES // (8 * 3 * 8 * size["dim"])))
+
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for at in range(0, len(rows), step):
+                yield rows.iloc[at : at + step]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user_ids, wanted = shared.value
         rows_of = pd.DataFrame({"user_id": user_ids, "vec": list(wanted)})
         nothing = np.zeros(0, dtype="int64")
         best: pd.DataFrame | None = None
-        for rows in batches:
+        for rows in slices(batches):
             rows = rows.sort_values("item_id")
             found = list(_top_k_cell(rows_of, nothing, nothing, rows["item_id"].to_numpy(), _matrix(rows["vec"]), k))
             best = _merged(pd.concat(found if best is None else [best, *found], ignore_index=True), k)
