@@ -120,6 +120,16 @@ def test_all_scores_come_in_bounded_parts(spark, data, monkeypatch, bound):
     assert len(got) == USERS * (ITEMS - 1) and got == pytest.approx(want, abs=1e-8)
 
 
+def test_masked_scores_of_small_parts(spark, data, monkeypatch):
+    monkeypatch.setattr(scoring, "SCORE_CELLS", 50)
+    (users, items, seen), scores = data
+    left = scoring.mask_candidates(scoring.score_full_catalog(users, items, 0), seen).collect()
+    want = {(u, int(i)): scores[u, i] for u, i in np.argwhere(np.isfinite(scores))}
+    assert {r[:2]: pytest.approx(r[2], abs=1e-8) for r in left} == want
+    shape = scoring.cell_shape(DIM, cell_scores=50)
+    assert shape[0] * shape[1] <= 50
+
+
 def test_target_scores_mask_repeats(spark, data):
     (users, items, seen), scores = data
     examples = spark.createDataFrame([(0, 1), (1, ITEMS - 1)], "user_id long, target long")
