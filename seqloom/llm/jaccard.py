@@ -14,7 +14,7 @@ fewer than about half of the members, as the centre has what most have.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +24,24 @@ from pyspark.sql import functions as F
 from seqloom.llm.components import least_labels
 from seqloom.llm.words import WordHashes, window_hashes
 from seqloom.operators.joins import heavy_join
-from seqloom.session import materialize
+from seqloom.session import discard, materialize, passing_tables
 
 SHINGLE, PERCENT = 5, 80
 # The order of shingles takes frequent ones last, and of the others those of frequent words. Both are
 # counted in a sample of about so many documents, and so many of each at most are kept: this decides
 # about speed, never about the result.
-SAMPLE_DOCS, SAMPLE_ENTRIES = 5_000, 200_000
+SAMPLE_DOCS, SAMPLE_ENTRIES = 20_000, 200_000
+# What the sample missed shows in the first prefixes: of one class in CROWD_SHARE (of all, if they are few) the shingles are
+# counted, and those estimated to be in more than CROWDED prefixes are taken last, too; so often at most, and again only if
+# more than one class in CROWD_STOP had one.
+CROWDED, CROWD_SHARE, CROWD_ROUNDS, CROWD_STOP = 64, 8, 2, 20
 # A region of so few members is joined directly; a larger one gets a centre and is joined again by what differs from it.
 SMALL_REGION = 256
 CENTRE_MEMBERS = 15  # about so many members, by a hash of their keys, decide on a centre; this is about speed alone
-DIRECT_PAIRS = 10_000  # so few pairs are measured at once, more in rounds
+DIRECT_PAIRS = 40_000  # so few pairs are measured at once, more in rounds
 # So many classes at most are sent to all tasks to fetch their texts, some 10 MB; more are joined by id.
 BROADCAST_ROWS = 250_000
+BROADCAST_IDS = 2_000_000  # bare ids, some 100 MB
 BROADCAST_BYTES = 32 << 20
 _ROWS = 512
 
@@ -70,8 +75,16 @@ def _lookup(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndar
     return np.where(found[place] == hashes, counts[place], 0)
 
 
-def _frequent(docs: DataFrame, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Tables of the shingles and of the words found three times or more in the sample."""
+def _table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``hash``, ``count`` the most frequent hashes, sorted, and their counts."""
+    rows = counts.orderBy(F.desc("count"), "hash").limit(SAMPLE_ENTRIES).select("hash", "count").toArrow()
+    found = rows["hash"].to_numpy().view(np.uint64)
+    order = np.argsort(found)
+    return found[order], rows["count"].to_numpy()[order]
+
+
+def _frequent(docs: DataFrame, size: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], float]:
+    """Tables of the shingles and of the words found three times or more in the sample, and the sample's share."""
     total = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(1, total))
     sample = docs.filter(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
@@ -87,13 +100,7 @@ def _frequent(docs: DataFrame, size: int) -> list[tuple[np.ndarray, np.ndarray]]
 
     counts = sample.select("text").mapInArrow(hashes, "kind int, hash long").groupBy("kind", "hash").count()
     counts = materialize(counts.filter("count > 2"), "sample-counts")
-    tables = []
-    for kind in (0, 1):
-        rows = counts.filter(F.col("kind") == kind).orderBy(F.desc("count"), "hash").limit(SAMPLE_ENTRIES).collect()
-        found = np.array([r["hash"] for r in rows], np.int64).view(np.uint64)
-        order = np.argsort(found)
-        tables.append((found[order], np.array([r["count"] for r in rows], np.int64)[order]))
-    return tables
+    return [_table(counts.filter(F.col("kind") == kind)) for kind in (0, 1)], share
 
 
 def _parity(shingles: np.ndarray) -> bytes:
@@ -123,6 +130,9 @@ def _close(percent: int):
     return prune
 
 
+SUMMARY = "doc_id long, digest binary, n int, rare int, prefix array<long>, parity binary"
+
+
 def _summaries(size: int, percent: int, shared):
     names = ["doc_id", "digest", "n", "rare", "prefix", "parity"]
     kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
@@ -149,6 +159,56 @@ def _summaries(size: int, percent: int, shared):
     return summarize
 
 
+def _holders(shared):
+    """Classes whose prefix holds a shingle of the table."""
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column("prefix")
+            ends = np.diff(prefix.offsets.to_numpy()).cumsum()
+            met = np.concatenate([[0], (_lookup(shared.value, prefix.flatten().to_numpy().view(np.uint64)) > 0).cumsum()])
+            yield batch.select(["key", "digest", "first_id"]).filter(pa.array(np.diff(met[ends], prepend=0) > 0))
+
+    return hold
+
+
+def _uncrowded(read: DataFrame, reps: DataFrame, size: int, percent: int, tables: list, share: float) -> DataFrame:
+    """``key``, ``n``, ``rare``, ``prefix`` of all classes in an order that takes the shingles of crowded regions last.
+
+    A passage that many unlike texts quote is rare in a sample and of rare words, so it would be in all their prefixes:
+    regions that grow with the corpus and hold no link. Any order of all shingles finds all links, and a prefix without
+    a shingle that goes to the end stays as it is, so only the others' texts are read again.
+    """
+    spark, (frequent, words) = read.sparkSession, tables
+    prefixes, total = reps.select("key", "digest", "first_id", "n", "rare", "prefix"), reps.count()
+    part = CROWD_SHARE if total > SAMPLE_DOCS else 1
+    for _ in range(CROWD_ROUNDS):
+        drawn = prefixes.filter(F.pmod(F.xxhash64("digest"), F.lit(part)) == 0)
+        counts = drawn.select(F.explode("prefix").alias("hash")).groupBy("hash").count()
+        found, often = _table(counts.filter(F.col("count") * part > CROWDED))
+        new = _lookup(frequent, found) == 0
+        if not new.any():
+            break
+        # In units of the sample, less than what it counts but more than nothing.
+        found, often = found[new], often[new] * part * share
+        holds = _holders(spark.sparkContext.broadcast((found, np.ones(len(found), np.int64))))
+        crowded = prefixes.select("key", "digest", "first_id", "prefix").mapInArrow(holds, "key long, digest binary, first_id long")
+        crowded = materialize(crowded, "crowded-classes")
+        met = crowded.count()
+        hint = F.broadcast if met <= BROADCAST_IDS else lambda table: table
+        both = np.concatenate([frequent[0], found])
+        order = np.argsort(both)
+        frequent = both[order], np.concatenate([frequent[1], often])[order]
+        again = read.join(hint(crowded.select(F.col("first_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+        again = again.mapInArrow(_summaries(size, percent, spark.sparkContext.broadcast([frequent, words])), SUMMARY)
+        again = again.filter("digest is not null").select("digest", "n", "rare", "prefix").dropDuplicates(["digest"])
+        again = materialize(crowded.join(again, "digest").select(prefixes.columns), "uncrowded-classes")
+        prefixes = prefixes.join(hint(crowded.select("key")), "key", "left_anti").unionByName(again)
+        if met * CROWD_STOP < total:
+            break
+    return prefixes.select("key", "n", "rare", "prefix")
+
+
 def _sets(size: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(size)
@@ -335,18 +395,33 @@ def jaccard_components(
     link with nothing. Repeated rows are copies. Ids are whole numbers; other columns are not read.
     An empty table gives an empty one.
     """
-    spark = docs.sparkSession
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    order = spark.sparkContext.broadcast(_frequent(read, shingle))
-    schema = "doc_id long, digest binary, n int, rare int, prefix array<long>, parity binary"
-    every = materialize(read.mapInArrow(_summaries(shingle, percent, order), schema), "shingle-sets")
+    with passing_tables(docs.sparkSession) as kept:
+        every, named = _components(read, shingle, percent, kept)
+    rows = every.join(named, "digest", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    of_class = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), of_class.alias("class_id"), own.alias("component_id"))
+
+
+def _components(
+    read: DataFrame, shingle: int, percent: int, kept: Callable[[DataFrame, str], DataFrame]
+) -> tuple[DataFrame, DataFrame]:
+    """``doc_id``, ``n``, ``digest`` of every row, and ``digest``, ``class_id``, ``component`` of every class; both are kept."""
+    spark = read.sparkSession
+    tables, share = _frequent(read, shingle)
+    order = spark.sparkContext.broadcast(tables)
+    summaries = materialize(read.mapInArrow(_summaries(shingle, percent, order), SUMMARY), "shingle-sets")
+    every = kept(summaries.select("doc_id", "n", "digest"), "documents")
     first = lambda c: F.any_value(c).alias(c)
-    reps = every.filter("doc_id is not null and digest is not null").groupBy("digest")
+    reps = summaries.filter("doc_id is not null and digest is not null").groupBy("digest")
     reps = reps.agg(F.min("doc_id").alias("first_id"), first("n"), first("rare"), first("prefix"), first("parity"))
     reps = materialize(reps.withColumn("key", F.monotonically_increasing_id()), "classes")
+    discard(summaries)
     measure = _Measure(read, reps, shingle, percent)
 
-    index = reps.select("key", "n", "rare", F.posexplode("prefix").alias("at", "region"))
+    index = _uncrowded(read, reps, shingle, percent, tables, share)
+    index = index.select("key", "n", "rare", F.posexplode("prefix").alias("at", "region"))
     of_region = Window.partitionBy("region")
     # A member whose neighbours by size are too small and too large has no partner in the region.
     by_size = of_region.orderBy("n")
@@ -370,6 +445,7 @@ def jaccard_components(
     done = [links]
     while True:
         small, large = _open_regions(left, labels, percent)
+        large = _together(large) if len(done) == 1 else large
         found, labels = _connect(measure, reps, measure.may_link(_direct(small, percent)), labels, _all(done))
         done.append(found)
         if large.isEmpty():
@@ -380,11 +456,7 @@ def jaccard_components(
         labels = materialize(_labels(reps, _all(done)), "components")
     named = reps.select("key", "digest", "first_id").join(labels, "key", "left")
     named = named.select("digest", F.col("first_id").alias("class_id"), F.coalesce("component.id", "first_id").alias("component"))
-    named = materialize(named, "class-components")
-    rows = every.select("doc_id", "n", "digest").join(named, "digest", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    of_class = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), of_class.alias("class_id"), own.alias("component_id"))
+    return every, kept(named, "class-components")
 
 
 def _connect(
@@ -439,6 +511,14 @@ def _open_regions(left: DataFrame, labels: DataFrame, percent: int) -> tuple[Dat
     return mine.filter(few).drop("members"), mine.filter(~few).select("region", "key", "n").distinct()
 
 
+def _together(large: DataFrame) -> DataFrame:
+    """Large first regions whose members of least hash are the same as one region. A family is in a region for each shingle
+    of its prefixes, of nearly the same members each time."""
+    home = large.groupBy("region").agg(F.min(F.xxhash64("key")).alias("home"))
+    met = heavy_join(large, materialize(home, "homes"), "region", ["key"])
+    return materialize(met.select(F.col("home").alias("region"), "key", "n").distinct(), "joint-regions")
+
+
 def _live(members: DataFrame, *more: Column) -> DataFrame:
     """Regions of two components or more with a member outside."""
     of = members.groupBy("region").agg(F.min("mine").alias("least"), F.max("mine").alias("most"), F.every("inside").alias("settled"), *more)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,4 +51,37 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    for paths in _passing.get():
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# What ``materialize`` has written within each open ``passing_tables``.
+_passing: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Remove at the end the tables that ``materialize`` wrote meanwhile, but those written by the function given.
+
+    What is returned from within must read none of the others.
+    """
+    paths: list[str] = []
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        table = materialize(df, label)
+        paths.pop()
+        return table
+
+    token = _passing.set((*_passing.get(), paths))
+    try:
+        yield kept
+    finally:
+        _passing.reset(token)
+        for path in paths:
+            drop_scratch(spark, path)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table that ``materialize`` wrote, once nothing reads it any more."""
+    drop_scratch(table.sparkSession, table.inputFiles()[0].rpartition("/")[0])

@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from seqloom.llm import chat, jaccard, lines, mixing, neighbours, packing, quality, queries, secrets, substrings, warc
-from seqloom.session import materialize
+from seqloom.session import job_scratch, materialize
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __words string, n_removed string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -282,6 +283,53 @@ def test_jaccard_join_of_a_family(spark, monkeypatch, size, percent, members):
     assert 1 < len(set(label)) - 40 < 390 and 1 <= len(rounds) <= 12
 
 
+def quoting_texts(draw):
+    """Texts of unlike words that quote one passage, the last a near copy of the first."""
+    words = lambda k: [f"w{draw.randrange(10**6)}" for _ in range(k)]
+    passage = words(12)
+    texts = [" ".join(words(draw.randint(10, 60)) + passage + words(draw.randint(10, 60))) for _ in range(300)]
+    return [*texts, f"{texts[0]} more"]
+
+
+def test_jaccard_join_of_a_passage_in_many_texts(spark, monkeypatch):
+    """The passage that a small sample misses is taken last: no region holds all texts, and the near copy is found."""
+    texts = quoting_texts(random.Random(3))
+    rounds, recentre = [], jaccard._recentre
+    monkeypatch.setattr(jaccard, "_recentre", lambda *args: rounds.append(1) or recentre(*args))
+    monkeypatch.setattr(jaccard, "SAMPLE_DOCS", 1)
+    monkeypatch.setattr(jaccard, "SMALL_REGION", 64)
+    got = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 90)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {**{k: k for k in range(300)}, 300: 0}
+    assert not rounds
+
+
+def test_jaccard_join_takes_a_family_as_one_region(spark, monkeypatch):
+    """The regions of all shingles of a family are joined as a few, and only what the result reads stays on disk."""
+    draw = random.Random(4)
+    root = [f"w{k}" for k in range(200)]
+    texts = [" ".join(f"x{draw.randrange(10**6)}" if draw.random() < 0.04 else w for w in root) for _ in range(120)]
+    given, recentre = [], jaccard._recentre
+    monkeypatch.setattr(jaccard, "_recentre", lambda large, *args: given.append(large.count()) or recentre(large, *args))
+    monkeypatch.setattr(jaccard, "SMALL_REGION", 16)
+    monkeypatch.setattr(jaccard, "SAMPLE_DOCS", 1)
+    folder = Path(job_scratch(spark).removeprefix("file:"))
+    before = set(folder.glob("*"))
+    got = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 80)
+    got = {r["doc_id"]: r["component_id"] for r in got.collect()}
+    kept = {p.name.rpartition("-")[0] for p in set(folder.glob("*")) - before}
+    assert kept == {"documents", "class-components"}
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    label, changed = list(range(120)), True
+    while changed:
+        changed = False
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if label[a] < label[b] and 100 * len(x & y) >= 80 * len(x | y):
+                    label[b], changed = label[a], True
+    assert got == dict(enumerate(label))
+    assert given and given[0] <= 5 * 120
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix_sources(docs, (5, 2, 1)).collect()
     size = lambda t: len(WORD.findall(t or ""))
